@@ -112,12 +112,15 @@ def automaton() -> ahocorasick.Automaton:
 def scan(text: bytes | None, machine: ahocorasick.Automaton) -> dict:
     words = (text or b"").translate(TO_WORDS).split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    starts, base, found, tagged = [], set(), {}, False
+    starts, base, found, tagged, seen, upto = [], set(), {}, False, 0, 0
     for end, phrase in machine.iter(line):
         if phrase == TAG:
             tagged = True
         elif phrase in BASE:
-            starts.append(line.count(" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            seen += line.count(" ", upto, start) if start >= upto else -line.count(" ", start, upto)
+            upto = start
+            starts.append(seen)
             base.add(BASE[phrase])
         else:
             found[MORE[phrase]] = FREEDOM[MORE[phrase]]

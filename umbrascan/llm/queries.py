@@ -1,10 +1,16 @@
-"""The registered queries of the ten operators and the pipeline, with SQL where SQL can express them."""
+"""The registered queries of the ten operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import decontam, simhash_dedup
+from . import chat, decontam, langid, licenses, line_dedup, packing, simhash_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_packing": packing.op3_packing,
+    "op4_language_id": langid.op4_language_id,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, licenses, line_dedup, packing, simhash_dedup, toxicity
+from . import chat, decontam, langid, licenses, line_dedup, packing, simhash_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 SQL = {"op8_benchmark_decontamination": decontam.SQL}

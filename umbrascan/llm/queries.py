@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, licenses, line_dedup, packing, simhash_dedup, token_files, toxicity
+from . import chat, decontam, langid, licenses, line_dedup, packing, simhash_dedup, token_files, toxicity, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_token_files": token_files.op9_token_files,
+    "op10_webp_media": webp.op10_webp_media,
 }
 
 SQL = {"op8_benchmark_decontamination": decontam.SQL}

@@ -86,25 +86,31 @@ def lookup(lengths: bytes) -> tuple[int, np.ndarray]:
     return bits, table
 
 
-def code_lengths(counts: list[int], longest: int) -> bytes:
+def code_lengths(counts: np.ndarray, longest: int) -> bytes:
     """Huffman lengths, flattened until none is over `longest`."""
-    counts = list(counts)
+    out = bytearray(len(counts))
+    used = np.flatnonzero(counts).tolist()
+    if len(used) < 2:
+        for s in used:
+            out[s] = 1
+        return bytes(out)
+    weights = counts[used].tolist()
     while True:
-        heap = [(n, i, (i,)) for i, n in enumerate(counts) if n]
-        out = [0] * len(counts)
-        if len(heap) == 1:
-            out[heap[0][1]] = 1
+        heap = [(n, i, (s,)) for i, (n, s) in enumerate(zip(weights, used, strict=True))]
         heapq.heapify(heap)
+        sizes = dict.fromkeys(used, 0)
         while len(heap) > 1:
             a, i, left = heapq.heappop(heap)
-            b, _, right = heapq.heappop(heap)
+            b, _, right = heap[0]
             both = left + right
             for s in both:
-                out[s] += 1
-            heapq.heappush(heap, (a + b, i, both))
-        if max(out) <= longest:
+                sizes[s] += 1
+            heapq.heapreplace(heap, (a + b, i, both))
+        if max(sizes.values()) <= longest:
+            for s, n in sizes.items():
+                out[s] = n
             return bytes(out)
-        counts = [n and (n >> 1) + 1 for n in counts]
+        weights = [(n >> 1) + 1 for n in weights]
 
 
 class Reader:
@@ -503,50 +509,39 @@ class Writer:
         return out.astype("<u4").tobytes()[: (int(ends[-1]) + 7) >> 3]
 
 
-def write_code(w: Writer, lengths: bytes) -> None:
-    used = [i for i, n in enumerate(lengths) if n]
+@lru_cache(4096)
+def described(lengths: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The bits (values, sizes) that tell a decoder the lengths of a code."""
+    own = np.frombuffer(lengths, np.uint8)
+    used = np.flatnonzero(own).tolist()
     if len(used) <= 2 and max(used, default=0) < 256:
         used = used or [0]
-        w.put(1, 1)
-        w.put(len(used) - 1, 1)
-        w.put(int(used[0] > 1), 1)
-        w.put(used[0], 8 if used[0] > 1 else 1)
-        if len(used) == 2:
-            w.put(used[1], 8)
-        return
-    tokens, at, last = [], 0, 8
-    while at < len(lengths):
-        end = at
-        while end < len(lengths) and lengths[end] == lengths[at] and end - at < 138:
-            end += 1
-        n, value = end - at, lengths[at]
-        if not value and n >= 3:
-            tokens.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
-        elif value and value == last and n >= 3:
-            n = min(n, 6)
-            tokens.append((16, n - 3, 2))
-        else:
-            n = 1
-            tokens.append((value, 0, 0))
+        bits = [(1, 1), (len(used) - 1, 1), (int(used[0] > 1), 1), (used[0], 8 if used[0] > 1 else 1)] + [(x, 8) for x in used[1:]]
+        return tuple(zip(*bits, strict=True))
+    edges = np.flatnonzero(np.diff(own.astype(int))) + 1
+    tokens, last = [], 8
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(own)], strict=True):
+        value, left = lengths[start], end - start
+        while left:
+            most = 138 if not value else 6 if value == last else 1
+            n = min(left, most) if left >= 3 and most > 1 else 1
+            tokens.append((value, 0, 0) if n < 3 else (16, n - 3, 2) if value else (18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
             last = value or last
-        at += n
-    counts = [0] * 19
-    for t in tokens:
-        counts[t[0]] += 1
-    own = code_lengths(counts, 7)
+            left -= n
+    own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19), 7)
     many = max(4, max(i for i, k in enumerate(CODE_LENGTH_ORDER) if own[k]) + 1)
-    w.put(0, 1)
-    w.put(many - 4, 4)
-    for k in CODE_LENGTH_ORDER[:many]:
-        w.put(own[k], 3)
-    w.put(0, 1)
+    bits = [(0, 1), (many - 4, 4), *[(own[k], 3) for k in CODE_LENGTH_ORDER[:many]], (0, 1)]
     codes = dict(zip(*(x.tolist() for x in canonical(own)), strict=True))
-    one = sum(map(bool, own)) == 1
-    for t, extra, size in tokens:
-        if not one:
-            w.put(codes[t], own[t])
-        if size:
-            w.put(extra, size)
+    size = (lambda t: own[t]) if len(codes) > 1 else lambda t: 0
+    for t, extra, n in tokens:
+        bits += [(codes[t], size(t)), (extra, n)]
+    return tuple(zip(*bits, strict=True))
+
+
+def write_code(w: Writer, lengths: bytes) -> None:
+    values, sizes = described(lengths)
+    w.tail[0].extend(values)
+    w.tail[1].extend(sizes)
 
 
 def prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -585,8 +580,11 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
     parts = channels(flat[at[order]])
     length = np.zeros(len(at), np.int64)
     length[is_run] = sizes[order[is_run] - len(literal)]
-    prefix, extra, extra_bits = prefix_of(np.maximum(length, 1))
-    green = np.where(is_run, 256 + prefix, parts[:, 1].astype(np.int64))
+    green, extra, extra_bits = parts[:, 1].astype(np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    if len(starts):
+        prefix, extra, extra_bits = prefix_of(np.maximum(length, 1))
+        green = np.where(is_run, 256 + prefix, green)
+        extra, extra_bits = np.where(is_run, extra, 0), np.where(is_run, extra_bits, 0)
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
@@ -617,7 +615,7 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
         own = group == g
         used = own & plain
         counted = [np.bincount(green[own], minlength=alphabet)] + [np.bincount(parts[used, c], minlength=256) for c in (2, 0, 3)] + [np.bincount(np.full(int((own & is_run).sum()), near), minlength=DISTANCE_CODES)]
-        lengths = [code_lengths(c.tolist(), LONGEST_CODE) for c in counted]
+        lengths = [code_lengths(c, LONGEST_CODE) for c in counted]
         for x in lengths:
             write_code(w, x)
         sets.append(lengths)
@@ -625,9 +623,9 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
     def coded(k: int, symbols: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values, bits = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
         for g, lengths in enumerate(sets):
-            used, codes = canonical(lengths[k])
-            if len(used) < 2:
+            if lengths[k].count(0) > len(lengths[k]) - 2:
                 continue
+            used, codes = canonical(lengths[k])
             code, size = np.zeros(len(lengths[k]), np.int64), np.frombuffer(lengths[k], np.uint8)
             code[used] = codes
             own = use if len(sets) == 1 else use & (group == g)
@@ -635,7 +633,7 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
             values, bits = np.where(own, code[mine], values), np.where(own, size[mine], bits)
         return values, bits
 
-    streams = [coded(0, green, np.ones(len(green), bool)), (np.where(is_run, extra, 0), np.where(is_run, extra_bits, 0))]
+    streams = [coded(0, green, np.ones(len(green), bool)), (extra, extra_bits)]
     streams += [coded(k, parts[:, c].astype(np.int64), plain) for k, c in ((1, 2), (2, 0), (3, 3))]
     streams.append(coded(4, np.full(len(green), near), is_run))
     streams = [s for s in streams if s[1].any()] or streams[:1]

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +51,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def per_process(key: str, make: Callable[[], Any]) -> Any:
+    """make()'s result, kept in a Python worker process from task to task."""
+    kept = sys.modules.setdefault("_kept_per_process", types.ModuleType("_kept_per_process")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a settled frame only if its counted rows fit in `limit`; else leave the join to a shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -9,8 +9,10 @@ holds doc_id, start in the file and n_tokens of each document. Ids take two byte
 Every task writes under a name of its own and moves the finished file to its place, so a repeated task leaves one file.
 The driver sees one row (documents, ids) per file, from which the place of each file's first id follows.
 
-Encoding is per run of non-space characters: no token and no normalisation of the tokenizers this is used with reaches
-over a space or line feed, so runs already seen are looked up. At most MEMORY runs are remembered.
+Encoding is per run of characters between spaces and line feeds, as no token and no normalisation of the tokenizers this
+is used with reaches over them, and runs already seen are looked up; a full stop or comma after a letter is a token apart.
+A worker process keeps at most MEMORY runs, from task to task. Texts of one-byte characters are lower-cased first where the
+tokenizer does so itself.
 
 Cases: a null text is empty and has the end id alone; null doc_ids come first; repeated rows are each written; an empty
 table writes no file and gives an empty table; other columns are not read.
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,8 @@ from . import common
 LENGTH = 2048
 ROWS = 64
 END_ID = 2
-MEMORY = 1_000_000
-#: Characters of a text that are cut into runs at once.
+MEMORY = 1_250_000
+#: Characters that are cut into runs at once.
 SPAN = 1 << 20
 INDEX_ROWS = 1 << 15
 
@@ -51,29 +54,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
+        self.lowers = self._ids("Ab É") == self._ids("ab é")
+        self.parts = self._ids("ab,") == self._ids("ab") + self._ids(",") and self._ids("ab.") == self._ids("ab") + self._ids(".")
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str | None) -> Iterator[bytes]:
-        text, at = text or "", 0
-        while at < len(text):
-            cut = text.find(" ", at + SPAN)
-            cut = len(text) if cut < 0 else cut
-            yield self.encode_span(text[at:cut])
-            at = cut
-
-    def encode_span(self, text: str) -> bytes:
-        runs = text.replace("\n", " ").split(" ")
+    def _ids(self, run: str) -> list[int]:
+        return self.tokenizer.encode(run, add_special_tokens=False).ids
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, ids) in order, a long text in several pieces; about SPAN characters are in work at once."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            text, at = self.lowered(text or ""), 0
+            while True:
+                cut = text.find(" ", at + SPAN)
+                cut = len(text) if cut < 0 else cut
+                held.append((i, text[at:cut].replace("\n", " ").split(" ")))
+                size, at = size + cut - at, cut
+                if size >= SPAN:
+                    yield from self._looked_up(held)
+                    held, size = [], 0
+                if at >= len(text):
+                    break
+        yield from self._looked_up(held)
+
+    def lowered(self, text: str) -> str:
+        """What the tokenizer lower-cases anyway, where that can't change how a mark or an accent is read."""
+        if not self.lowers or any(m in text for m in self.marks):
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(m in low for m in self.marks) else low
+
+    def _looked_up(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+        known = self.known
+        fresh = set().union(*(runs for _, runs in held)).difference(known)
+        if len(known) + len(fresh) > MEMORY:
+            known.clear()
+            known[""] = b""
+            fresh = set().union(*(runs for _, runs in held))
+        self._learn(fresh)
+        for i, runs in held:
+            yield i, b"".join(map(known.__getitem__, runs))
+
+    def _learn(self, fresh: set[str]) -> None:
         known = self.known
-        fresh = [r for r in dict.fromkeys(runs) if r not in known]
-        if fresh:
-            if len(known) + len(fresh) > MEMORY:
-                known.clear()
-                known[""] = b""
-                fresh = list(dict.fromkeys(runs))
-            for run, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[run] = np.array(found.ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, runs))
+        apart = [r for r in fresh if self.parts and len(r) > 1 and r[-1] in ".," and r[-2].isalpha() and r.isascii()]
+        whole = list(dict.fromkeys(x for x in [*(r[:-1] for r in apart), *(r[-1] for r in apart), *fresh.difference(apart)] if x not in known))
+        for run, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[run] = array(self.code, found.ids).tobytes()
+        for r in apart:
+            known[r] = known[r[:-1]] + known[r[-1]]
 
 
 class SequenceWriter:
@@ -159,7 +196,7 @@ def shard_writer(folder: str, tokenizer: str, end_id: int, length: int, rows: in
         index = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         files, path = file_system(folder)
         files.create_dir(path, recursive=True)
-        encoder = Encoder(tokenizer)
+        encoder = common.per_process(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
         end = np.array([end_id], encoder.dtype).tobytes()
         done = [0, 0]
 
@@ -169,13 +206,16 @@ def shard_writer(folder: str, tokenizer: str, end_id: int, length: int, rows: in
             def index_rows(index_sink) -> None:
                 with pa.ipc.new_file(index_sink, index) as index_out:
                     for batch in batches:
-                        starts, sizes = [], []
-                        for text in batch.column("text"):
-                            starts.append(out.written)
-                            for piece in encoder.encode(text.as_py()):
-                                out.put(piece)
+                        starts = []
+                        for i, piece in encoder.encode(x.as_py() for x in batch.column("text")):
+                            if i == len(starts):
+                                if starts:
+                                    out.put(end)
+                                starts.append(out.written)
+                            out.put(piece)
+                        if starts:
                             out.put(end)
-                            sizes.append(out.written - starts[-1])
+                        sizes = np.diff([*starts, out.written])
                         index_out.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id").cast(id_type), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=index))
                         done[0] += batch.num_rows
 

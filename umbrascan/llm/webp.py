@@ -199,12 +199,20 @@ def read_pixels(r: Reader, width: int, height: int, main: bool = False) -> np.nd
     out = np.zeros(width * height, np.uint32)
     table, upto = np.zeros(max(1, cache), np.uint32), 0
     at = 0
+    # Codes of one symbol take no bits; the others are read in the order of the stream.
+    others = [[(code, shift) for code, shift in zip(g[1:4], (16, 0, 24), strict=True) if code[0]] for g in groups]
+    fixed = [sum(int(code[1][0]) >> 4 << shift for code, shift in zip(g[1:4], (16, 0, 24), strict=True) if not code[0]) for g in groups]
+    group = 0
     while at < len(out):
-        codes = groups[groups_of[at // width >> group_bits, at % width >> group_bits]] if groups_of is not None else groups[0]
+        if groups_of is not None:
+            group = groups_of[at // width >> group_bits, at % width >> group_bits]
+        codes = groups[group]
         s = r.symbol(codes[0])
         if s < 256:
-            red, blue, alpha = r.symbol(codes[1]), r.symbol(codes[2]), r.symbol(codes[3])
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
+            pixel = fixed[group] | s << 8
+            for code, shift in others[group]:
+                pixel |= r.symbol(code) << shift
+            out[at] = pixel
             at += 1
         elif s < 256 + LENGTH_CODES:
             at = copy(r, out, at, width, s - 256, codes[4])
@@ -239,50 +247,52 @@ def copy(r: Reader, out: np.ndarray, at: int, width: int, prefix: int, distances
 def chained_pixels(r: Reader, width: int, total: int, codes: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """read_pixels for one group and no cache: codes are looked up at every bit, then the chain of pixels is followed."""
     base = r.at >> 3
-    raw = np.frombuffer(r.data, np.uint8, offset=base).astype(np.uint32)
+    raw = np.frombuffer(r.data, np.uint8, offset=base).astype(np.int32)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
+    ahead = (words[:, None] >> np.arange(8, dtype=np.int32)).ravel()
     n = len(ahead)
     places = np.arange(n, dtype=np.int32)
-    found = [None if not bits else table[ahead & ((1 << bits) - 1)] for bits, table in codes[:4]]
-    fixed = [None if bits else int(table[0]) >> 4 for bits, table in codes[:4]]
-    after = places.copy() if found[0] is None else places + (found[0] & 15)
-    where = [places]
-    for f in found[1:]:
-        where.append(after)
-        if f is not None:
-            after = after + (f & 15)[np.minimum(after, n - 1)]
+    find = lambda bits, table: table.take(ahead & ((1 << bits) - 1))
+    # (symbols and sizes at every bit, where the code stands if the pixel begins there, place in the pixel)
+    parts, after, constant = [], places, 0
+    for (bits, table), shift in zip(codes[:4], (8, 16, 0, 24), strict=True):
+        if bits:
+            found = find(bits, table)
+            parts.append((found, after, shift))
+            after = after + (found & 15 if after is places else (found & 15).take(np.minimum(after, n - 1)))
+        else:
+            constant |= int(table[0]) >> 4 << shift
+    green = parts[0][0] if codes[0][0] else None
+    stop = green >= 256 << 4 if green is not None else np.full(n, int(codes[0][1][0]) >> 4 >= 256)
     following = np.minimum(after, n - 1)
-    stop = np.zeros(n, bool) if found[0] is None else found[0] >= 256 << 4
-    following[stop] = places[stop]
-    if fixed[0] is not None and fixed[0] >= 256:
-        stop[:] = True
-        following = places
-    two = following[following]
-    four = two[two]
-    stride = memoryview(four[four])
-    stopped = memoryview(stop)
+    if stop.any():
+        following = np.where(stop, places, following)
+    two = following.take(following)
+    four = two.take(two)
+    stride, stopped = memoryview(four.take(four)), memoryview(stop)
     out = np.zeros(total, np.uint32)
     at, p = 0, r.at - base * 8
-    shifts = (8, 16, 0, 24)
     while at < total:
         heads, q, left = [], p, total - at
-        while not stopped[q] and len(heads) * 8 < left:
+        for _ in range(-(-left // 8)):
+            if stopped[q]:
+                break
             heads.append(q)
             q = stride[q]
         if heads:
-            own = np.empty((len(heads), 8), np.int32)
-            own[:, 0] = heads
+            own = np.empty((8, len(heads)), np.int32)
+            own[0] = heads
             for i in range(1, 8):
-                own[:, i] = following[own[:, i - 1]]
-            own = own.ravel()
-            if stop[own[-1]]:
-                own = own[: int(stop[own].argmax())]
+                following.take(own[i - 1], out=own[i])
+            own = own.T.ravel()
+            if stopped[own[-1]]:
+                own = own[: int(stop.take(own).argmax())]
             own = own[:left]
-            pixels = np.zeros(len(own), np.uint32)
-            for f, symbol, place, shift in zip(found, fixed, where, shifts, strict=True):
-                pixels |= (symbol << shift) if f is None else (f[np.minimum(place[own], n - 1)] >> 4).astype(np.uint32) << np.uint32(shift)
-            out[at : at + len(own)] = pixels
+            pixels = out[at : at + len(own)]
+            pixels += np.uint32(constant)
+            for found, place, shift in parts:
+                here = own if place is places else np.minimum(place.take(own), n - 1)
+                pixels |= (found.take(here) >> 4).astype(np.uint32) << np.uint32(shift)
             at += len(own)
             p = int(after[own[-1]])
         r.at = base * 8 + p
@@ -620,7 +630,16 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
             write_code(w, x)
         sets.append(lengths)
 
-    def coded(k: int, symbols: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def coded(k: int, symbols: np.ndarray, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(codes, sizes) of the symbols in use; None if none takes a bit."""
+        if all(lengths[k].count(0) > len(lengths[k]) - 2 for lengths in sets):
+            return None
+        if len(sets) == 1 and use is None:
+            used, codes = canonical(sets[0][k])
+            code = np.zeros(len(sets[0][k]), np.int64)
+            code[used] = codes
+            return code[symbols], np.frombuffer(sets[0][k], np.uint8)[symbols].astype(np.int64)
+        use = np.ones(len(symbols), bool) if use is None else use
         values, bits = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
         for g, lengths in enumerate(sets):
             if lengths[k].count(0) > len(lengths[k]) - 2:
@@ -633,11 +652,15 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
             values, bits = np.where(own, code[mine], values), np.where(own, size[mine], bits)
         return values, bits
 
-    streams = [coded(0, green, np.ones(len(green), bool)), (extra, extra_bits)]
-    streams += [coded(k, parts[:, c].astype(np.int64), plain) for k, c in ((1, 2), (2, 0), (3, 3))]
+    whole = None if plain.all() else plain
+    streams = [coded(0, green), (extra, extra_bits) if len(starts) else None]
+    streams += [coded(k, parts[:, c], whole) for k, c in ((1, 2), (2, 0), (3, 3))]
     streams.append(coded(4, np.full(len(green), near), is_run))
-    streams = [s for s in streams if s[1].any()] or streams[:1]
-    w.extend(np.stack([s[0] for s in streams], 1).ravel(), np.stack([s[1] for s in streams], 1).ravel())
+    streams = [s for s in streams if s is not None]
+    if len(streams) == 1:
+        w.extend(*streams[0])
+    elif streams:
+        w.extend(np.stack([s[0] for s in streams], 1).ravel(), np.stack([s[1] for s in streams], 1).ravel())
 
 
 def wrapped(data: bytes) -> bytes:
@@ -652,26 +675,78 @@ def started(width: int, height: int) -> Writer:
     return w
 
 
+def write_greens(w: Writer, greens: np.ndarray) -> None:
+    """write_pixels for a main image whose samples all stand in the green channel; a run takes one code and its extra bits."""
+    starts, sizes = runs(greens, MIN_RUN)
+    symbols, extra, extra_bits = greens, None, None
+    if len(starts):
+        prefix, own_extra, own_bits = prefix_of(sizes)
+        inside = np.zeros(len(greens) + 1, np.int8)
+        inside[starts] = 1
+        inside[starts + sizes] -= 1
+        stays = np.cumsum(inside[:-1]) == 0
+        stays[starts] = True
+        at = (np.cumsum(stays) - 1)[starts]
+        symbols = greens.astype(np.int64)[stays]
+        symbols[at] = 256 + prefix
+        extra, extra_bits = own_extra, own_bits
+    lengths = code_lengths(np.bincount(symbols, minlength=256 + LENGTH_CODES), LONGEST_CODE)
+    w.put(0, 2)  # no cache, one code group
+    for x in (lengths, ONE_CODE, ONE_CODE, ONE_CODE, NEAR_CODE):
+        write_code(w, x)
+    used, codes = canonical(lengths)
+    code = np.zeros(len(lengths), np.int64)
+    code[used] = codes
+    size = np.frombuffer(lengths, np.uint8).astype(np.int64)
+    if len(used) == 1:
+        size = np.zeros_like(size)
+    values, bits = code.take(symbols), size.take(symbols)
+    if extra is not None:
+        values[at] |= extra << bits[at]
+        bits[at] += extra_bits
+    w.extend(values, bits)
+
+
+#: A code of the symbol 0 alone, and of the distance that means the pixel before.
+ONE_CODE, NEAR_CODE = bytes([1]) + bytes(255), bytes([0, 1]) + bytes(DISTANCE_CODES - 2)
+
+
+@lru_cache(1)
+def palette_codes() -> tuple[tuple[bytes, ...], np.ndarray]:
+    """The codes of a palette's steps: eight bits for green, none for red and blue, one for alpha; and green's codes by step."""
+    one = bytes([1]) + bytes(255)
+    return (bytes([8] * 256) + bytes(LENGTH_CODES), one, one, bytes([1]) + bytes(254) + bytes([1]), bytes([1]) + bytes(DISTANCE_CODES - 1)), canonical(bytes([8] * 256))[1]
+
+
+def write_palette(w: Writer, steps: np.ndarray) -> None:
+    """A palette of green values given by its steps; alpha steps up to 255 at the first one."""
+    lengths, green = palette_codes()
+    w.put(0, 1)
+    for x in lengths:
+        write_code(w, x)
+    alpha = np.zeros(len(steps), np.int64)
+    alpha[0] = 1
+    w.extend(green[steps] | alpha << 8, np.full(len(steps), 9))
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
     """A file of (rows, WIDTH) 8-bit samples: a palette of those that occur, held in the green channel."""
     height, width = samples.shape
     w = started(width, height)
     here = np.bincount(samples.ravel(), minlength=256) > 0
     colours = np.flatnonzero(here)
-    index = (np.cumsum(here) - 1).astype(np.uint32)[samples]
+    index = (np.cumsum(here) - 1).astype(np.uint8)[samples]
     w.put(1, 1)
     w.put(PALETTE, 2)
     w.put(len(colours) - 1, 8)
-    steps = np.diff(colours, prepend=0).astype(np.uint32) << 8
-    steps[0] |= BLACK
-    write_pixels(w, steps)
+    write_palette(w, np.diff(colours, prepend=0))
     w.put(0, 1)
     bits = palette_bits(len(colours))
     if bits:
         each = 8 >> bits
         index = np.pad(index, ((0, 0), (0, -width % (1 << bits)))).reshape(height, -1, 1 << bits)
-        index = (index << (np.arange(1 << bits, dtype=np.uint32) * each)).sum(-1, dtype=np.uint32)
-    write_pixels(w, index << 8, main=True)
+        index = (index << (np.arange(1 << bits, dtype=np.uint8) * each)).sum(-1, dtype=np.uint8)
+    write_greens(w, index.ravel())
     return wrapped(w.bytes())
 
 
@@ -721,7 +796,11 @@ STORED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("me
 @pandas_udf(STORED)
 def store_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"n_bytes": [len(x or b"") for x in batch], "media": [store(padded(x)) for x in batch]})
+        done: dict[bytes | None, bytes] = {}  # copies within a batch are stored once
+        for x in batch:
+            if x not in done:
+                done[x] = store(padded(x))
+        yield pd.DataFrame({"n_bytes": [len(x or b"") for x in batch], "media": [done[x] for x in batch]})
 
 
 LOADED = T.StructType([T.StructField(c, T.StringType() if c in ("payload_sha256", "media_sha256", "feature") else T.LongType()) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
@@ -743,7 +822,8 @@ def digest(media: bytes) -> tuple:
 @pandas_udf(LOADED)
 def load_media(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([digest(x) for x in batch], columns=[f.name for f in LOADED.fields])
+        done = {x: digest(x) for x in set(batch)}
+        yield pd.DataFrame([done[x] for x in batch], columns=[f.name for f in LOADED.fields])
 
 
 PIXELS = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("rgba", T.BinaryType()), T.StructField("error", T.StringType())])

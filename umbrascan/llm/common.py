@@ -38,9 +38,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that outlives any executor."""
-    path = new_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = new_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of finished writes when their handles are collected
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -83,22 +83,37 @@ def quoted(before: str, inner: Column, after: str = '").') -> Column:
     return F.concat(F.lit(before + '"'), inner, F.lit(after))
 
 
-def text_rule(text: Column, technique: Column) -> Column:
-    """struct(label, why): whoever addresses the detector, then whoever instructs an AI, then layout and short texts."""
+def text_cases(text: Column, technique: Column) -> list[tuple[Column, str, Column]]:
+    """(condition, label, why), the first that holds counts: addressing the detector, instructing an AI, layout, short texts, the rest."""
     lowered = F.lower(text)
     addressed, instructed = first_phrase(lowered, ADDRESSING), first_phrase(lowered, INSTRUCTION)
     hint = F.lit(False)
     for h in HINTS:
         hint = hint | F.contains(lowered, F.lit(h))
     n = T.ascii_words(text)
-    rule = lambda label, why: F.struct(F.lit(label).alias("label"), why.alias("why"))
-    return (
-        F.when(addressed.isNotNull(), rule("manipulation", quoted("Hidden text addresses the classifier/scanner itself (matched ", addressed)))
-        .when(instructed.isNotNull(), rule("manipulation", quoted("Contains AI-directed instruction language (matched ", instructed)))
-        .when(hint & (n <= MAX_HINT_WORDS), rule("benign", F.lit(WHY_BENIGN_HINT)))
-        .when((n <= MAX_SHORT_WORDS) & (technique != "invisible_unicode"), rule("benign", F.lit(WHY_SHORT)))
-        .otherwise(rule("suspicious", F.lit(WHY_SUSPICIOUS)))
-    )
+    return [
+        (addressed.isNotNull(), "manipulation", quoted("Hidden text addresses the classifier/scanner itself (matched ", addressed)),
+        (instructed.isNotNull(), "manipulation", quoted("Contains AI-directed instruction language (matched ", instructed)),
+        (hint & (n <= MAX_HINT_WORDS), "benign", F.lit(WHY_BENIGN_HINT)),
+        ((n <= MAX_SHORT_WORDS) & (technique != "invisible_unicode"), "benign", F.lit(WHY_SHORT)),
+        (F.lit(True), "suspicious", F.lit(WHY_SUSPICIOUS)),
+    ]
+
+
+def chosen(cases: list[tuple[Column, Column]]) -> Column:
+    out = F.when(*cases[0])
+    for condition, value in cases[1:]:
+        out = out.when(condition, value)
+    return out
+
+
+def text_rule(text: Column, technique: Column) -> Column:
+    """struct(label, why) by text_cases."""
+    return chosen([(c, F.struct(F.lit(label).alias("label"), why.alias("why"))) for c, label, why in text_cases(text, technique)])
+
+
+def text_label(text: Column, technique: Column) -> Column:
+    return chosen([(c, F.lit(label)) for c, label, _ in text_cases(text, technique)])
 
 
 def is_manipulation(text: Column) -> Column:

@@ -56,7 +56,6 @@ def partial_ratio_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-#: SQL macros over built-ins: name -> (parameters, body with the column API's own expression).
 def register(spark: SparkSession) -> None:
     """The functions under their SQL names."""
     spark.udf.register("nfkc", nfkc)
@@ -69,7 +68,7 @@ def register(spark: SparkSession) -> None:
         ("normalize_text", "string", T.normalize),
     ):
         sql_function(spark, name, "t STRING", kind, function(F.col("t")))
-    sql_function(spark, "rule_label", "t STRING, technique STRING", "string", rules.text_rule(F.col("t"), F.col("technique"))["label"])
+    sql_function(spark, "rule_label", "t STRING, technique STRING", "string", rules.text_label(F.col("t"), F.col("technique")))
     rgb = lambda c: geometry.channels(F.col(c))
     sql_function(spark, "contrast_ratio", "a INT, b INT", "double", geometry.contrast(rgb("a"), rgb("b")))
 
@@ -81,7 +80,19 @@ def sql_function(spark: SparkSession, name: str, parameters: str, kind: str, bod
     text = frame.select(body.alias("r"))._jdf.queryExecution().analyzed().expressions().head().child().sql()
     for n in names:
         text = text.replace(f"`{n}`", n)
-    try:
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {text}")
-    except Exception as e:
-        raise ValueError(f"{name}: {text[:300]}") from e
+    text = with_arrows(text)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {text}")
+
+
+def with_arrows(text: str) -> str:
+    """The text of an expression with its lambda functions, of one variable each, written as SQL reads them."""
+    mark = "lambdafunction("
+    while mark in text:
+        start = text.rindex(mark)
+        at, depth = start + len(mark), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[at], 0)
+            at += 1
+        body, variable = text[start + len(mark) : at - 1].rsplit(", ", 1)
+        text = f"{text[:start]}p -> {body.replace(variable, 'p')}{text[at:]}"
+    return text

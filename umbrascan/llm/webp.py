@@ -42,7 +42,6 @@ CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 1
 CACHE_FACTOR = 0x1E35A7BD
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
-BLACK = 0xFF000000
 #: Short distance codes stand for neighbours, nearest first: (x to the left, y rows up).
 NEIGHBOURS = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -607,7 +606,7 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
             if not is_run[i] and table.get(slot) == int(flat[p]):
                 hits[i] = slot
         green = np.where(hits >= 0, 256 + LENGTH_CODES + hits, green)
-    group = np.zeros(len(at), np.int64)
+    group, n_groups = np.zeros(len(at), np.int64), 1
     if main:
         w.put(int(group_bits > 0), 1)
         if group_bits:
@@ -616,12 +615,13 @@ def write_pixels(w: Writer, pixels: np.ndarray, main: bool = False, cache_bits:
             image = (np.arange(rows * blocks(width, group_bits)) % 2).astype(np.uint32) << 8
             write_pixels(w, image)
             grid = image.reshape(rows, -1) >> 8
+            n_groups = int(grid.max()) + 1
             group = grid[at[order] // width >> group_bits, at[order] % width >> group_bits].astype(np.int64)
     plain = green < 256
     near = 1  # the code of the pixel to the left is 2, of prefix 1
     alphabet = 256 + LENGTH_CODES + ((1 << cache_bits) if cache_bits else 0)
     sets = []
-    for g in range(int(group.max(initial=0)) + 1):
+    for g in range(n_groups):
         own = group == g
         used = own & plain
         counted = [np.bincount(green[own], minlength=alphabet)] + [np.bincount(parts[used, c], minlength=256) for c in (2, 0, 3)] + [np.bincount(np.full(int((own & is_run).sum()), near), minlength=DISTANCE_CODES)]

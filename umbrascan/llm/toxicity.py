@@ -17,9 +17,11 @@ maximum; repeated rows are each returned; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ from pyspark.sql.functions import pandas_udf
 
 from . import common
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 MAX_TERMS = 400
 MIN_SUPPORT = 5
 MAX_CLEAN_SHARE = 0.02
@@ -59,57 +61,93 @@ def edits(term: str, stem: bool) -> int:
 
 
 class Automaton:
-    """The Levenshtein automaton of a word: a state holds, for each prefix of the word, the edits that lead to it."""
+    """The Levenshtein automaton of a word, its states as bits: state[d] has bit i if i letters are read with d edits."""
 
     def __init__(self, word: str, most: int):
-        self.word, self.most = word, most
-        self.start = list(range(len(word) + 1))
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+        self.end, self.full = 1 << len(word), (1 << len(word) + 1) - 1
+        self.start = [(1 << d + 1) - 1 & self.full for d in range(most + 1)]
 
     def step(self, state: list[int], char: str) -> list[int]:
-        out = [state[0] + 1]
-        for i, own in enumerate(self.word):
-            out.append(min(state[i] + (own != char), state[i + 1] + 1, out[i] + 1))
+        here = self.places.get(char, 0)
+        out = [(state[0] & here) << 1]
+        for before, now in zip(state, state[1:]):
+            out.append(((now & here) << 1 | before | before << 1 | out[-1] << 1) & self.full)
         return out
 
 
 def trie_of(terms: list[tuple[str, bool]]) -> dict:
+    """Letters to nodes; "" to the term that ends there; None to the most edits any term below allows."""
     root: dict = {}
     for term, stem in terms:
-        node = root
+        node, bound = root, edits(term, stem)
+        node[None] = max(node.get(None, 0), bound)
         for c in term:
             node = node.setdefault(c, {})
+            node[None] = max(node.get(None, 0), bound)
         node[""] = (term, stem)
     return root
 
 
-def best_hit(word: str, root: dict, most: int = 2) -> tuple[str, int] | None:
+def best_hit(word: str, root: dict) -> tuple[str, int] | None:
     """The nearest term of the trie within its edit bound, and the number of edits."""
-    machine, found = Automaton(word, most), None
+    if not root:
+        return None
+    machine, found = Automaton(word, root[None]), None
     todo = [(root, machine.start)]
     while todo:
         node, state = todo.pop()
+        if "" in node:
+            term, stem = node[""]
+            for off in range(edits(term, stem) + 1):
+                if state[off] if stem else state[off] & machine.end:
+                    if found is None or (off, term) < (found[1], found[0]):
+                        found = (term, off)
+                    break
         for char, child in node.items():
-            if char == "":
-                term, stem = child
-                off = min(state) if stem else state[-1]
-                if off <= edits(term, stem) and (found is None or off < found[1]):
-                    found = (term, off)
-                continue
-            after = machine.step(state, char)
-            if min(after) <= most:
-                todo.append((child, after))
+            if char:
+                after = machine.step(state, char)
+                if after[child[None]]:
+                    todo.append((child, after))
     return found
 
 
+def piece_machine(terms: list[tuple[str, bool]]) -> ahocorasick.Automaton | None:
+    """Aho-Corasick over pieces of the terms: with k edits, one of k + 1 pieces of a term stands unchanged, at most k places off."""
+    pieces: dict[str, list[tuple[int, int, int, int]]] = {}
+    for term, stem in terms:
+        k = edits(term, stem)
+        cuts = [round(i * len(term) / (k + 1)) for i in range(k + 2)]
+        for at, end in zip(cuts, cuts[1:]):
+            pieces.setdefault(term[at:end], []).append((at, k, len(term) - k, 1 << 30 if stem else len(term) + k))
+    if not pieces:
+        return None
+    machine = ahocorasick.Automaton()
+    for piece, uses in pieces.items():
+        machine.add_word(piece, (len(piece), uses))
+    machine.make_automaton()
+    return machine
+
+
 class Matcher:
     """Hits of a lexicon in texts; what a word hits is remembered for a bounded number of words."""
 
-    MEMORY = 400_000
+    MEMORY = 1_000_000
 
     def __init__(self, terms: list[tuple[str, bool]], ordinary: set[str]):
         self.root, self.ordinary, self.known = trie_of(terms), ordinary, {}
-        self.token = re.compile(TOKEN)
-        self.most = max([edits(*t) for t in terms], default=0)
+        self.token, self.pieces = re.compile(TOKEN), piece_machine(terms)
+
+    def may_hit(self, word: str) -> bool:
+        if self.pieces is None:
+            return False
+        for end, (size, uses) in self.pieces.iter(word):
+            for at, k, shortest, longest in uses:
+                if shortest <= len(word) <= longest and abs(end + 1 - size - at) <= k:
+                    return True
+        return False
 
     def of_word(self, word: str) -> int:
         """-1: none, 0: a term, 1 and more: a misspelling."""
@@ -117,8 +155,9 @@ class Matcher:
         if hit is None:
             if len(self.known) > self.MEMORY:
                 self.known.clear()
-            found = best_hit(plain(word), self.root, self.most) if len(word) >= LEAST_LETTERS - 1 else None
-            hit = self.known[word] = -1 if found is None or found[1] and word in self.ordinary else found[1] + (found[1] == 0 and plain(word) != word)
+            read = plain(word)
+            found = best_hit(read, self.root) if len(word) >= LEAST_LETTERS - 1 and self.may_hit(read) else None
+            hit = self.known[word] = -1 if found is None or found[1] and word in self.ordinary else found[1] + (found[1] == 0 and read != word)
         return hit
 
     def features(self, text: str | None) -> list[float]:
@@ -126,14 +165,14 @@ class Matcher:
         lowered = (text or "").lower()
         words = self.token.findall(lowered)
         known = self.known
+        for w in set(words).difference(known):
+            self.of_word(w)
         hits = [(i, h) for i, h in enumerate([known.get(w, -2) for w in words]) if h != -1]
-        hits = [(i, h if h >= 0 else self.of_word(words[i])) for i, h in hits]
+        hits = [(i, h) for i, h in ((i, h if h >= 0 else self.of_word(words[i])) for i, h in hits) if h >= 0]
         exact = near = taken = 0.0
-        if any(h >= 0 for _, h in hits):
+        if hits:
             places = [m.span() for m in self.token.finditer(lowered)]
             for i, h in hits:
-                if h < 0:
-                    continue
                 weight = context(lowered, words, places, i)
                 taken += 1 - weight
                 if h:
@@ -153,11 +192,12 @@ def context(text: str, words: list[str], places: list[tuple[int, int]], i: int)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Settled (text, toxic) of at most SAMPLE labelled rows that may be learned from."""
-    own = labels.filter(F.col("toxic").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Settled (doc_id, text, toxic) of at most SAMPLE labelled doc_ids that may be learned from; one text of a doc_id."""
+    own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = own.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(SAMPLE)
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most SAMPLE rows
-    return common.settle(chosen.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample").limit(2 * SAMPLE)
+    one = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    return common.settle(one, "toxic-sample")
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -219,9 +259,11 @@ def ordinary_words(sample: DataFrame, terms: list[tuple[str, bool]]) -> set[str]
 
 
 def features_udf(terms: list[tuple[str, bool]], ordinary: set[str]):
+    key = f"lexicon {hashlib.sha256(repr((terms, sorted(ordinary))).encode()).hexdigest()}"
+
     @pandas_udf(T.ArrayType(T.DoubleType()))
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(terms, ordinary)
+        matcher = common.per_process(key, lambda: Matcher(terms, ordinary))
         for batch in batches:
             yield pd.Series([matcher.features(x) for x in batch])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -83,10 +83,14 @@ def quoted(before: str, inner: Column, after: str = '").') -> Column:
     return F.concat(F.lit(before + '"'), inner, F.lit(after))
 
 
-def text_cases(text: Column, technique: Column) -> list[tuple[Column, str, Column]]:
-    """(condition, label, why), the first that holds counts: addressing the detector, instructing an AI, layout, short texts, the rest."""
+def text_cases(text: Column, technique: Column, addressed: Column | None = None, instructed: Column | None = None) -> list[tuple[Column, str, Column]]:
+    """(condition, label, why), the first that holds counts: addressing the detector, instructing an AI, layout, short texts, the rest.
+
+    addressed and instructed are the first phrases of the two lists; given as columns of their own they are searched once.
+    """
     lowered = F.lower(text)
-    addressed, instructed = first_phrase(lowered, ADDRESSING), first_phrase(lowered, INSTRUCTION)
+    addressed = first_phrase(lowered, ADDRESSING) if addressed is None else addressed
+    instructed = first_phrase(lowered, INSTRUCTION) if instructed is None else instructed
     hint = F.lit(False)
     for h in HINTS:
         hint = hint | F.contains(lowered, F.lit(h))
@@ -122,16 +126,24 @@ def is_manipulation(text: Column) -> Column:
     return lowered.rlike("(?U)" + "|".join(f"(?:{p})" for p in ADDRESSING + INSTRUCTION))
 
 
-def invisible_rule(raw: Column) -> Column:
-    """struct(label, why) of raw text with a hidden tag message or many invisible characters; else null."""
-    decoded, n = T.decode_tags(raw), T.count_invisible(raw)
+def invisible_cases(decoded: Column, n: Column) -> list[tuple[Column, Column]]:
+    """(condition, why) of manipulation, by a text's decoded tag message and its number of invisible characters."""
     why = F.concat(F.lit('Invisible tag characters encode hidden text ("'), F.substring(decoded, 1, MAX_DECODED), F.lit('").'))
     dense = F.concat(n.cast("string"), F.lit(f" invisible characters in one snippet (more than {MAX_BENIGN_INVISIBLE})."))
-    made = lambda w: F.struct(F.lit("manipulation").alias("label"), w.alias("why"))
-    return F.when(F.trim(decoded) != "", made(why)).when(n > MAX_BENIGN_INVISIBLE, made(dense))
+    return [(F.trim(decoded) != "", why), (n > MAX_BENIGN_INVISIBLE, dense)]
 
 
-def flag_rule(text: Column, classify_text: Column, technique: Column) -> Column:
-    """struct(label, why) of a flag: its decoded text by the text rule, raised by the invisible rule on its own text."""
-    base, raised = text_rule(F.coalesce(classify_text, text), technique), invisible_rule(text)
-    return F.when((base["label"] != "manipulation") & raised.isNotNull(), raised).otherwise(base)
+def invisible_rule(raw: Column) -> Column:
+    """struct(label, why) of raw text with a hidden tag message or many invisible characters; else null."""
+    return chosen([(c, F.struct(F.lit("manipulation").alias("label"), why.alias("why"))) for c, why in invisible_cases(T.decode_tags(raw), T.count_invisible(raw))])
+
+
+def with_rule(flags: DataFrame) -> DataFrame:
+    """flags (text, classify_text, technique) with rule_label and rule_why: the decoded text by the text rule, raised by the invisible rule on the flag's own text."""
+    read = F.coalesce("classify_text", "text")
+    found = {"_addressed": first_phrase(F.lower(read), ADDRESSING), "_instructed": first_phrase(F.lower(read), INSTRUCTION), "_decoded": T.decode_tags(F.col("text")), "_n": T.count_invisible(F.col("text"))}
+    cases = text_cases(read, F.col("technique"), F.col("_addressed"), F.col("_instructed"))
+    raised = [(c, "manipulation", why) for c, why in invisible_cases(F.col("_decoded"), F.col("_n"))]
+    order = cases[:2] + raised + cases[2:]
+    out = flags.withColumns(found)
+    return out.withColumns({"rule_label": chosen([(c, F.lit(x)) for c, x, _ in order]), "rule_why": chosen([(c, why) for c, _, why in order])}).drop(*found)

@@ -98,9 +98,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def has_invisible(text: Column) -> Column:
+    return text.rlike(f"[{IN_INVISIBLE}{IN_TAGS}]")
+
+
 def is_transparent(text: Column) -> Column:
-    """Blank, or nothing but invisible characters once stripped."""
-    return strip(text).rlike(rf"^[{IN_INVISIBLE}\x{{E0000}}-\x{{10FFFF}}]*$")
+    """Blank, or nothing but invisible characters between white space at the ends."""
+    return text.rlike(rf"(?U)^[{SPACE}]*[{IN_INVISIBLE}\x{{E0000}}-\x{{10FFFF}}]*[{SPACE}]*$")
+
+
+def has_letters(text: Column, least: int) -> Column:
+    """Whether at least so many letters and digits are in the text; stops at the last one needed."""
+    return text.rlike(rf"(?s)(?:[\p{{L}}\p{{N}}].*?){{{least}}}")
 
 
 def ascii_words(text: Column) -> Column:

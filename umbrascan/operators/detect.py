@@ -119,7 +119,8 @@ def line_flags(spans: DataFrame) -> DataFrame:
     """A flag for each line with invisible characters that hide something; decoded tag text is shown below the line."""
     whole = spans.groupBy("doc_id", "page", "block_no", "line_no").agg(F.sort_array(F.collect_list(F.struct("span_no", "text"))).alias("spans"), *G.union())
     line = F.array_join(F.transform("spans", lambda s: s["text"]), "")
-    named = whole.withColumn("line", line).withColumns({"names": T.invisible_names(F.col("line")), "tags": T.decode_tags(F.col("line"))}).filter(F.size("names") > 0)
+    whole = whole.withColumn("line", line).filter(T.has_invisible(F.col("line")))  # few lines get further
+    named = whole.withColumns({"names": T.invisible_names(F.col("line")), "tags": T.decode_tags(F.col("line"))}).filter(F.size("names") > 0)
     tagged = F.col("tags") != ""
     detail = F.concat(F.lit("found: "), F.array_join("names", ", "), F.when(tagged, F.concat(F.lit('; decoded hidden tag text: "'), F.col("tags"), F.lit('"'))).otherwise(F.lit("")))
     shown = F.when(tagged, F.concat(F.col("line"), F.lit("\n[decoded tag text] "), F.col("tags"))).otherwise(F.col("line"))
@@ -163,12 +164,6 @@ def style_flags(spans: DataFrame, meta: DataFrame, traces: DataFrame | None = No
 
 def label(flags: DataFrame) -> DataFrame:
     """Numbered flags with their id and rule label; the rule's reason follows the detector's."""
-    ruled = numbered(flags).withColumn("_rule", R.flag_rule(F.col("text"), F.col("classify_text"), F.col("technique")))
+    ruled = R.with_rule(numbered(flags))
     key = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("ord").cast("string"), "technique", "text")
-    return ruled.withColumns(
-        {
-            "flag_id": F.substring(F.sha2(key.cast("binary"), 256), 1, 8),
-            "reason": F.concat("reason", F.lit(" "), F.col("_rule.why")),
-            "rule_label": F.col("_rule.label"),
-        }
-    ).drop("_rule")
+    return ruled.withColumns({"flag_id": F.substring(F.sha2(key.cast("binary"), 256), 1, 8), "reason": F.concat("reason", F.lit(" "), F.col("rule_why"))}).drop("rule_why")

@@ -21,12 +21,12 @@ CROP_SCORE = 0.5
 
 def judged(spans: DataFrame) -> DataFrame:
     """Spans long enough to judge, with their normalised words."""
-    return spans.filter(F.char_length(T.normalize(F.col("text"))) >= MIN_CHARS).withColumn("words", T.words(F.col("text")))
+    return spans.filter(T.has_letters(F.col("text"), MIN_CHARS)).withColumn("words", T.words(F.col("text")))
 
 
 def pages_to_read(spans: DataFrame) -> DataFrame:
     """Pages with a span that is long enough to judge; only these are worth reading."""
-    return spans.filter(F.char_length(T.normalize(F.col("text"))) >= MIN_CHARS).select(*PAGE_KEY).distinct()
+    return spans.filter(T.has_letters(F.col("text"), MIN_CHARS)).select(*PAGE_KEY).distinct()
 
 
 def decoded_lines(raw: DataFrame, zoom: float = 2.0) -> DataFrame:
@@ -107,9 +107,11 @@ def fresh_flags(hidden: DataFrame, matched: DataFrame) -> DataFrame:
     )
 
 
-def add_visual(flags: DataFrame, seen: DataFrame) -> DataFrame:
-    """Numbered style flags, marked where the visual difference found them too, and its own flags. seen: visible_fraction's."""
-    hidden = hidden_runs(seen)
+def add_visual(flags: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Numbered style flags, marked where the visual difference found them too, and its own flags. hidden: hidden_runs' spans.
+
+    Both frames are read several times; a caller does well to persist them.
+    """
     matched = first_overlaps(hidden, flags)
     marks = matched.select("doc_id", "ord").distinct().withColumn("_mark", F.lit(True))
     both = F.array_union("detected_by", F.when(F.col("_mark"), F.array(F.lit("visual"))).otherwise(F.array().cast("array<string>")))

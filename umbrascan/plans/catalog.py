@@ -32,26 +32,37 @@ def add(name: str, select: str | None = None, *views: str):
     return keep
 
 
+def by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Documents dealt by doc_id: the one exchange that the windows and groups inside a document, block or line share."""
+    return P.documents(spark, d).repartition("doc_id")
+
+
 def spans(spark: SparkSession, d: str) -> DataFrame:
     return P.spans(P.documents(spark, d))
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    return detect.techniques(spans(spark, d), P.trace_rects(P.documents(spark, d)))
+    docs = by_document(spark, d)
+    return detect.techniques(P.spans(docs), P.trace_rects(docs))
 
 
 def style(spark: SparkSession, d: str) -> DataFrame:
-    docs = P.documents(spark, d)
-    return detect.numbered(detect.style_flags(P.spans(docs), P.metadata(docs), P.trace_rects(docs)))
+    docs = by_document(spark, d)
+    return detect.numbered(detect.style_flags(P.spans(docs), P.metadata(docs), P.trace_rects(docs))).persist()
 
 
 def seen(spark: SparkSession, d: str, fuzzy: bool = False) -> DataFrame:
-    docs = P.documents(spark, d)
+    docs = by_document(spark, d)
     return visual.visible_fraction(P.spans(docs), P.ocr_lines(docs), None, fuzzy)
 
 
+def hidden(spark: SparkSession, d: str) -> DataFrame:
+    return visual.hidden_runs(seen(spark, d)).persist()
+
+
 def flags(spark: SparkSession, d: str) -> DataFrame:
-    return detect.label(visual.add_visual(style(spark, d), seen(spark, d)))
+    """Labelled flags of all detectors. Style flags and hidden spans are read several times and small, so they are persisted."""
+    return detect.label(visual.add_visual(style(spark, d), hidden(spark, d)))
 
 
 def opinions(spark: SparkSession, d: str) -> DataFrame:
@@ -293,18 +304,18 @@ def visible_fraction_fuzzy(spark, d):
 
 @add("hidden_runs", "SELECT doc_id, page, block_no, min(line_no) AS first_line, count(*) AS n FROM hidden GROUP BY doc_id, page, block_no, run", "hidden")
 def hidden_runs(spark, d):
-    return visual.hidden_runs(seen(spark, d)).groupBy("doc_id", "page", "block_no", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).drop("run")
+    return hidden(spark, d).groupBy("doc_id", "page", "block_no", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n")).drop("run")
 
 
 @add("style_visual_dedup", f"SELECT {SPAN}, ord FROM matched", "matched")
 def style_visual_dedup(spark, d):
-    return visual.first_overlaps(visual.hidden_runs(seen(spark, d)), style(spark, d))
+    return visual.first_overlaps(hidden(spark, d), style(spark, d))
 
 
 @add("fresh_anti", "SELECT doc_id, page, text, reason, x0, y0, x1, y1 FROM visual_flags", "visual_flags")
 def fresh_anti(spark, d):
-    hidden = visual.hidden_runs(seen(spark, d))
-    return visual.fresh_flags(hidden, visual.first_overlaps(hidden, style(spark, d))).select("doc_id", "page", "text", "reason", "x0", "y0", "x1", "y1")
+    own = hidden(spark, d)
+    return visual.fresh_flags(own, visual.first_overlaps(own, style(spark, d))).select("doc_id", "page", "text", "reason", "x0", "y0", "x1", "y1")
 
 
 @add("snippet_escape", f"SELECT doc_id, line_no, {S.escaped('t', TAG)} AS snippet FROM lines", "lines")

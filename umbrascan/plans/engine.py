@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -11,7 +11,10 @@ from ..operators import detect, report, review, visual
 
 @dataclass
 class HiddenTextEngine:
-    """Scans over span, metadata, trace and line tables; every method gives a DataFrame and runs nothing."""
+    """Scans over span, metadata, trace and line tables; every method gives a DataFrame and runs nothing.
+
+    What is small beside the spans and read more than once, style flags and hidden spans, is persisted until `release`.
+    """
 
     spans: DataFrame
     metadata: DataFrame
@@ -19,6 +22,16 @@ class HiddenTextEngine:
     ocr_lines: DataFrame | None = None
     crops: DataFrame | None = None
     fuzzy: bool = True
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df persisted until `release`: memory first, then disk; a lost part is computed again."""
+        self.kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
 
     def flags(self) -> DataFrame:
         """Labelled flags of all detectors; without read lines the visual difference is left out of the plan."""
@@ -26,7 +39,7 @@ class HiddenTextEngine:
         if self.ocr_lines is None:
             return detect.label(style)
         seen = visual.visible_fraction(self.spans, self.ocr_lines, self.crops, self.fuzzy)
-        return detect.label(visual.add_visual(detect.numbered(style), seen))
+        return detect.label(visual.add_visual(self.keep(detect.numbered(style)), self.keep(visual.hidden_runs(seen))))
 
     def review(self, reviewer: review.Reviewer | None, cache: DataFrame | None = None) -> DataFrame:
         return review.review(self.flags(), reviewer, cache)

@@ -151,3 +151,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = format_trees(conversation_messages(rows))
     conv = F.when(F.col("tree") != "null", F.expr("substring(tree, 2)")).cast(rows.schema["conv_id"].dataType)
     return chats.select(conv.alias("conv_id"), digest(F.struct("formatted", "loss_spans")).alias("d")).select("conv_id", "d.*")
+
+
+SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, '### ' || regexp_replace(role, '([\\<#:])', '\\\1', 'g') || ': ' || regexp_replace(text, '([\\<#])', '\\\1', 'g') || '</turn>' || chr(10) AS formatted FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_webp_media": webp.op10_webp_media,
 }
 
-SQL = {"op8_benchmark_decontamination": decontam.SQL}
+SQL = {"op6_chat_formatting": chat.SQL, "op8_benchmark_decontamination": decontam.SQL}

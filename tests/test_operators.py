@@ -190,6 +190,31 @@ def test_documents_are_guarded_and_decoded(spark):
     assert got == {"a": ("text", None), "b": (None, "ValueError: broken")}
 
 
+def test_pages_are_read_and_decoded_to_lines(spark):
+    pages = spark.createDataFrame([("a", 1, bytearray(b"ok")), ("a", 2, bytearray(b"bad")), ("b", 1, bytearray(b"none"))], "doc_id string, page int, image binary")
+
+    def make_reader():
+        def read(image):
+            if image == b"bad":
+                raise RuntimeError("engine")
+            return None if image == b"none" else [([[144, 200], [288, 200], [288, 224], [144, 224]], "seen", 0.9), ([[0, 0]] * 4, "  ", 0.9)]
+
+        return read
+
+    raw = readers.read_pages(pages, make_reader)
+    assert {(r["doc_id"], r["page"]): r["error"] for r in raw.collect()} == {("a", 1): None, ("a", 2): "RuntimeError: engine", ("b", 1): None}
+    assert [tuple(r) for r in visual.decoded_lines(raw.filter("error is null")).collect()] == [("a", 1, 0, "seen", 72.0, 100.0, 144.0, 112.0)]
+    crop = spark.range(1).select(visual.crop_text(F.from_json(F.lit('[{"text": "a", "score": 0.9}, {"text": "b", "score": 0.4}, {"text": "c", "score": 0.5}]'), "array<struct<text: string, score: double>>")).alias("c"))
+    assert crop.first()["c"] == "a c"
+
+
+def test_background_is_the_upper_median_of_a_grid():
+    pixel = lambda x, y: (x, 0, 0)
+    assert readers.background(pixel, (0.0, 0.0, 3.9, 0.5), 10, 10) == (2, 0, 0)
+    assert readers.background(pixel, (0.0, 0.0, 199.0, 9.0), 200, 10)[0] == 100
+    assert readers.background(pixel, (20.0, 0.0, 30.0, 5.0), 10, 10) is None
+
+
 def test_nested_layers_flatten(spark):
     part = '{"text": "a", "bbox": [0, 1, 2, 3], "color": 5, "size": 9}'
     blocks = f'[{{"type": 0, "lines": [{{"spans": [{part}]}}]}}, {{"type": 1, "lines": []}}]'

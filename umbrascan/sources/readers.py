@@ -66,16 +66,55 @@ def pdf_decoder() -> Callable[[bytes], Iterator[tuple]]:
     return read_pdf
 
 
+def background(pixel: Callable[[int, int], tuple[int, int, int]], box: tuple[float, float, float, float], width: int, height: int, across: int = 20, down: int = 5) -> tuple[int, int, int] | None:
+    """The upper median by brightness of a coarse grid of pixels in a box; None if no pixel of the picture is in it."""
+    left, top = max(int(box[0]), 0), max(int(box[1]), 0)
+    right, bottom = min(int(box[2]) + 1, width), min(int(box[3]) + 1, height)
+    grid = [pixel(x, y) for y in range(top, bottom, max(1, (bottom - top) // down)) for x in range(left, right, max(1, (right - left) // across))]
+    return sorted(grid, key=sum)[len(grid) // 2] if grid else None
+
+
 def read_pdf(content: bytes) -> Iterator[tuple]:
+    """Spans of a PDF file, those off the page too, with the colour behind each one."""
     import pymupdf
 
     with pymupdf.open(stream=content, filetype="pdf") as doc:
         for number, page in enumerate(doc, 1):
             layer = page.get_text("dict", flags=pymupdf.TEXTFLAGS_DICT & ~pymupdf.TEXT_MEDIABOX_CLIP, clip=pymupdf.INFINITE_RECT())
+            picture = page.get_pixmap(alpha=False)
             for b, block in enumerate(layer["blocks"]):
                 for n, line in enumerate(block.get("lines", ())):
                     for s, span in enumerate(line["spans"]):
-                        yield (number, b, n, s, span["text"], *map(float, span["bbox"]), float(span["size"]), span["color"], span.get("alpha", 255), None, page.rect.width, page.rect.height)
+                        box = tuple(map(float, span["bbox"]))
+                        behind = background(lambda x, y: tuple(picture.pixel(x, y)[:3]), box, picture.width, picture.height)
+                        rgb = None if behind is None else dict(zip("rgb", behind, strict=True))
+                        yield (number, b, n, s, span["text"], *box, float(span["size"]), span["color"], span.get("alpha", 255), rgb, page.rect.width, page.rect.height)
+
+
+ITEMS = "array<struct<polygon: array<array<double>>, text: string, score: double>>"
+
+
+def read_pages(pages: DataFrame, make_reader: Callable[[], Callable[[bytes], list[tuple]]]) -> DataFrame:
+    """doc_id, page, items and error of rendered pages (doc_id, page, image): the raw reads of an OCR plug-in.
+
+    make_reader() is called once per task, since engines are slow to load; a page it fails on has no items and an error.
+    """
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select("doc_id", "page").schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = None
+        for batch in batches:
+            rows = []
+            for doc_id, page, image in zip(batch["doc_id"], batch["page"], batch["image"], strict=True):
+                try:
+                    reader = reader or make_reader()
+                    items = [{"polygon": p, "text": t, "score": float(s)} for p, t, s in reader(bytes(image)) or ()]
+                    rows.append((doc_id, page, items, None))
+                except Exception as e:
+                    rows.append((doc_id, page, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "items", "error"])
+
+    return pages.select("doc_id", "page", "image").mapInPandas(run, f"{key}, items {ITEMS}, error string")
 
 
 def flag(settings: Mapping[str, str], name: str, default: bool) -> bool:

@@ -232,6 +232,12 @@ def test_evaluation(spark):
     assert tuple(evaluate.headline(kinds).first()) == (1, 0, 0, 1, 0, 0)
 
 
+def test_flag_table_shows_what_is_invisible(spark):
+    flags = spark.createDataFrame([("a\u200bb" + "x" * 60, "white_text", ["style", "visual"], "benign", None, "benign", "skipped", None)], "text string, technique string, detected_by array<string>, rule_label string, llm_label string, final_label string, llm_status string, llm_reason string")
+    row = evaluate.flag_table(flags, F.lit("one.pdf")).first()
+    assert row["text"] == ("a\\u200bb" + "x" * 60)[:44] and (row["file"], row["by"], row["ai"], row["ai_reason"]) == ("one", "style+visual", "-", "")
+
+
 def test_settings():
     assert review.review_status({})["reason"] == "AI review disabled (LLM_PROVIDER=none)"
     assert review.review_status({"LLM_PROVIDER": " Mock "})["enabled"] and not review.review_status({"LLM_PROVIDER": "odd"})["enabled"]

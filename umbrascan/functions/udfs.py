@@ -21,6 +21,13 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@pandas_udf(StringType())
+def unicode_escape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Everything outside printable ASCII as an escape, so that a table shows it."""
+    for batch in texts:
+        yield batch.map(lambda t: None if t is None else t.encode("unicode_escape").decode("ascii"))
+
+
 def cache_key(text: Column) -> Column:
     return T.cache_key(nfkc(text))
 
@@ -60,6 +67,7 @@ def register(spark: SparkSession) -> None:
     """The functions under their SQL names."""
     spark.udf.register("nfkc", nfkc)
     spark.udf.register("partial_ratio", partial_ratio_udf)
+    spark.udf.register("unicode_escape", unicode_escape)
     for name, kind, function in (
         ("invisible_count", "int", T.count_invisible),
         ("decode_tags", "string", T.decode_tags),

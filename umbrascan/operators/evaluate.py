@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.udfs import unicode_escape
+
 FIELDS = ("provider", "filename", "pages", "num_flags", "parse_ms", "detect_ms", "visual_diff_ms", "llm_ms", "total_ms", "cache_hits", "final_risk", "style_only", "visual_only", "both")
 
 
@@ -75,6 +78,15 @@ def text_table(rows: DataFrame, columns: list[str]) -> DataFrame:
     return joined.withColumn("line", F.concat_ws("  ", *padded)).drop(*[f"_w_{c}" for c in columns])
 
 
+def flag_table(reviewed: DataFrame, filename: Column) -> DataFrame:
+    """A row per flag for a printed table: what the rules said, what the model said and what the report shows."""
+    return reviewed.select(
+        T.base_name(filename).alias("file"), "technique", F.array_join("detected_by", "+").alias("by"), F.substring(unicode_escape("text"), 1, 44).alias("text"),
+        F.col("rule_label").alias("rule"), F.coalesce("llm_label", F.lit("-")).alias("ai"), F.col("final_label").alias("final"),
+        F.col("llm_status").alias("status"), F.substring(F.coalesce("llm_reason", F.lit("")), 1, 70).alias("ai_reason"),
+    )
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """The fields of the benchmark, others left out, with a header."""
     rows.select(*[c for c in FIELDS if c in rows.columns]).write.mode("overwrite").option("header", True).csv(path)

@@ -541,3 +541,14 @@ def box_offsets(spark, d):
     sizes = report.page_sizes(spans(spark, d))
     own = report.with_overlay(flags(spark, d), sizes)
     return report.box_offsets(own, sizes.select("doc_id", "page", ((F.col("page") - 1) * 900.0).alias("top"), F.lit(0.5).alias("scale")))
+
+
+@add("flag_table")
+def flag_table(spark, d):
+    return evaluate.flag_table(reviewed(spark, d), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+
+
+@add("scan_lookup", "SELECT e.event_id AS scan_id, e.user_id AS session FROM events e JOIN (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) k USING (event_id)")
+def scan_lookup(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("scan_id"), F.col("user_id").alias("session"), F.col("ts").alias("seq"))
+    return events.select("scan_id", "session").join(report.kept_scans(events).select("scan_id"), "scan_id")

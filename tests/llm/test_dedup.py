@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from umbrascan.llm import common, decontam, line_dedup, simhash_dedup
 
 DATA = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, word int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, gone int, fp double, lines string, hit int, pieces string, own_id int, code long"
 
 
 def documents(spark, rows):
     """rows of (doc_id, text), with extra columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 7) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 7, 0.5, "l", 1, "p", 2, 3) for i, t in rows], SCHEMA)
 
 
 def components(nodes, linked):

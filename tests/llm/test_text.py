@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from umbrascan.llm import chat, langid, licenses, packing, toxicity
 
 DATA = "/root/testdata/sf0.01"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row int, at string, words int"
 
 
 def documents(spark, rows):
-    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 0.5) for i, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 0.5, 1, "a", 2) for i, t, lang in rows], SCHEMA)
 
 
 # Toxicity

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
@@ -45,12 +45,23 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a settled frame that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind settled frames that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole(df: DataFrame) -> Column:
+    """Every column of df in one struct, so that no name of a working column can clash with one of df's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def columns_of(df: DataFrame, struct: str, **fresh: Column) -> list[Column]:
+    """df's columns out of a struct made by `whole`, those in fresh replaced."""
+    return [fresh[c].alias(c) if c in fresh else F.col(struct).getField(c).alias(c) for c in df.columns]
 
 
 def per_process(key: str, make: Callable[[], Any]) -> Any:

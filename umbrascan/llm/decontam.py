@@ -104,17 +104,17 @@ def report(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """docs without its contaminated documents, or (remove="spans") without the words of hits and what separates them."""
     found = contamination(docs, benchmark).filter(F.size("hits") > 0)
-    hits = common.settle(found.select(F.col("doc_id").alias("_id"), F.col("text_code").alias("_code"), hit_words().alias("_hit")).dropDuplicates(["_id", "_code"]), "hits")
-    same = docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"], F.length(docs["text"])) == hits["_code"])
+    hits = common.settle(found.select(F.col("doc_id").alias("hit_id"), F.col("text_code").alias("hit_code"), hit_words().alias("hit")).dropDuplicates(["hit_id", "hit_code"]), "hits")
+    mine = docs.select(common.whole(docs).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text", F.length("text")).alias("own_code"))
+    same = F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_code") == F.col("hit_code"))
     if remove == "documents":
-        return docs.join(common.small_side(hits.drop("_hit"), 24), same, "left_anti")
-    joined = docs.join(hits, same, "left")
-    pieces = F.regexp_extract_all(docs["text"], F.lit(SEPARATED_WORD), F.lit(0))
-    rest = F.expr("substring(text, length(array_join(_pieces, '')) + 1)")
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), "_hit"), lambda i: F.get("_pieces", i))
-    cut = joined.withColumn("_pieces", pieces).withColumn("_cut", F.when(F.col("_hit").isNull(), docs["text"]).otherwise(F.concat(F.array_join(stay, ""), rest)))
-    named = [F.col("_cut").alias("text") if c == "text" else F.char_length("_cut").cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns]
-    return cut.select(*named)
+        return mine.join(common.small_side(hits.drop("hit"), 24), same, "left_anti").select(*common.columns_of(docs, "row"))
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(SEPARATED_WORD), F.lit(0))
+    joined = mine.join(hits, same, "left").withColumn("pieces", pieces)
+    rest = F.expr("substring(row.text, length(array_join(pieces, '')) + 1)")
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), "hit"), lambda i: F.get("pieces", i))
+    cut = joined.withColumn("cut", F.when(F.col("hit").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join(stay, ""), rest)))
+    return cut.select(*common.columns_of(docs, "row", text=F.col("cut"), n_chars=F.char_length("cut").cast("long")))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,8 +179,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows whose language is unknown or too uncertain."""
-    found = identify(docs)
-    return found.filter((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= min_score)).drop("_lang")
+    predict = predictor(train(training_windows(docs)))
+    found = docs.select(common.whole(docs).alias("row"), predict(F.col("text")).alias("lang"))
+    return found.filter((F.col("lang.lang_pred") != UNKNOWN) & (F.col("lang.score") >= min_score)).select(*common.columns_of(docs, "row"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,11 +98,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays."""
     prints = common.settle(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "prints")
     doubles = prints.join(components(prints), "fp").filter(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))))
-    gone = doubles.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    gone = doubles.select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
     gone = common.small_side(common.settle(gone, "doubles"), 24)
-    mine = fingerprints(docs).withColumnRenamed("fp", "_own")
-    left = mine.join(gone, mine["doc_id"].eqNullSafe(gone["_id"]) & (mine["_own"] == gone["_fp"]), "left_anti")
-    return left.dropDuplicates(["doc_id", "_own"]).select(*[docs.columns[i] for i in range(len(docs.columns))])
+    mine = docs.select(common.whole(docs).alias("row"), F.col("doc_id").alias("own_id"), fingerprint_of(F.col("text").cast("binary")).alias("own_fp"))
+    left = mine.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_fp") == F.col("gone_fp")), "left_anti")
+    return left.dropDuplicates(["own_id", "own_fp"]).select(*common.columns_of(docs, "row"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

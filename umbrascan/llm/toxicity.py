@@ -134,7 +134,7 @@ def piece_machine(terms: list[tuple[str, bool]]) -> ahocorasick.Automaton | None
 class Matcher:
     """Hits of a lexicon in texts; what a word hits is remembered for a bounded number of words."""
 
-    MEMORY = 1_000_000
+    MEMORY = 500_000
 
     def __init__(self, terms: list[tuple[str, bool]], ordinary: set[str]):
         self.root, self.ordinary, self.known = trie_of(terms), ordinary, {}

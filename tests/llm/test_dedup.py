@@ -218,6 +218,37 @@ def test_lines_match_brute_force(spark):
     assert got == deduped(rows)
 
 
+def deduped_by_words(rows):
+    """The kept texts by edit similarity of words alone, over all pairs of distinct lines."""
+    norm = lambda line: tuple(w for w in re.split(r"[\W_]+", line.lower()) if w)
+    places = {}
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n")):
+            if w := norm(line):
+                places.setdefault(w, []).append((i, k))
+    roots = components(sorted(places), lambda a, b: min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and edit_distance(a, b) <= max(len(a), len(b)) // 5)
+    first = {}
+    for w, ps in places.items():
+        first[roots[w]] = min([*ps, first.get(roots[w], ps[0])])
+    return {i: "\n".join(line for k, line in enumerate(t.split("\n")) if not norm(line) or first[roots[norm(line)]] == (i, k)) for i, t in rows}
+
+
+def test_complete_lines_match_brute_force_without_a_candidate_filter(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("ln", "rt", "", "sk")] + ["the", "of", "and"] * 5
+    rows = []
+    for i, n in enumerate([4, 5, 6, 9, 10, 14, 15, 24, 30, 60, 100] * 4):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        near = list(base)
+        for k in rng.sample(range(n), n // 5 + (i % 4 == 3)):  # as many changes as are allowed, or one more
+            near[k] = rng.choice(([], [rng.choice(vocabulary)], [near[k], rng.choice(vocabulary)]))
+        near = [w for x in near for w in (x if isinstance(x, list) else [x])]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near) + "\n" + " ".join([*base, "added"]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows), complete=True).collect()}
+    wanted = deduped_by_words(rows)
+    assert got == wanted and wanted != deduped(rows)
+
+
 def test_line_edges(spark):
     words_ = [f"q{i}" for i in range(line_dedup.PART + 50)]
     long = " ".join(words_)

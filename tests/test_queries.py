@@ -39,3 +39,51 @@ def test_fuzzy_sees_at_least_as_much(spark):
     exact = catalog.QUERIES["visible_fraction_exact"](spark, DATA).withColumnRenamed("visible", "exact")
     both = catalog.QUERIES["visible_fraction_fuzzy"](spark, DATA).join(exact, ["doc_id", "page", "block_no", "line_no", "span_no"])
     assert both.filter("visible < exact").count() == 0 < both.filter("visible > exact").count()
+
+
+def near(word, text):
+    """Best indel similarity of the word with a window of the text, by plain dynamic programming."""
+    short, long = sorted((word, text), key=len)
+    best = 0
+    for end in range(1, len(long) + len(short)):
+        window, row = long[max(0, end - len(short)) : end], [0] * (len(short) + 1)
+        for c in window:
+            new = [0]
+            for i, x in enumerate(short):
+                new.append(row[i] + 1 if c == x else max(new[i], row[i + 1]))
+            row = new
+        best = max(best, 200 * row[-1] / (len(short) + len(window)))
+    return best
+
+
+def test_near_is_indel_similarity():
+    assert near("winter", "awinterb") == 100 and near("harbour", "barbour") == pytest.approx(100 * 6 * 2 / 13) and near("abcd", "xyz") == 0
+
+
+def test_similar_words_count_as_seen_in_all_queries(spark):
+    key = ["doc_id", "page", "block_no", "line_no", "span_no"]
+    docs = catalog.P.documents(spark, DATA)
+    rows = catalog.visual.seen_text(catalog.visual.judged(catalog.P.spans(docs)), catalog.P.ocr_lines(docs)).collect()
+    got = {tuple(r[k] for k in key): r["visible"] for r in catalog.QUERIES["visible_fraction_fuzzy"](spark, DATA).collect()}
+    assert len(got) == len(rows)
+    saved = 0
+    for r in rows:
+        total = sum(map(len, r["words"]))
+        if total and 0 < len(r["seen"]) <= 90:
+            exact = sum(len(w) for w in r["words"] if w in r["seen"])
+            both = exact + sum(len(w) for w in r["words"] if w not in r["seen"] and len(w) >= 4 and near(w, r["seen"]) >= 75)
+            assert got[tuple(r[k] for k in key)] == pytest.approx(both / total, abs=1e-8)
+            saved += exact / total < 0.5 <= both / total
+    assert saved
+    run = lambda name: catalog.QUERIES[name](spark, DATA).collect()
+    assert sum(r["n"] for r in run("hidden_runs_fuzzy")) == sum(v < 0.5 for v in got.values()) < sum(r["n"] for r in run("hidden_runs"))
+    flags = Counter(r["doc_id"] for r in run("labelled_flags_fuzzy"))
+    risks = {r["doc_id"]: r["total_flags"] for r in run("report_risk_fuzzy")}
+    assert {i: n for i, n in risks.items() if n} == flags and sum(risks.values()) < sum(r["total_flags"] for r in run("report_risk"))
+    import __spark_entry__
+
+    assert {r["doc_id"]: r["total_flags"] for r in __spark_entry__.entry(spark).collect()} == risks
+
+
+def test_every_query_with_words_to_match_has_a_version_by_similarity():
+    assert all(f"{n}_fuzzy" in catalog.QUERIES and f"{n}_fuzzy" not in catalog.SQL for n in catalog.WHOLE_WORDS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from . import sql as S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TAG = "snippet_8f3a2c1d"
+#: Whether `seen` matches words by similarity too, which is the whole rule; SQL can't say it, so queries with SQL match whole words only.
+SIMILAR: ContextVar[bool] = ContextVar("SIMILAR", default=False)
 
 
 def add(name: str, select: str | None = None, *views: str):
@@ -32,6 +35,19 @@ def add(name: str, select: str | None = None, *views: str):
     return keep
 
 
+def by_similarity(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f under the whole rule of the visual difference."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        before = SIMILAR.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            SIMILAR.reset(before)
+
+    return query
+
+
 def by_document(spark: SparkSession, d: str) -> DataFrame:
     """Documents dealt by doc_id: the one exchange that the windows and groups inside a document, block or line share."""
     return P.documents(spark, d).repartition("doc_id")
@@ -51,9 +67,9 @@ def style(spark: SparkSession, d: str) -> DataFrame:
     return detect.numbered(detect.style_flags(P.spans(docs), P.metadata(docs), P.trace_rects(docs))).persist()
 
 
-def seen(spark: SparkSession, d: str, fuzzy: bool = False) -> DataFrame:
+def seen(spark: SparkSession, d: str) -> DataFrame:
     docs = by_document(spark, d)
-    return visual.visible_fraction(P.spans(docs), P.ocr_lines(docs), None, fuzzy)
+    return visual.visible_fraction(P.spans(docs), P.ocr_lines(docs), None, SIMILAR.get())
 
 
 def hidden(spark: SparkSession, d: str) -> DataFrame:
@@ -298,8 +314,9 @@ def visible_fraction_exact(spark, d):
 
 
 @add("visible_fraction_fuzzy")
+@by_similarity
 def visible_fraction_fuzzy(spark, d):
-    return seen(spark, d, fuzzy=True).select(*detect.SPAN_KEY, F.round("visible", 9).alias("visible"))
+    return seen(spark, d).select(*detect.SPAN_KEY, F.round("visible", 9).alias("visible"))
 
 
 @add("hidden_runs", "SELECT doc_id, page, block_no, min(line_no) AS first_line, count(*) AS n FROM hidden GROUP BY doc_id, page, block_no, run", "hidden")
@@ -544,6 +561,7 @@ def box_offsets(spark, d):
 
 
 @add("flag_table")
+@by_similarity
 def flag_table(spark, d):
     return evaluate.flag_table(reviewed(spark, d), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
 
@@ -552,3 +570,12 @@ def flag_table(spark, d):
 def scan_lookup(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("scan_id"), F.col("user_id").alias("session"), F.col("ts").alias("seq"))
     return events.select("scan_id", "session").join(report.kept_scans(events).select("scan_id"), "scan_id")
+
+
+#: Queries behind the visual difference whose SQL holds them to whole words; NAME_fuzzy is the same query under the whole rule.
+WHOLE_WORDS = (
+    "labelled_flags", "hidden_runs", "style_visual_dedup", "fresh_anti", "prompt_body", "review_status", "review_stats", "request_body", "report_risk",
+    "by_technique", "by_technique_map", "label_counts", "page_preview_list", "report_json", "detector_counts", "detector_kinds", "detector_headline",
+    "client_merge", "caught_by", "ai_label_text", "ai_unavailable", "box_offsets",
+)
+QUERIES |= {f"{name}_fuzzy": by_similarity(QUERIES[name]) for name in WHOLE_WORDS}

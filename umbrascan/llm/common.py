@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that is ever broadcast; beyond it the same join is shuffled.
 BROADCAST_BYTES = 32 << 20
+#: So many of the most frequent keys of a join are taken apart from the rest.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +38,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: With this setting Spark deletes a query's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that outlives any executor."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # Spark deletes the shuffle files of finished writes when their handles are collected
+    path, before = new_path(spark, label), spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,9 +81,28 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of a settled frame only if its counted rows fit in `limit`; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(rows: int, row_bytes: int) -> bool:
+    """Whether so many rows may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Hint a broadcast of a settled frame only if its counted rows fit in BROADCAST_BYTES; else leave the join to a shuffle."""
+    return F.broadcast(df) if small(df.count(), row_bytes) else df
+
+
+def hottest(counted: DataFrame, on: list[str], count: str, keys: int = HOT_KEYS) -> DataFrame:
+    """The keys that most rows have, a bounded number of them whatever the input."""
+    return counted.orderBy(F.desc(count)).limit(keys).select(*on)
+
+
+def join_skewed(rows: DataFrame, by_key: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """rows joined with by_key (few rows a key), where some keys of rows may be very frequent: by_key's rows of the `hot` keys, a bounded
+    number, are broadcast, so that rows of these keys stay where they are; all the others are shuffled by key."""
+    hot = F.broadcast(hot)
+    some = rows.join(F.broadcast(by_key.join(hot, on, "left_semi")), on)
+    rest = rows.join(hot, on, "left_anti").join(by_key.join(hot, on, "left_anti"), on)
+    return some.unionByName(rest)
 
 
 def ascii_lower(text: Column) -> Column:

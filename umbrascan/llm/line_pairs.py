@@ -1,0 +1,127 @@
+"""Candidate pairs of similar lines, complete at an edit similarity of 0.8 over words, in DataFrame operations only.
+
+Lines of n and m <= n words that are similar differ by at most d = n // 5 edits. By the pigeonhole principle they meet in a bucket:
+
+* An edit changes at most two pairs of neighbouring words, so of each line the 2d + 1 first pairs of words in an order common to all lines
+  (a prefix) hold one that both have. The order puts pairs of long words first, as they are rarer; any order gives
+  the same links, a good one smaller buckets. One more pair is kept, so that two are in common.
+* Lines of 5 to 9 words differ by one edit at most: with the same word left out they are equal, or the shorter line is the
+  longer one without a word.
+
+Every line carries a fingerprint of 256 bits, bit c telling whether words with the hash c stand in the line an odd number of times. An edit moves
+at most two of its bits (of a majority fingerprint it may move any number), so pairs at more than 2d differing bits are no candidates, and no other pair is lost.
+
+No bucket is expanded into all its pairs: members are first compared with one of them, the bucket's centre, and what this links is one
+group from then on. Only members of different groups meet in a second round, in buckets of at most CROWD lines; larger buckets are
+first divided by a second pair of words in common.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import common
+
+LANES = ("s0", "s1", "s2", "s3")
+TRAITS = ("n", *LANES)
+CHUNK = 8  # words whose bits are gathered in one expression
+#: Rows of so many of the most repeated lines are left out of the buckets but for the first occurrence. Copies of other lines only cost rows.
+HOT_LINES = 50_000
+#: Largest bucket whose groups meet pair by pair.
+CROWD = 200
+#: Lines from LONG words on are looked up by pairs of words, lines of up to SHORT words by single words left out.
+LONG, SHORT = 8, 9
+
+
+def sketched(words: DataFrame) -> DataFrame:
+    """Settled row per line: doc_id, code, line_no, h1, h2, n and the fingerprint s0..s3. words: a line's place (with `row`) and its `words`."""
+    place = ["row", "doc_id", "code", "line_no", "h1", "h2", "n"]
+    each = words.withColumns({"h1": F.xxhash64("words"), "h2": F.hash("words"), "n": F.size("words")})
+    chunks = each.filter("n > 0").select(*place, "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("at"))
+    inside = [F.col("at") + i < F.col("n") for i in range(CHUNK)]
+    chunks = chunks.select(*place, *[F.when(i, F.xxhash64(F.get("words", F.col("at") + k))).alias(f"c{k}") for k, i in enumerate(inside)])
+    bit = lambda k, lane: F.when(F.shiftright(f"c{k}", 6).bitwiseAND(3) == lane, F.expr(f"shiftleft(1L, cast(c{k} & 63 as int))")).otherwise(F.lit(0).cast("long"))
+    lanes = [reduce(lambda x, y: x.bitwiseXOR(y), [bit(k, lane) for k in range(CHUNK)]).alias(s) for lane, s in enumerate(LANES)]
+    return common.settle(chunks.select(*place, *lanes).groupBy(*place).agg(*[F.bit_xor(s).alias(s) for s in LANES]).drop("row"), "lines")
+
+
+def near(a: str, b: str) -> Column:
+    """True for all pairs that are similar enough: lengths allow it, and no more bits differ than the allowed edits change."""
+    longer = F.greatest(f"n_{a}", f"n_{b}")
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))) for s in LANES])
+    return (F.least(f"n_{a}", f"n_{b}") * 5 >= longer * 4) & (bits <= F.floor(longer / 5) * 2)
+
+
+def keys(words: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, h1) for each bucket of each line. Odd keys stand for lines with a word left out, and h1 | 1 for the whole line itself."""
+    hot = lines.filter("times > 1").orderBy(F.desc("times")).limit(HOT_LINES).select(F.col("h1").alias("hot"), "first")
+    mine = words.withColumns({"h1": F.xxhash64("words"), "n": F.size("words")}).filter("n >= 4").join(F.broadcast(hot), F.col("h1") == F.col("hot"), "left")
+    mine = mine.filter("hot is null or (doc_id <=> first.doc_id and code = first.code and line_no = first.line_no)").select("h1", "n", "words")
+    # Above 54 bits of a word's hash stands how much shorter than 127 bytes it is. The sum of a word's number and the next one's other number
+    # stands for their pair; with the lengths in front the order stays one of whole pairs.
+    number = lambda seed: f"transform(words, w -> shiftleft(cast(127 - least(126, octet_length(w)) as bigint), 55) | (xxhash64(w{seed}) & {(1 << 54) - 1}))"
+    mine = mine.withColumns({"own": F.expr(number("")), "other": F.expr(number(", 1"))})
+    pairs = "zip_with(slice(own, 1, n - 1), slice(other, 2, n - 1), (x, y) -> coalesce(x + y, 0L))"
+    mine = mine.withColumn("prefix", F.expr(f"case when n >= {LONG} then slice(sort_array({pairs}), 1, 2 * (n div 5) + 2 + int(n % 5 = 4)) else array() end"))
+    # A pair that comes again in the prefix is a key of its own, so that it counts as a second one in common.
+    by_pairs = "array_distinct(transform(prefix, (x, i) -> xxhash64(x, case when i > 0 and get(prefix, i - 1) = x then 1 else 0 end) & -2))"
+    without = lambda head: f"xxhash64({head}slice(words, 1, i - 1), slice(words, i + 1, n))"
+    changed = f"transform(sequence(1, n), i -> {without('i, ')} & -2)"
+    shorter = "transform(sequence(1, n), i -> xxhash64(concat(slice(words, 1, i - 1), slice(words, i + 1, n))) | 1)"
+    one_edit = f"case when n between 5 and {SHORT} then array_distinct(concat({changed}, {shorter})) else array() end"
+    own = f"case when n < {SHORT} then array(h1 | 1) else array() end"
+    return mine.select("h1", F.explode(F.expr(f"concat({by_pairs}, {one_edit}, {own})")).alias("key"))
+
+
+def buckets(placed: DataFrame) -> DataFrame:
+    """Settled (key, x, lo, size): the members of buckets with different lines, and the centre that they are compared with first."""
+    bucket, odd = Window.partitionBy("key"), F.col("key").bitwiseAND(1) == 1
+    whole = F.max(F.when(F.col("key") == F.col("h1").bitwiseOR(1), F.col("h1"))).over(bucket)
+    rows = placed.withColumns({"least": F.min("h1").over(bucket), "most": F.max("h1").over(bucket), "whole": whole, "size": F.count("*").over(bucket)})
+    rows = rows.filter((F.col("least") < F.col("most")) & (~odd | F.col("whole").isNotNull()))
+    return common.settle(rows.select("key", F.col("h1").alias("x"), F.coalesce(F.when(odd, F.col("whole")), "least").alias("lo"), "size"), "buckets")
+
+
+def traits(lines: DataFrame, name: str) -> DataFrame:
+    return lines.select(F.col("h1").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in TRAITS])
+
+
+def first_pairs(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Settled pairs (a, b) of a bucket's centre and another member that may be similar."""
+    pairs = found.filter("x <> lo").select(F.least("lo", "x").alias("a"), F.greatest("lo", "x").alias("b")).distinct()
+    return common.settle(pairs.join(traits(lines, "a"), "a").join(traits(lines, "b"), "b").filter(near("a", "b")).select("a", "b"), "pairs")
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets in which several groups meet."""
+    bucket = Window.partitionBy("key")
+    rows = rows.withColumns({"least": F.min("root_x").over(bucket), "most": F.max("root_x").over(bucket)})
+    return rows.filter("least < most").drop("least", "most")
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket that belong to different groups and may be similar."""
+    own = ["x", "root_x", *[f"{c}_x" for c in TRAITS]]
+    others = rows.select("key", *[F.col(c).alias(c.removesuffix("x") + "y") for c in own])
+    met = rows.select("key", *own).join(others, "key").filter((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & near("x", "y"))
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def second_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Settled pairs (a, b) of members of a bucket that the first round left in different groups."""
+    by_pairs = found.filter("key & 1 = 0")  # odd keys are done: all their members are similar to the centre or to none
+    rooted = by_pairs.filter("size > 2").join(roots.select(F.col("node").alias("x"), F.col("root").alias("root_x")), "x", "left")
+    rooted = mixed(rooted.withColumn("root_x", F.coalesce("root_x", "x"))).select("key", "x", "root_x", "size")
+    rooted = common.settle(rooted.join(traits(lines, "x"), "x"), "rooted")
+    pairs = across(rooted.filter(F.col("size") <= CROWD))
+    crowded = rooted.filter(F.col("size") > CROWD)
+    if not crowded.isEmpty():
+        divided = crowded.join(by_pairs.select("x", F.col("key").alias("other")), "x").filter("key <> other")
+        divided = divided.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other").dropDuplicates(["key", "x"])
+        pairs = pairs.unionByName(across(mixed(divided)))
+    pairs = common.settle(pairs.distinct(), "pairs")
+    common.discard(rooted)
+    return pairs

@@ -42,13 +42,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lineage cut that outlives any executor."""
     spark = df.sparkSession
     path, before = new_path(spark, label), spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

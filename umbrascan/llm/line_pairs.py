@@ -1,4 +1,4 @@
-"""Candidate pairs of similar lines, complete at an edit similarity of 0.8 over words, in DataFrame operations only.
+"""Candidate pairs of similar lines, complete at an edit similarity of 0.8 over words.
 
 Lines of n and m <= n words that are similar differ by at most d = n // 5 edits. By the pigeonhole principle they meet in a bucket:
 
@@ -11,117 +11,203 @@ Lines of n and m <= n words that are similar differ by at most d = n // 5 edits.
 Every line carries a fingerprint of 256 bits, bit c telling whether words with the hash c stand in the line an odd number of times. An edit moves
 at most two of its bits (of a majority fingerprint it may move any number), so pairs at more than 2d differing bits are no candidates, and no other pair is lost.
 
-No bucket is expanded into all its pairs: members are first compared with one of them, the bucket's centre, and what this links is one
-group from then on. Only members of different groups meet in a second round, in buckets of at most CROWD lines; larger buckets are
-first divided by a second pair of words in common.
+Lines are fingerprinted in Arrow batches: the same in DataFrame functions took 583 CPU seconds a GB of the 400 allowed. What follows is joins. The keys
+are shuffled in PASSES parts, each with its fingerprints, so that pairs are judged where they meet and little is on disk at a time.
+
+No crowded bucket is expanded into all its pairs: every member is compared with the bucket's centre, and members of buckets of at most
+CROWD lines with each other. Of larger buckets, those whose members are in different groups by then are divided by a second pair of words in common.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 LANES = ("s0", "s1", "s2", "s3")
-TRAITS = ("n", *LANES)
-CHUNK = 8  # words whose bits are gathered in one expression
+TRAITS = ("h1", "n", *LANES)
+#: Keys are shuffled in so many parts, one after the other.
+PASSES = 6
 #: Rows of so many of the most repeated lines are left out of the buckets but for the first occurrence. Copies of other lines only cost rows.
 HOT_LINES = 50_000
-#: Largest bucket whose groups meet pair by pair.
+#: Largest bucket whose members all meet.
 CROWD = 200
 #: Lines from LONG words on are looked up by pairs of words, lines of up to SHORT words by single words left out.
 LONG, SHORT = 8, 9
-
-
-def sketched(words: DataFrame) -> DataFrame:
-    """Settled row per line: doc_id, code, line_no, h1, h2, n and the fingerprint s0..s3. words: a line's place (with `row`) and its `words`."""
-    place = ["row", "doc_id", "code", "line_no", "h1", "h2", "n"]
-    each = words.withColumns({"h1": F.xxhash64("words"), "h2": F.hash("words"), "n": F.size("words")})
-    chunks = each.filter("n > 0").select(*place, "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK))).alias("at"))
-    inside = [F.col("at") + i < F.col("n") for i in range(CHUNK)]
-    chunks = chunks.select(*place, *[F.when(i, F.xxhash64(F.get("words", F.col("at") + k))).alias(f"c{k}") for k, i in enumerate(inside)])
-    bit = lambda k, lane: F.when(F.shiftright(f"c{k}", 6).bitwiseAND(3) == lane, F.expr(f"shiftleft(1L, cast(c{k} & 63 as int))")).otherwise(F.lit(0).cast("long"))
-    lanes = [reduce(lambda x, y: x.bitwiseXOR(y), [bit(k, lane) for k in range(CHUNK)]).alias(s) for lane, s in enumerate(LANES)]
-    return common.settle(chunks.select(*place, *lanes).groupBy(*place).agg(*[F.bit_xor(s).alias(s) for s in LANES]).drop("row"), "lines")
+KEY_BITS = (1 << 48) - 1
+#: Texts are taken together up to so many characters; a worker remembers so many words.
+CHARS, REMEMBERED = 1 << 21, 1 << 20
+
+TOKEN = re.compile(r"[^\W_]+|\n")
+STEP, LENGTH, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+
+
+class Words(dict):
+    """word: a number with its hash in 54 bits and, above them, how much shorter than 127 bytes it is. A line end is 0."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        data = word.encode("utf-8", "replace")
+        number = 0 if word == "\n" else (127 - min(126, len(data))) << 55 | xxhash.xxh64_intdigest(data) >> 10
+        self[word] = number
+        return number
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * SPREAD
+    x ^= x >> np.uint64(32)
+    x *= LENGTH
+    return x ^ (x >> np.uint64(29))
+
+
+def sequence_hash(values: np.ndarray) -> np.ndarray:
+    """A hash of each row of a matrix of words."""
+    n = values.shape[1]
+    powers = np.cumprod(np.full(n + 1, STEP))[:n]
+    return mixed((mixed(values) * powers).sum(1, dtype=np.uint64) + np.uint64(n * int(LENGTH) % (1 << 64)))
+
+
+def keys_of(words: np.ndarray, starts: np.ndarray, n: int, h1: np.ndarray) -> np.ndarray:
+    """A row of keys (of which some may be equal) for each of the lines of n words. Odd keys stand for lines with a word left out and whole short ones."""
+    own = words[starts[:, None] + np.arange(n)]
+    found = []
+    if n >= LONG:
+        left, right = own[:, :-1], own[:, 1:]
+        above, below = np.uint64(55), np.uint64((1 << 55) - 1)
+        pairs = ((left >> above) + (right >> above)) << above | (mixed(left + (right << np.uint64(1)) * STEP) & below)
+        pairs.sort(1)
+        prefix = pairs[:, : 2 * (n // 5) + 2 + (n % 5 == 4)]
+        again = np.zeros_like(prefix)  # a pair that comes again is a key of its own: a second one in common
+        again[:, 1:] = prefix[:, 1:] == prefix[:, :-1]
+        found.append(mixed(prefix + again) & np.uint64(KEY_BITS - 1))
+    if 5 <= n <= SHORT:
+        for i in range(n):
+            rest = sequence_hash(np.delete(own, i, 1))
+            found += [((mixed(rest + np.uint64(i + 1)) & np.uint64(KEY_BITS - 1)))[:, None], ((rest & np.uint64(KEY_BITS)) | np.uint64(1))[:, None]]
+    if 4 <= n < SHORT:
+        found.append(((h1 & np.uint64(KEY_BITS)) | np.uint64(1))[:, None])
+    return np.concatenate(found, 1) if found else np.zeros((len(starts), 0), np.uint64)
+
+
+def fingerprinted(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(index among all lines, h1, h2, n, lanes, keys, keys' offsets) of the lines that have words. Every line ends with a 0."""
+    ends = np.flatnonzero(tokens == 0)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    sizes = ends - starts
+    line = np.flatnonzero(sizes)
+    starts, sizes = starts[line], sizes[line]
+    if not len(line):
+        none = np.zeros(0, np.uint64)
+        return line, none, none, sizes, np.zeros((0, 4), np.uint64), none, np.zeros(1, np.int64)
+    words = tokens[tokens != 0]
+    at = np.cumsum(sizes) - sizes
+    c = mixed(words)
+    lane, bit = (c >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (c & np.uint64(63))
+    lanes = np.stack([np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), at) for k in range(4)], 1)
+    h1, h2, parts, counts = np.zeros(len(line), np.uint64), np.zeros(len(line), np.uint64), {}, np.zeros(len(line), np.int64)
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        for part in np.array_split(rows, max(1, len(rows) * n >> 20)):
+            own = words[at[part][:, None] + np.arange(n)]
+            h1[part], h2[part] = sequence_hash(own), sequence_hash(~own)
+            parts[int(part[0])] = part, keys_of(words, at[part], n, h1[part])
+            counts[part] = parts[int(part[0])][1].shape[1]
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    keys = np.zeros(offsets[-1], np.uint64)
+    for part, found in parts.values():
+        keys[offsets[part][:, None] + np.arange(found.shape[1])] = found
+    return line, h1, h2, sizes, lanes, keys, offsets
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = common.per_process("line words", Words)
+    for batch in batches:
+        texts, at = batch.column(1).to_pylist(), 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CHARS):
+                chars += len(texts[end] or "")
+                end += 1
+            found = [TOKEN.findall(t.lower() + "\n") if t is not None else ["\n"] for t in texts[at:end]]
+            tokens = np.concatenate([np.fromiter(map(numbers.__getitem__, f), np.uint64, len(f)) for f in found])
+            n_lines = np.array([f.count("\n") for f in found])
+            line, h1, h2, n, lanes, keys, offsets = fingerprinted(tokens)
+            first = np.cumsum(n_lines) - n_lines
+            doc = np.repeat(np.arange(end - at), n_lines)[line]
+            signed = lambda x: pa.array(x.view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(keys))
+            places = [batch.column(0).take(pa.array(doc + at)), batch.column(2).take(pa.array(doc + at)), pa.array(line - first[doc], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*places, signed(h1), signed(h2), pa.array(n, pa.int32()), *[signed(np.ascontiguousarray(lanes[:, k])) for k in range(4)], lists], names=["doc_id", "code", "line_no", "h1", "h2", "n", *LANES, "keys"])
+            at = end
+
+
+def places(docs: DataFrame, code: Column) -> DataFrame:
+    """Settled row per line that has words: doc_id, code, line_no, h1, h2, n, the fingerprint s0..s3 and the keys of its buckets."""
+    longs = [T.StructField(c, T.LongType()) for c in LANES]
+    schema = T.StructType([
+        docs.schema["doc_id"], T.StructField("code", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("h1", T.LongType()),
+        T.StructField("h2", T.LongType()), T.StructField("n", T.IntegerType()), *longs, T.StructField("keys", T.ArrayType(T.LongType())),
+    ])
+    return common.settle(docs.select("doc_id", "text", code.alias("code")).mapInArrow(batches_of, schema), "lines", compression="zstd")
 
 
 def near(a: str, b: str) -> Column:
     """True for all pairs that are similar enough: lengths allow it, and no more bits differ than the allowed edits change."""
-    longer = F.greatest(f"n_{a}", f"n_{b}")
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{s}_{a}").bitwiseXOR(F.col(f"{s}_{b}"))) for s in LANES])
-    return (F.least(f"n_{a}", f"n_{b}") * 5 >= longer * 4) & (bits <= F.floor(longer / 5) * 2)
+    longer = F.greatest(f"{a}.n", f"{b}.n")
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in LANES])
+    return (F.least(f"{a}.n", f"{b}.n") * 5 >= longer * 4) & (bits <= F.floor(longer / 5) * 2)
 
 
-def keys(words: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, h1) for each bucket of each line. Odd keys stand for lines with a word left out, and h1 | 1 for the whole line itself."""
+def members(placed: DataFrame, lines: DataFrame) -> DataFrame:
+    """h1, n, s0..s3 and keys of the lines that can be similar to another one, copies of the most repeated lines left out."""
     hot = lines.filter("times > 1").orderBy(F.desc("times")).limit(HOT_LINES).select(F.col("h1").alias("hot"), "first")
-    mine = words.withColumns({"h1": F.xxhash64("words"), "n": F.size("words")}).filter("n >= 4").join(F.broadcast(hot), F.col("h1") == F.col("hot"), "left")
-    mine = mine.filter("hot is null or (doc_id <=> first.doc_id and code = first.code and line_no = first.line_no)").select("h1", "n", "words")
-    # Above 54 bits of a word's hash stands how much shorter than 127 bytes it is. The sum of a word's number and the next one's other number
-    # stands for their pair; with the lengths in front the order stays one of whole pairs.
-    number = lambda seed: f"transform(words, w -> shiftleft(cast(127 - least(126, octet_length(w)) as bigint), 55) | (xxhash64(w{seed}) & {(1 << 54) - 1}))"
-    mine = mine.withColumns({"own": F.expr(number("")), "other": F.expr(number(", 1"))})
-    pairs = "zip_with(slice(own, 1, n - 1), slice(other, 2, n - 1), (x, y) -> coalesce(x + y, 0L))"
-    mine = mine.withColumn("prefix", F.expr(f"case when n >= {LONG} then slice(sort_array({pairs}), 1, 2 * (n div 5) + 2 + int(n % 5 = 4)) else array() end"))
-    # A pair that comes again in the prefix is a key of its own, so that it counts as a second one in common.
-    by_pairs = "array_distinct(transform(prefix, (x, i) -> xxhash64(x, case when i > 0 and get(prefix, i - 1) = x then 1 else 0 end) & -2))"
-    without = lambda head: f"xxhash64({head}slice(words, 1, i - 1), slice(words, i + 1, n))"
-    changed = f"transform(sequence(1, n), i -> {without('i, ')} & -2)"
-    shorter = "transform(sequence(1, n), i -> xxhash64(concat(slice(words, 1, i - 1), slice(words, i + 1, n))) | 1)"
-    one_edit = f"case when n between 5 and {SHORT} then array_distinct(concat({changed}, {shorter})) else array() end"
-    own = f"case when n < {SHORT} then array(h1 | 1) else array() end"
-    return mine.select("h1", F.explode(F.expr(f"concat({by_pairs}, {one_edit}, {own})")).alias("key"))
-
-
-def buckets(placed: DataFrame) -> DataFrame:
-    """Settled (key, x, lo, size): the members of buckets with different lines, and the centre that they are compared with first."""
-    bucket, odd = Window.partitionBy("key"), F.col("key").bitwiseAND(1) == 1
-    whole = F.max(F.when(F.col("key") == F.col("h1").bitwiseOR(1), F.col("h1"))).over(bucket)
-    rows = placed.withColumns({"least": F.min("h1").over(bucket), "most": F.max("h1").over(bucket), "whole": whole, "size": F.count("*").over(bucket)})
-    rows = rows.filter((F.col("least") < F.col("most")) & (~odd | F.col("whole").isNotNull()))
-    return common.settle(rows.select("key", F.col("h1").alias("x"), F.coalesce(F.when(odd, F.col("whole")), "least").alias("lo"), "size"), "buckets")
-
-
-def traits(lines: DataFrame, name: str) -> DataFrame:
-    return lines.select(F.col("h1").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in TRAITS])
-
-
-def first_pairs(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Settled pairs (a, b) of a bucket's centre and another member that may be similar."""
-    pairs = found.filter("x <> lo").select(F.least("lo", "x").alias("a"), F.greatest("lo", "x").alias("b")).distinct()
-    return common.settle(pairs.join(traits(lines, "a"), "a").join(traits(lines, "b"), "b").filter(near("a", "b")).select("a", "b"), "pairs")
-
-
-def mixed(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets in which several groups meet."""
+    mine = placed.filter("n >= 4").join(F.broadcast(hot), F.col("h1") == F.col("hot"), "left")
+    return mine.filter("hot is null or (doc_id <=> first.doc_id and code = first.code and line_no = first.line_no)").select(*TRAITS, "keys")
+
+
+def pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of members that may be similar: with the centre of their bucket, and with each other in buckets of at most CROWD rows;
+    and (key, h1) of the members of larger buckets."""
+    crowds, found = [], []
+    bucket = Window.partitionBy("key")
+    for k in range(PASSES):
+        keyed = rows.select(*TRAITS, F.explode("keys").alias("key")).filter(F.pmod(F.shiftright("key", 1), F.lit(PASSES)) == k)
+        # In a bucket of lines with a word left out all are similar to the line that is so as a whole, if it is there, or to none.
+        odd, other = F.col("key").bitwiseAND(1) == 1, F.col("key") != F.col("h1").bitwiseAND(KEY_BITS).bitwiseOR(1)
+        keyed = keyed.select("key", F.struct(other.alias("other"), *TRAITS).alias("x"))
+        met = keyed.withColumns({"lo": F.min("x").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > 1)
+        met = common.settle(met.filter("lo.h1 != x.h1 or size > 2").filter(~odd | ~F.col("lo.other")), "buckets")
+        found.append(met.filter((F.col("x.h1") != F.col("lo.h1")) & near("x", "lo")).select("x.h1", F.col("lo.h1").alias("h1_y")))
+        even = met.filter("key & 1 = 0 and x.h1 <> lo.h1 and size > 2").select("key", "x", "size")
+        few = even.filter(F.col("size") <= CROWD).select("key", "x")
+        across = few.join(few.select("key", F.col("x").alias("y")), "key").filter((F.col("x.h1") < F.col("y.h1")) & near("x", "y"))
+        found[k] = common.settle(found[k].unionByName(across.select("x.h1", F.col("y.h1").alias("h1_y"))).select(F.least("h1", "h1_y").alias("a"), F.greatest("h1", "h1_y").alias("b")).distinct(), "pairs")
+        crowds.append(common.settle(met.filter(~odd & (F.col("size") > CROWD)).select("key", "x.h1").distinct(), "crowds"))
+        common.discard(met)
+    return reduce(DataFrame.unionByName, found).distinct(), reduce(DataFrame.unionByName, crowds)
+
+
+def crowded_pairs(crowds: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Settled pairs (a, b) of members of crowded buckets that are in different groups so far and have another key in common."""
     bucket = Window.partitionBy("key")
-    rows = rows.withColumns({"least": F.min("root_x").over(bucket), "most": F.max("root_x").over(bucket)})
-    return rows.filter("least < most").drop("least", "most")
-
-
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b): members of a bucket that belong to different groups and may be similar."""
-    own = ["x", "root_x", *[f"{c}_x" for c in TRAITS]]
-    others = rows.select("key", *[F.col(c).alias(c.removesuffix("x") + "y") for c in own])
-    met = rows.select("key", *own).join(others, "key").filter((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & near("x", "y"))
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
-def second_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """Settled pairs (a, b) of members of a bucket that the first round left in different groups."""
-    by_pairs = found.filter("key & 1 = 0")  # odd keys are done: all their members are similar to the centre or to none
-    rooted = by_pairs.filter("size > 2").join(roots.select(F.col("node").alias("x"), F.col("root").alias("root_x")), "x", "left")
-    rooted = mixed(rooted.withColumn("root_x", F.coalesce("root_x", "x"))).select("key", "x", "root_x", "size")
-    rooted = common.settle(rooted.join(traits(lines, "x"), "x"), "rooted")
-    pairs = across(rooted.filter(F.col("size") <= CROWD))
-    crowded = rooted.filter(F.col("size") > CROWD)
-    if not crowded.isEmpty():
-        divided = crowded.join(by_pairs.select("x", F.col("key").alias("other")), "x").filter("key <> other")
-        divided = divided.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other").dropDuplicates(["key", "x"])
-        pairs = pairs.unionByName(across(mixed(divided)))
-    pairs = common.settle(pairs.distinct(), "pairs")
-    common.discard(rooted)
-    return pairs
+    mixed_only = lambda df: df.withColumns({"least": F.min("root").over(bucket), "most": F.max("root").over(bucket)}).filter("least < most").drop("least", "most")
+    rooted = crowds.join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    rooted = mixed_only(rooted).withColumnRenamed("key", "crowd").join(rows, "h1")
+    divided = rooted.select("crowd", "root", F.struct(*TRAITS).alias("x"), F.explode("keys").alias("second")).filter("second & 1 = 0 and second <> crowd")
+    divided = divided.select(F.xxhash64(F.least("crowd", "second"), F.greatest("crowd", "second")).alias("key"), "root", "x").dropDuplicates(["key", "x"])
+    divided = common.settle(mixed_only(divided), "crowds")
+    others = divided.select("key", F.col("root").alias("root_y"), F.col("x").alias("y"))
+    met = divided.join(others, "key").filter((F.col("x.h1") < F.col("y.h1")) & (F.col("root") != F.col("root_y")) & near("x", "y"))
+    found = common.settle(met.select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct(), "pairs")
+    common.discard(divided)
+    return found

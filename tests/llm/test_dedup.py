@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from umbrascan.llm import common, decontam, line_dedup, simhash_dedup
+from umbrascan.llm import common, decontam, line_dedup, line_pairs, simhash_dedup
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, gone int, fp double, lines string, hit int, pieces string, own_id int, code long"
@@ -249,6 +249,68 @@ def test_complete_lines_match_brute_force_without_a_candidate_filter(spark):
     assert got == wanted and wanted != deduped(rows)
 
 
+def similar_words(a, b):
+    """Edit similarity of 0.8 or more; lines with too few words in common are too far apart whatever their order."""
+    most = max(len(a), len(b))
+    if min(len(a), len(b)) * 5 < most * 4 or sum((Counter(a) & Counter(b)).values()) < most - most // 5:
+        return False
+    return edit_distance(a, b) <= most // 5
+
+
+def test_line_query_matches_brute_force_on_whole_documents(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
+    norm = lambda line: tuple(w for w in re.split(r"[\W_]+", line.lower()) if w)
+    places = {}
+    for i, t in rows:
+        for k, line in enumerate(t.split("\n") if t else ()):
+            if w := norm(line):
+                places.setdefault(w, []).append((i, k))
+    roots = components(sorted(places), similar_words)
+    first = {}
+    for w, ps in places.items():
+        first[roots[w]] = min([*ps, first.get(roots[w], ps[0])])
+    wanted = []
+    for i, t in rows:
+        kept = "\n".join(line for k, line in enumerate(t.split("\n")) if not norm(line) or first[roots[norm(line)]] == (i, k)) if t is not None else None
+        wanted.append((i, len(kept.split("\n")) if kept else 0, None if kept is None else len(kept), None if kept is None else hashlib.sha256(kept.encode()).hexdigest()))
+    assert Counter(tuple(r) for r in line_dedup.op2_line_dedup(spark, DATA).collect()) == Counter(wanted)
+
+
+def test_every_similar_pair_of_lines_is_found_by_length(spark):
+    """Recall by length against edit similarity alone, pair by pair, without the groups that could hide a lost pair."""
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL AND doc_id % 5 = 0").fetchall()
+    lines = sorted({tuple(w for w in re.split(r"[\W_]+", line.lower()) if w) for (t,) in texts for line in t.split("\n")} - {()})
+    rng, found = random.Random(8), Counter()
+    for low, high in ((5, 9), (10, 24), (25, 200)):
+        some = [w for w in lines if low <= len(w) <= high]
+        pairs = []
+        for w in rng.sample(some, min(60, len(some))):
+            near = list(w)
+            for k in rng.sample(range(len(w)), len(w) // 5):
+                near[k] = f"changed{rng.randrange(1000)}"
+            pairs.append((" ".join(w), " ".join(near)))
+        rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+        kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows), complete=True).collect()}
+        found[low] = sum(not kept[2 * i + 1] for i in range(len(pairs))) / len(pairs)
+    assert all(v == 1 for v in found.values()), found
+
+
+@pytest.mark.parametrize("setting", ["no broadcast", "crowded buckets"])
+def test_lines_beyond_the_size_switches(spark, monkeypatch, setting):
+    rng = random.Random(4)
+    base = [f"word{i}" for i in range(20)]
+    lines = [" ".join(base)] + [" ".join(rng.choice(["other", "further", "last"]) if rng.random() < p else w for w in base) for p in (0.1, 0.2, 0.3, 0.4) for _ in range(12)]
+    lines += ["click here to read more"] * 30 + [f"click here to read {w}" for w in ("it", "them", "on", "all")]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    if setting == "no broadcast":
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(common, "HOT_KEYS", 1)
+    else:
+        monkeypatch.setattr(line_pairs, "CROWD", 2)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows), complete=True).collect()}
+    assert got == deduped_by_words(rows)
+
+
 def test_line_edges(spark):
     words_ = [f"q{i}" for i in range(line_dedup.PART + 50)]
     long = " ".join(words_)

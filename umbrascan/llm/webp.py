@@ -17,7 +17,6 @@ table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +35,8 @@ ROWS = 1024
 MIN_RUN = 16
 LONGEST_CODE = 12
 FAST_PIXELS = 192
+#: Descriptions of codes up to so many bits are kept, as they tend to come again.
+LONGEST_KEPT = 320
 #: Fixed values of the format.
 SIGNATURE = 0x2F
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -63,53 +64,70 @@ def canonical(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
     if ends[-1] != 1 << top:
         raise ValueError("a prefix code is not complete")
     codes = (ends - (1 << (top - sizes))) >> (top - sizes)
-    back = np.zeros_like(codes)
-    for i in range(top):
-        back |= np.where(i < sizes, ((codes >> i) & 1) << np.maximum(sizes - 1 - i, 0), 0)
-    return used, back
+    return used, REVERSED[codes].astype(np.int64) >> (16 - sizes)
+
+
+def reversed_bits() -> np.ndarray:
+    """Every 16-bit number with its bits in the other order."""
+    x = np.arange(1 << 16, dtype=np.uint16)
+    for step, mask in ((1, 0x5555), (2, 0x3333), (4, 0x0F0F), (8, 0x00FF)):
+        x = (x >> step) & mask | (x & mask) << step
+    return x
+
+
+REVERSED = reversed_bits()
 
 
 @lru_cache(4096)
 def lookup(lengths: bytes) -> tuple[int, np.ndarray]:
     """(bits, table): for the next bits of the stream, symbol << 4 | bits used."""
-    used, codes = canonical(lengths)
+    used, _ = canonical(lengths)
     if not len(used):
         raise ValueError("a prefix code is empty")
     if len(used) == 1:
         return 0, np.array([int(used[0]) << 4], np.int32)
     bits = max(lengths)
-    table = np.empty(1 << bits, np.int32)
-    for symbol, code in zip(used.tolist(), codes.tolist(), strict=True):
-        size = lengths[symbol]
-        table[code :: 1 << size] = symbol << 4 | size
-    return bits, table
+    sizes = np.frombuffer(lengths, np.uint8)[used].astype(np.int32)
+    # With the first bit highest a symbol has one stretch of the table.
+    return bits, np.repeat(used.astype(np.int32) << 4 | sizes, 1 << (bits - sizes))[REVERSED[: 1 << bits] >> (16 - bits)]
+
+
+@lru_cache(4096)
+def lookup_list(lengths: bytes) -> tuple[int, list[int]]:
+    bits, table = lookup(lengths)
+    return bits, table.tolist()
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> bytes:
     """Huffman lengths, flattened until none is over `longest`."""
-    out = bytearray(len(counts))
-    used = np.flatnonzero(counts).tolist()
-    if len(used) < 2:
-        for s in used:
-            out[s] = 1
-        return bytes(out)
-    weights = counts[used].tolist()
+    out = np.zeros(len(counts), np.uint8)
+    used = np.flatnonzero(counts)
+    n, weights = len(used), counts[used]
+    if n < 2:
+        out[used] = 1
+        return out.tobytes()
     while True:
-        heap = [(n, i, (s,)) for i, (n, s) in enumerate(zip(weights, used, strict=True))]
-        heapq.heapify(heap)
-        sizes = dict.fromkeys(used, 0)
-        while len(heap) > 1:
-            a, i, left = heapq.heappop(heap)
-            b, _, right = heap[0]
-            both = left + right
-            for s in both:
-                sizes[s] += 1
-            heapq.heapreplace(heap, (a + b, i, both))
-        if max(sizes.values()) <= longest:
-            for s, n in sizes.items():
-                out[s] = n
-            return bytes(out)
-        weights = [(n >> 1) + 1 for n in weights]
+        order = np.argsort(weights, kind="stable")
+        leaves, joined_, parents, i, j = weights[order].tolist(), [], [0] * (2 * n - 1), 0, 0
+        for k in range(n, 2 * n - 1):  # the two lightest of the leaves and of what was joined, both of which come in order
+            both = 0
+            for _ in range(2):
+                if i < n and (j == len(joined_) or leaves[i] <= joined_[j]):
+                    both += leaves[i]
+                    parents[i] = k
+                    i += 1
+                else:
+                    both += joined_[j]
+                    parents[n + j] = k
+                    j += 1
+            joined_.append(both)
+        depths = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depths[k] = depths[parents[k]] + 1
+        if depths[0] <= longest:
+            out[used[order]] = depths[:n]
+            return out.tobytes()
+        weights = (weights >> 1) + 1
 
 
 class Reader:
@@ -136,7 +154,32 @@ class Reader:
         return found >> 4
 
 
+@lru_cache(1)
+def descriptions() -> dict[tuple[int, int], tuple[int, int, tuple[int, np.ndarray]]]:
+    """Short descriptions of codes read before: by alphabet and first bits, (number of bits, bits, code)."""
+    return {}
+
+
 def read_code(r: Reader, size: int) -> tuple[int, np.ndarray]:
+    known, at = descriptions(), r.at
+    bits = int.from_bytes(r.data[at >> 3 : (at >> 3) + 16 + 2 * size], "little") >> (at & 7)
+    key = size, bits & 0xFFFF
+    if key in known:
+        n, own, code = known[key]
+        if bits & ((1 << n) - 1) == own and at + n <= r.size:
+            r.at = at + n
+            return code
+    code = described_code(r, size, bits)
+    n = r.at - at
+    if n <= LONGEST_KEPT:
+        if len(known) >= 4096:
+            known.clear()
+        known[key] = n, bits & ((1 << n) - 1), code
+    return code
+
+
+def described_code(r: Reader, size: int, bits: int) -> tuple[int, np.ndarray]:
+    """The code whose description comes next in the stream; bits: what comes next, as one number."""
     lengths = bytearray(size)
     if r.read(1):
         two = r.read(1)
@@ -146,25 +189,37 @@ def read_code(r: Reader, size: int) -> tuple[int, np.ndarray]:
         for s in symbols:
             lengths[s] = 1
         return lookup(bytes(lengths))
+    start = r.at - 1
     own = bytearray(19)
     for k in CODE_LENGTH_ORDER[: 4 + r.read(4)]:
         own[k] = r.read(3)
-    code = lookup(bytes(own))
+    width, table = lookup_list(bytes(own))
+    mask = (1 << width) - 1
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
-    at, last = 0, 8
+    at, last, taken = 0, 8, r.at - start
+    bits >>= taken
     while at < size and left:
         left -= 1
-        s = r.symbol(code)
+        found = table[bits & mask]
+        s, n = found >> 4, found & 15
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
-            continue
-        value, many = (last, 3 + r.read(2)) if s == 16 else (0, 3 + r.read(3)) if s == 17 else (0, 11 + r.read(7))
-        if at + many > size:
-            raise ValueError("too many code lengths")
-        lengths[at : at + many] = bytes([value]) * many
-        at += many
+        else:
+            extra = 2 if s == 16 else 3 if s == 17 else 7
+            many = (11 if s == 18 else 3) + ((bits >> n) & ((1 << extra) - 1))
+            if at + many > size:
+                raise ValueError("too many code lengths")
+            if s == 16:
+                lengths[at : at + many] = bytes([last]) * many
+            at += many
+            n += extra
+        bits >>= n
+        taken += n
+    r.at = start + taken
+    if r.at > r.size:
+        raise ValueError("the stream ends early")
     return lookup(bytes(lengths))
 
 
@@ -193,8 +248,10 @@ def read_pixels(r: Reader, width: int, height: int, main: bool = False) -> np.nd
         n_groups = int(groups_of.max()) + 1
     cache = 1 << cache_bits if cache_bits else 0
     groups = [[read_code(r, n) for n in (256 + LENGTH_CODES + cache, 256, 256, 256, DISTANCE_CODES)] for _ in range(n_groups)]
-    if n_groups == 1 and not cache and width * height >= FAST_PIXELS:
-        return chained_pixels(r, width, width * height, groups[0])
+    if n_groups == 1 and not cache:
+        if width * height >= FAST_PIXELS:
+            return chained_pixels(r, width, width * height, groups[0])
+        return few_pixels(r, width, width * height, groups[0])
     out = np.zeros(width * height, np.uint32)
     table, upto = np.zeros(max(1, cache), np.uint32), 0
     at = 0
@@ -224,6 +281,44 @@ def read_pixels(r: Reader, width: int, height: int, main: bool = False) -> np.nd
     return out
 
 
+def few_pixels(r: Reader, width: int, total: int, codes: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """read_pixels for one group, no cache and a small image: the bits ahead are one number that is shifted along."""
+    out = np.zeros(total, np.uint32)
+    tables = [(table.tolist(), (1 << bits) - 1, shift) for (bits, table), shift in zip(codes[:4], (8, 16, 0, 24), strict=True) if bits]
+    constant = sum(int(table[0]) >> 4 << shift for (bits, table), shift in zip(codes[:4], (8, 16, 0, 24), strict=True) if not bits)
+    lone = int(codes[0][1][0]) >> 4 if not codes[0][0] else 0
+    ahead, start, taken, at, pixels = None, 0, 0, 0, []
+    while at < total:
+        if ahead is None:
+            start, taken, pixels = r.at, 0, []
+            ahead = int.from_bytes(r.data[start >> 3 : (start >> 3) + 8 * total + 8], "little") >> (start & 7)
+        pixel = constant
+        if lone < 256:
+            begin = taken
+            for table, mask, shift in tables:
+                found = table[ahead & mask]
+                ahead >>= found & 15
+                taken += found & 15
+                pixel |= found >> 4 << shift
+                if shift == 8 and found >= 256 << 4:
+                    break
+            else:
+                pixels.append(pixel)
+                at += 1
+                continue
+            taken = begin
+        out[at - len(pixels) : at] = pixels
+        r.at = start + taken
+        at = copy(r, out, at, width, r.symbol(codes[0]) - 256, codes[4])
+        ahead = None
+    if ahead is not None:
+        out[at - len(pixels) : at] = pixels
+        r.at = start + taken
+    if r.at > r.size:
+        raise ValueError("the stream ends early")
+    return out
+
+
 def copy(r: Reader, out: np.ndarray, at: int, width: int, prefix: int, distances: tuple[int, np.ndarray]) -> int:
     """Read a back-reference and do it; the place after it."""
     n = prefix_value(r, prefix)
@@ -246,29 +341,28 @@ def copy(r: Reader, out: np.ndarray, at: int, width: int, prefix: int, distances
 def chained_pixels(r: Reader, width: int, total: int, codes: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """read_pixels for one group and no cache: codes are looked up at every bit, then the chain of pixels is followed."""
     base = r.at >> 3
-    raw = np.frombuffer(r.data, np.uint8, offset=base).astype(np.int32)
+    raw = np.frombuffer(r.data, np.uint8, offset=base).astype(np.int64)
     words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    ahead = (words[:, None] >> np.arange(8, dtype=np.int32)).ravel()
+    ahead = (words[:, None] >> np.arange(8)).ravel()
     n = len(ahead)
-    places = np.arange(n, dtype=np.int32)
-    find = lambda bits, table: table.take(ahead & ((1 << bits) - 1))
+    places = np.arange(n)
     # (symbols and sizes at every bit, where the code stands if the pixel begins there, place in the pixel)
     parts, after, constant = [], places, 0
     for (bits, table), shift in zip(codes[:4], (8, 16, 0, 24), strict=True):
         if bits:
-            found = find(bits, table)
+            found = table.take(ahead & ((1 << bits) - 1), mode="clip")
             parts.append((found, after, shift))
-            after = after + (found & 15 if after is places else (found & 15).take(np.minimum(after, n - 1)))
+            after = after + (found & 15 if after is places else (found & 15).take(after, mode="clip"))
         else:
             constant |= int(table[0]) >> 4 << shift
     green = parts[0][0] if codes[0][0] else None
     stop = green >= 256 << 4 if green is not None else np.full(n, int(codes[0][1][0]) >> 4 >= 256)
     following = np.minimum(after, n - 1)
     if stop.any():
-        following = np.where(stop, places, following)
-    two = following.take(following)
-    four = two.take(two)
-    stride, stopped = memoryview(four.take(four)), memoryview(stop)
+        np.copyto(following, places, where=stop)
+    two = following.take(following, mode="clip")
+    four = two.take(two, mode="clip")
+    stride, stopped = memoryview(four.take(four, mode="clip")), memoryview(stop)
     out = np.zeros(total, np.uint32)
     at, p = 0, r.at - base * 8
     while at < total:
@@ -279,10 +373,10 @@ def chained_pixels(r: Reader, width: int, total: int, codes: list[tuple[int, np.
             heads.append(q)
             q = stride[q]
         if heads:
-            own = np.empty((8, len(heads)), np.int32)
+            own = np.empty((8, len(heads)), np.int64)
             own[0] = heads
             for i in range(1, 8):
-                following.take(own[i - 1], out=own[i])
+                following.take(own[i - 1], out=own[i], mode="clip")
             own = own.T.ravel()
             if stopped[own[-1]]:
                 own = own[: int(stop.take(own).argmax())]
@@ -290,8 +384,8 @@ def chained_pixels(r: Reader, width: int, total: int, codes: list[tuple[int, np.
             pixels = out[at : at + len(own)]
             pixels += np.uint32(constant)
             for found, place, shift in parts:
-                here = own if place is places else np.minimum(place.take(own), n - 1)
-                pixels |= (found.take(here) >> 4).astype(np.uint32) << np.uint32(shift)
+                here = own if place is places else place.take(own, mode="clip")
+                pixels |= (found.take(here, mode="clip") >> 4).astype(np.uint32) << np.uint32(shift)
             at += len(own)
             p = int(after[own[-1]])
         r.at = base * 8 + p
@@ -510,7 +604,7 @@ class Writer:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         word = starts >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
         sums = np.add.reduceat(values << (starts & 31).astype(np.uint64), first)
         out = np.zeros((int(ends[-1]) >> 5) + 3, np.uint64)
         out[word[first]] |= sums & np.uint64(0xFFFFFFFF)
@@ -564,10 +658,12 @@ def prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def runs(pixels: np.ndarray, least: int, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the pieces that repeat the pixel before them, of at least `least` pixels."""
-    cut = np.flatnonzero(np.diff(pixels)) + 1
+    cut = np.flatnonzero(pixels[1:] != pixels[:-1]) + 1
     edges = np.concatenate([[0], cut, [len(pixels)]])
-    starts, sizes = edges[:-1] + 1, np.diff(edges) - 1
+    starts, sizes = edges[:-1] + 1, edges[1:] - edges[:-1] - 1
     keep = sizes >= least
+    if not keep.any():
+        return starts[:0], sizes[:0]
     starts, sizes = starts[keep], sizes[keep]
     pieces = -(-sizes // most)
     part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)

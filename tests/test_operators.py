@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import http.server
 import json
 import sys
+import threading
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from umbrascan.operators import detect, evaluate, report, review, visual
+from umbrascan.operators import detect, evaluate, report, review, reviewers, visual
 from umbrascan.plans.engine import HiddenTextEngine
 from umbrascan.sources import readers
 
@@ -242,3 +245,84 @@ def test_settings():
     assert review.review_status({})["reason"] == "AI review disabled (LLM_PROVIDER=none)"
     assert review.review_status({"LLM_PROVIDER": " Mock "})["enabled"] and not review.review_status({"LLM_PROVIDER": "odd"})["enabled"]
     assert readers.flag({}, "X", True) and not readers.flag({"X": " Off "}, "X", True) and readers.flag({"X": "yes"}, "X", False)
+
+
+class Counting:
+    """Notes every call in a file, as workers are processes of their own."""
+
+    name, wrapped = "counting", False
+
+    def __init__(self, path, raw=None, retries=0):
+        self.path, self.raw, self.retries = path, raw, retries
+
+    def answer(self, system, body, ids):
+        with open(self.path, "a") as f:
+            f.write("x")
+        if self.raw is None:
+            raise reviewers.Unavailable("down")
+        return self.raw if self.raw != "all" else json.dumps([{"id": i, "label": "suspicious", "reason": "r"} for i in ids])
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_one_call_a_document_and_attempt(spark, tmp_path, as_text):
+    name = (lambda i: f"d{i}") if as_text else (lambda i: i)
+    rows = [(name(d), o, f"hidden words {d} {o}", "benign") for d in range(5) for o in (1, 2)]
+    flags = spark.createDataFrame(rows, f"doc_id {'string' if as_text else 'long'}, ord int, text string, rule_label string")
+    for raw, retries, calls, status in (("all", 1, 5, "ok"), ("[]", 1, 10, "invalid"), (None, 0, 5, "unavailable"), (None, 2, 15, "unavailable")):
+        path = tmp_path / f"calls-{raw}-{retries}"
+        stats = review.review_stats(review.review(flags, Counting(str(path), raw, retries))).collect()
+        assert len(path.read_text()) == calls
+        assert {(r["llm_calls"], r["retries"], r["llm_error"]) for r in stats} == {(calls // 5, calls // 5 - 1, None if raw else "Unavailable: down")}
+        assert all(r[{"ok": "answered"}.get(status, status)] == 2 for r in stats) and len(stats) == 5
+
+
+def serve(status, body):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, dict(self.headers), json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    seen, server = [], http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    return f"http://127.0.0.1:{server.server_port}", seen
+
+
+@pytest.mark.parametrize(
+    "status, body, found",
+    [
+        (200, b'{"message": {"content": "text"}, "done_reason": "stop"}', "text"),
+        (200, b'{"message": {}}', ""),
+        (200, b'{"message": {"content": "te"}, "done_reason": "length"}', reviewers.Unavailable),
+        (500, b"broken", reviewers.Unavailable),
+        (200, b"no json", reviewers.Unavailable),
+        (200, b"[]", reviewers.Unavailable),
+    ],
+)
+def test_local_reviewer(status, body, found):
+    url, seen = serve(status, body)
+    own = reviewers.LocalReviewer(url, "m", seconds=5)
+    if isinstance(found, str):
+        assert own.answer("s", "b", ["1"]) == found
+    else:
+        with pytest.raises(found):
+            own.answer("s", "b", ["1"])
+    path, _, payload = seen[0]
+    assert path == "/api/chat" and payload["model"] == "m" and payload["format"]["properties"]["results"]["items"]["properties"]["id"]["enum"] == ["1"]
+
+
+def test_hosted_reviewer():
+    url, seen = serve(200, b'{"content": [{"type": "text", "text": "a"}, {"type": "other"}, {"type": "text", "text": "b"}], "stop_reason": "end_turn"}')
+    own = reviewers.choose({"LLM_PROVIDER": "hosted", "LLM_URL": url, "LLM_MODEL": "m", "LLM_KEY": "k"}).reviewer
+    assert own.answer("s", "b", ["1"]) == "ab" and own.retries == 0
+    assert {k.lower(): v for k, v in seen[0][1].items()}["x-api-key"] == "k" and seen[0][2]["system"] == "s"
+    url, _ = serve(200, b'{"content": [], "stop_reason": "max_tokens"}')
+    with pytest.raises(reviewers.Unavailable):
+        reviewers.HostedReviewer(url, "m", "k").answer("s", "b", ["1"])
+    with pytest.raises(reviewers.Unavailable, match="not reachable"):
+        reviewers.HostedReviewer("http://127.0.0.1:9", "m", "k").answer("s", "b", ["1"])
+    assert reviewers.choose({"LLM_PROVIDER": "hosted"}).reason == "AI review not configured for LLM_PROVIDER=hosted"

@@ -333,3 +333,22 @@ def test_packed_votes_are_the_majority(spark, n):
     w = [f"w{i * 7 % 50}" if i % 3 else "of" for i in range(n)]
     row = line_dedup.occurrences(documents(spark, [(1, " ".join(w))])).first()
     assert row["sim"] % (1 << 64) == line_print(w) and row["n"] == n
+
+
+def test_near_duplicates_beyond_the_size_switches(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, base) for i in range(9)] + [(20, base + " tail"), (20, base + " tail"), (21, "other text here"), (None, base), (22, None)]
+    docs = documents(spark, rows)
+    got = Counter(tuple(r) for r in simhash_dedup.near_duplicates(docs).collect())
+    known = near_duplicates([(i if i is not None else 99, t) for i, t in rows])
+    assert got == Counter({(None if i == 99 else i, p, c): n for (i, p, c), n in known.items()})
+    assert Counter(r["doc_id"] for r in simhash_dedup.keep_one(docs).collect()) == Counter({c for _, _, c in known})
+
+
+def test_decontamination_beyond_the_size_switches(spark, monkeypatch):
+    read = lambda t, c: duckdb.sql(f"SELECT {c}, text FROM '{DATA}/{t}.parquet'").fetchall()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    got = Counter(tuple(r) for r in decontam.op8_benchmark_decontamination(spark, DATA).collect())
+    assert got == contamination(read("documents", "doc_id"), read("benchmark", "item_id"))

@@ -153,6 +153,18 @@ def test_expressions(expression, labels, freedom):
     assert got is None if labels is None else got[0] == labels and got[1] == pytest.approx(freedom)
 
 
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [
+        ("see the file called copying for details", None), ("mit */ int main(void)", {"mit"}), ("mit or foo-1.0", {"mit"}), ("(mit or isc) -->", {"mit", "isc"}), ("apache-2.0.", {"apache"}),
+        ("licenseref-house and mit", {"licenseref-house", "mit"}), ("gpl-2.0 with linux-syscall-note", {"gpl"}), ("unheard-of-1.0", None),
+    ],
+)
+def test_only_licences_become_labels(line, labels):
+    got = licenses.evaluate(line)
+    assert got is None if labels is None else got[0] == labels
+
+
 def test_licence_edges(spark):
     texts = [None, "", "MIT License mit-license", "cc by cc by", "cc cc by", "SPDX-License-Identifier: MIT OR (GPL-2.0 AND MIT)\nx", "Éclair Apache\nLICENSE" + " x" * 100_000, "gnu general public license"]
     docs = documents(spark, [(i, t, "en") for i, t in enumerate(texts)])
@@ -229,3 +241,16 @@ def test_packing_keeps_every_token_within_budget(spark):
     assert all(n * max(1, bucket) <= 256 for (bucket, _, _), n in batches.items()) and all(r["n_tokens"] <= r["bucket"] and r["start"] == 64 * r["piece"] for r in rows)
     assert len({(r["bucket"], r["shard"], r["batch"], r["slot"]) for r in rows}) == len(rows)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_packing_does_not_depend_on_tasks(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    one, other = (Counter(tuple(r) for r in packing.pack(d, budget=2048).collect()) for d in (docs, docs.repartition(7)))
+    assert one == other
+    given = packing.pack(docs, length=F.lit(5000)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert all(r["n"] == 5000 for r in given)
+
+
+def test_terms_with_look_alikes_are_exact_hits():
+    matcher = toxicity.Matcher([("ab12cd", False), ("idiot", False)], set())
+    assert [matcher.of_word(w) for w in ("ab12cd", "idiot", "1diot", "unrelated")] == [0, 0, 1, -1]

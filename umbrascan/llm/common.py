@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable
@@ -25,13 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (as in tests) one in the warehouse, which they share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

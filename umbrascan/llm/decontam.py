@@ -32,15 +32,20 @@ def with_words(df: DataFrame, *keep: Column | str) -> DataFrame:
     return words.withColumns({"n_words": F.size("words"), "codes": F.transform("words", lambda w: F.xxhash64(w))})
 
 
-def windows(df: DataFrame, sizes: list[int], first: int = 0) -> DataFrame:
-    """A row per window with its place `at`, `size` and hash `code`; first=-1 adds one marker row at -1 per row of df.
+def starts(sizes: list[int], first: int = 0) -> Column:
+    """The places of a text's windows; first=-1 adds a marker at -1.
 
     Places of the k-th size are numbered from k * 2**32, so one cheap sequence per size is all that is exploded.
     """
     places = [F.when(F.col("n_words") >= n, F.sequence(F.lit(k << 32), F.lit(k << 32) + F.col("n_words") - n)) for k, n in enumerate(sizes)]
     none = F.array().cast("array<bigint>")
     marker = [F.array(F.lit(-1).cast("bigint"))] if first < 0 else []
-    exploded = df.select("*", F.explode(F.concat(none, *marker, *[F.coalesce(p, none) for p in places])).alias("place"))
+    return F.concat(none, *marker, *[F.coalesce(p, none) for p in places])
+
+
+def windows(df: DataFrame, sizes: list[int], places: Column) -> DataFrame:
+    """A row per window with its `place`, where it starts (`at`), `size` and hash `code`."""
+    exploded = df.select("*", F.explode(places).alias("place"))
     at = F.when(F.col("place") < 0, F.lit(-1)).otherwise(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
     slot = F.shiftright("place", 32)
     exploded = exploded.withColumns({"at": at, "slot": slot})
@@ -73,13 +78,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     known = benchmark_windows(benchmark, window)
     sizes = [r[0] for r in known.select("size").distinct().orderBy("size").limit(window).collect()]
     codes = common.settle(known.select(F.col("code").alias("known")).distinct(), "codes")
-    texts = with_words(docs, "doc_id", F.xxhash64("text", F.length("text")).alias("text_code"))
-    placed = windows(texts, sizes, first=-1)
-    codes = common.small_side(codes, 24)
-    found = placed.join(codes, F.col("code") == F.col("known"), "left").filter("known is not null or at < 0")
+    texts = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("text_code"), "text")
+    if common.small(codes.count(), 24):
+        placed = windows(with_words(texts, "doc_id", "text_code"), sizes, starts(sizes, first=-1))
+        found = placed.join(F.broadcast(codes), F.col("code") == F.col("known"), "left").filter("known is not null or at < 0").drop("known")
+    else:
+        found = looked_up(texts, codes, sizes)
     found = found.select("doc_id", "text_code", "n_words", "at", F.col("size").cast("int").alias("size"), "code", F.when(F.col("at") >= 0, gram(sizes)).alias("gram"))
     named = common.small_side(known.select(F.col("code").alias("known"), F.col("gram").alias("known_gram"), "item_id"), 256)
-    verified = found.join(named, (F.col("code") == F.col("known")) & (F.col("gram") == F.col("known_gram")), "left")
+    # Markers have no code: joined as well they would all be dealt to one task.
+    marks = found.filter("at < 0").withColumns({"known": F.lit(None).cast("long"), "item_id": F.lit(None).cast(known.schema["item_id"].dataType)})
+    verified = found.filter("at >= 0").join(named, (F.col("code") == F.col("known")) & (F.col("gram") == F.col("known_gram"))).drop("known_gram").unionByName(marks)
     hit = F.col("known").isNotNull()
     per_doc = verified.groupBy("doc_id", "text_code").agg(
         F.max("n_words").alias("n_words"),
@@ -90,6 +99,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copy", "copies")
 
 
+def looked_up(texts: DataFrame, codes: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows that may be hits, and a marker for each text, where the benchmark is too large to be broadcast.
+
+    Only a window's code and place are shuffled; the words come from a second look at the texts that have hits.
+    """
+    own = windows(with_words(texts, "doc_id", "text_code"), sizes, starts(sizes)).select("doc_id", "text_code", "place", "code")
+    met = own.join(codes, F.col("code") == F.col("known"), "left_semi").select(F.col("doc_id").alias("hit_id"), F.col("text_code").alias("hit_code"), "place")
+    per_text = common.settle(met.groupBy("hit_id", "hit_code").agg(F.collect_set("place").alias("places")), "hits")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_code") == F.col("hit_code"))
+    joined = texts.join(per_text, same, "left")
+    marker = F.array(F.lit(-1).cast("bigint"))
+    return windows(with_words(joined, "doc_id", "text_code", "places"), sizes, F.concat(marker, F.coalesce("places", F.array().cast("array<bigint>"))))
+
+
 def hit_words() -> Column:
     """Positions of the words inside any hit."""
     return F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))

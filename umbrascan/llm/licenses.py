@@ -42,7 +42,9 @@ FREEDOM = {
 }
 UNKNOWN_FREEDOM = 0.5
 EASED = 0.1
-FAMILY = re.compile(r"(cc-by-nc|cc-by-sa|cc-by-nd|cc-by|cc0|apache|agpl|lgpl|gpl|mpl|epl|bsd|mit|isc|unlicense)(?:-|\+|$)")
+FAMILY = re.compile(r"(cc-by-nc|cc-by-sa|cc-by-nd|cc-by|cc0|apache|agpl|lgpl|gpl|mpl|epl|bsd|mit|isc|unlicense|zlib|wtfpl|bsl|0bsd|artistic|cddl|ofl|eupl|postgresql|ncsa)(?:-|\+|$)")
+#: An identifier of a licence that has no public name.
+OWN = "licenseref-"
 BINDS = {"or": 1, "and": 2, "with": 3}
 PIECE = re.compile(r"[()]|[a-z0-9][a-z0-9.+:\-]*")
 #: Bytes of a text to words: separators to spaces, capitals to small letters.
@@ -55,6 +57,16 @@ def family(identifier: str) -> str:
     return m[1] if m else identifier
 
 
+def named(tokens: list[str]) -> list[str]:
+    """The tokens up to the first one that is no licence, operator or bracket, such as a comment's end or prose after the expression. What follows
+    `with` is an exception, whatever its name."""
+    for k, t in enumerate(tokens):
+        known = t in BINDS or t in "()" or t.startswith(OWN) or FAMILY.match(t) or (k and tokens[k - 1] == "with")
+        if not known:
+            return tokens[:k]
+    return tokens
+
+
 def postfix(tokens: list[str]) -> list[str]:
     """Shunting-yard: operators wait on a stack until one that binds less, a parenthesis or the end comes."""
     out, waiting, operand_next = [], [], True
@@ -83,9 +95,9 @@ def postfix(tokens: list[str]) -> list[str]:
 
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """(labels, freedom) of a lower-cased expression; None if it names nothing."""
-    tokens = PIECE.findall(expression)
-    names = [t for t in tokens if t not in BINDS and t not in "()"]
+    """(labels, freedom) of a lower-cased expression; None if it names no licence. One that can't be parsed counts as all that it names."""
+    tokens = named([t.rstrip(".:") for t in PIECE.findall(expression)])
+    names = [t for k, t in enumerate(tokens) if t not in BINDS and t not in "()" and (not k or tokens[k - 1] != "with")]
     if not names:
         return None
     try:

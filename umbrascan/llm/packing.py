@@ -1,6 +1,6 @@
 """Packing into length buckets that minimise padding, and token-budget batches inside each bucket.
 
-A document's length is its number of words between ASCII white space; longer ones than MAX_LENGTH are cut into
+A document's length is its number of words between ASCII white space (not ids of a tokenizer: a text without spaces has length 1), unless the caller gives another column of lengths; longer ones than MAX_LENGTH are cut into
 pieces of that length and a rest, so nothing is left out. The histogram of piece lengths covers the whole corpus
 and has at most MAX_LENGTH + 1 entries whatever the input; dynamic programming over it on the driver finds the
 bucket boundaries with the least padding. Pieces of a bucket are dealt over as many shards as its count asks for
@@ -60,18 +60,18 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
     return out[::-1]
 
 
-def pieces(docs: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """doc_id, piece, n_tokens: each document cut into pieces of at most max_length tokens."""
-    sized = docs.select("doc_id", n_words().alias("n"))
+def pieces(docs: DataFrame, max_length: int = MAX_LENGTH, length: Column | None = None) -> DataFrame:
+    """doc_id, piece, n_tokens and a code of the text: each document cut into pieces of at most max_length tokens."""
+    sized = docs.select("doc_id", (n_words() if length is None else F.coalesce(length, F.lit(0))).cast("int").alias("n"), F.xxhash64("text").alias("code"))
     last = F.greatest(F.ceil(F.col("n") / max_length).cast("int") - 1, F.lit(0))
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    return cut.select("doc_id", "piece", F.least(F.lit(max_length), F.col("n") - F.col("piece") * max_length).alias("n_tokens"))
+    cut = sized.select("doc_id", "n", "code", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    return cut.select("doc_id", "piece", F.least(F.lit(max_length), F.col("n") - F.col("piece") * max_length).alias("n_tokens"), "code")
 
 
-def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bucket (its padded length), shard, batch and slot of every piece."""
+def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, length: Column | None = None) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bucket (its padded length), shard, batch and slot of every piece, the same however the rows are dealt over tasks."""
     spark = docs.sparkSession
-    cut = common.settle(pieces(docs, max_length), "pieces")
+    cut = common.settle(pieces(docs, max_length, length), "pieces")
     histogram = cut.groupBy("n_tokens").count().collect()
     bounds = boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     plan = []
@@ -81,10 +81,10 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS,
         plan.append((bounds[i - 1] if i else -1, top, rows, max(1, -(-count // (SHARD_BATCHES * rows)))))
     schema = T.StructType([T.StructField(c, T.IntegerType(), False) for c in ("below", "bucket", "batch_rows", "shards")])
     plan = F.broadcast(spark.createDataFrame(plan, schema))  # at most `buckets` rows
-    dealt = cut.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = cut.withColumn("deal", F.xxhash64("doc_id", "piece", "code"))
     dealt = dealt.join(plan, (F.col("n_tokens") > F.col("below")) & (F.col("n_tokens") <= F.col("bucket")))
     dealt = dealt.withColumn("shard", F.pmod("deal", "shards").cast("int"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("deal")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("deal", "doc_id", "piece")) - 1
     placed = dealt.withColumn("rank", rank)
     return placed.select(
         "doc_id", "piece", (F.col("piece").cast("long") * max_length).alias("start"), "n_tokens", "bucket", "shard",

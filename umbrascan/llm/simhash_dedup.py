@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
@@ -77,32 +77,54 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return left.join(right, (F.col("l.key") == F.col("r.key")) & near).select("a", "b").distinct()
 
 
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """Settled (doc_id, fp, code), a row per row of docs."""
+    return common.settle(fingerprints(docs.select("doc_id", "text", text_code().alias("code"))).select("doc_id", "fp", "code"), "prints")
+
+
+def text_code() -> Column:
+    return F.xxhash64("text", F.length("text"))
+
+
 def components(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, keep_id, keep_fp) for each fingerprint of settled rows (doc_id, fp)."""
-    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "fp")).alias("first"))
+    """(fp, component_id, keep) for each fingerprint of settled rows (doc_id, fp, code), and how many rows have it. keep: the row that comes first."""
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "fp", "code")).alias("first"), F.count("*").alias("rows"))
     least = common.settle(least, "prints")
     roots = common.connected_components(fingerprint_links(least.select("fp")), "a", "b")
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.fp").alias("keep_fp"))
+    firsts = common.settle(rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("members")), "firsts")
+    placed = common.join_skewed(rooted.select("fp", "rows", "root"), firsts.drop("members"), ["root"], common.hottest(firsts, ["root"], "members"))
+    return placed.select("fp", "rows", F.col("first.doc_id").alias("component_id"), F.col("first").alias("keep"))
+
+
+def with_components(prints: DataFrame) -> DataFrame:
+    """prints with component_id and keep. Copies share a fingerprint, and the most frequent ones are joined where they are."""
+    found = common.settle(components(prints), "components")
+    return common.join_skewed(prints, found.drop("rows"), ["fp"], common.hottest(found, ["fp"], "rows"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
-    prints = common.settle(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "prints")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(components(prints), "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return with_components(fingerprinted(docs)).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays."""
-    prints = common.settle(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "prints")
-    doubles = prints.join(components(prints), "fp").filter(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))))
-    gone = doubles.select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
-    gone = common.small_side(common.settle(gone, "doubles"), 24)
-    mine = docs.select(common.whole(docs).alias("row"), F.col("doc_id").alias("own_id"), fingerprint_of(F.col("text").cast("binary")).alias("own_fp"))
-    left = mine.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_fp") == F.col("gone_fp")), "left_anti")
-    return left.dropDuplicates(["own_id", "own_fp"]).select(*common.columns_of(docs, "row"))
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    What goes is found on (doc_id, code of the text) alone. Texts are only read once more, and shuffled only where a row that stays is repeated.
+    """
+    prints = fingerprinted(docs)
+    first = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("fp") == F.col("keep.fp")) & (F.col("code") == F.col("keep.code"))
+    key = [F.col("doc_id").alias("gone_id"), F.col("code").alias("gone_code")]
+    gone = common.settle(with_components(prints).filter(~first).select(*key).distinct(), "doubles")
+    repeated = common.settle(prints.groupBy("doc_id", "code").count().filter("count > 1").select(*key), "repeated")
+    mine = docs.select(common.whole(docs).alias("row"), F.col("doc_id").alias("own_id"), text_code().alias("own_code"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_code") == F.col("gone_code"))
+    left = mine.join(common.small_side(gone, 24), same, "left_anti")
+    repeated = common.small_side(repeated, 24)
+    once = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_code"]))
+    return once.select(*common.columns_of(docs, "row"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ class SequenceWriter:
 
     def __init__(self, sink, dtype: np.dtype, length: int, rows: int):
         self.length, self.rows, self.dtype, self.held, self.written = length, rows, dtype, bytearray(), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"rows": str(rows)})
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"rows": str(rows)})
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def put(self, ids: bytes) -> None:
@@ -133,7 +133,7 @@ class SequenceWriter:
 
     def _batch(self, data: bytes, real: int) -> None:
         flat = np.frombuffer(data, self.dtype)
-        mask = np.arange(len(flat)) < real
+        mask = (np.arange(len(flat)) < real).astype(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -155,11 +155,11 @@ class Sequences:
     def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k != self.at:
             b = self.reader.get_batch(k)
-            self.at, self.held = k, (b.column("ids").flatten().to_numpy(), b.column("mask").flatten().to_numpy(zero_copy_only=False))
+            self.at, self.held = k, (b.column("ids").flatten().to_numpy(), b.column("mask").flatten().to_numpy().view(bool))
         return self.held
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and mask of sequence i; the ids are a view of the file."""
+        """The ids and mask of sequence i; both are views of the file, masks of a byte each."""
         ids, mask = self.batch(i // self.rows)
         own = slice(i % self.rows * self.length, (i % self.rows + 1) * self.length)
         return ids[own], mask[own]

@@ -32,7 +32,6 @@ from pyspark.sql.functions import pandas_udf
 from . import common
 
 SAMPLE = 8_000
-MAX_TERMS = 400
 MIN_SUPPORT = 5
 MAX_CLEAN_SHARE = 0.02
 LEAST_LETTERS, MOST_LETTERS = 4, 12
@@ -137,8 +136,11 @@ class Matcher:
     MEMORY = 500_000
 
     def __init__(self, terms: list[tuple[str, bool]], ordinary: set[str]):
-        self.root, self.ordinary, self.known = trie_of(terms), ordinary, {}
-        self.token, self.pieces = re.compile(TOKEN), piece_machine(terms)
+        # Words are read with look-alikes replaced, so terms are too; a word that is a term as it is written is no misspelling.
+        folded = list(dict.fromkeys((plain(term), stem) for term, stem in terms))
+        self.written, self.beginnings = {term for term, _ in terms}, tuple(term for term, stem in terms if stem)
+        self.root, self.ordinary, self.known = trie_of(folded), ordinary, {}
+        self.token, self.pieces = re.compile(TOKEN), piece_machine(folded)
 
     def may_hit(self, word: str) -> bool:
         if self.pieces is None:
@@ -157,7 +159,7 @@ class Matcher:
                 self.known.clear()
             read = plain(word)
             found = best_hit(read, self.root) if len(word) >= LEAST_LETTERS - 1 and self.may_hit(read) else None
-            hit = self.known[word] = -1 if found is None or found[1] and word in self.ordinary else found[1] + (found[1] == 0 and read != word)
+            hit = self.known[word] = -1 if found is None or found[1] and word in self.ordinary else found[1] + (found[1] == 0 and read != word and not (word in self.written or word.startswith(self.beginnings)))
         return hit
 
     def features(self, text: str | None) -> list[float]:
@@ -240,7 +242,7 @@ def choose_terms(rows: list) -> list[tuple[str, bool]]:
 
 def lexicon(sample: DataFrame) -> list[tuple[str, bool]]:
     counts = term_counts(sample).filter((F.col("support") >= MIN_SUPPORT) & (F.col("n_clean") <= F.col("n_toxic") * MAX_CLEAN_SHARE))
-    return choose_terms(counts.orderBy(F.desc("support"), "term", "stem").limit(MAX_TERMS).collect())
+    return choose_terms(counts.orderBy(F.desc("support"), "term", "stem").collect())  # the bounded sample bounds the terms
 
 
 def ordinary_words(sample: DataFrame, terms: list[tuple[str, bool]]) -> set[str]:

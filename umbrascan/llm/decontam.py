@@ -85,10 +85,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     else:
         found = looked_up(texts, codes, sizes)
     found = found.select("doc_id", "text_code", "n_words", "at", F.col("size").cast("int").alias("size"), "code", F.when(F.col("at") >= 0, gram(sizes)).alias("gram"))
-    named = common.small_side(known.select(F.col("code").alias("known"), F.col("gram").alias("known_gram"), "item_id"), 256)
-    # Markers have no code: joined as well they would all be dealt to one task.
-    marks = found.filter("at < 0").withColumns({"known": F.lit(None).cast("long"), "item_id": F.lit(None).cast(known.schema["item_id"].dataType)})
-    verified = found.filter("at >= 0").join(named, (F.col("code") == F.col("known")) & (F.col("gram") == F.col("known_gram"))).drop("known_gram").unionByName(marks)
+    named = known.select(F.col("code").alias("known"), F.col("gram").alias("known_gram"), "item_id")
+    same = (F.col("code") == F.col("known")) & (F.col("gram") == F.col("known_gram"))
+    if common.small(known.count(), 256):
+        verified = found.join(F.broadcast(named), same, "left")
+    else:  # markers have no code: shuffled by it they would all be dealt to one task
+        found = common.settle(found, "found")
+        marks = found.filter("at < 0").withColumns({"known": F.lit(None).cast("long"), "item_id": F.lit(None).cast(known.schema["item_id"].dataType)})
+        verified = found.filter("at >= 0").join(named, same).drop("known_gram").unionByName(marks)
     hit = F.col("known").isNotNull()
     per_doc = verified.groupBy("doc_id", "text_code").agg(
         F.max("n_words").alias("n_words"),

@@ -4,7 +4,7 @@ Lines of n and m <= n words that are similar differ by at most d = n // 5 edits.
 
 * An edit changes at most two pairs of neighbouring words, so of each line the 2d + 1 first pairs of words in an order common to all lines
   (a prefix) hold one that both have. The order puts pairs of long words first, as they are rarer; any order gives
-  the same links, a good one smaller buckets. One more pair is kept, so that two are in common.
+  the same links, a good one smaller buckets. One more pair is kept, so that two are in common and one is rarely in crowded buckets only.
 * Lines of 5 to 9 words differ by one edit at most: with the same word left out they are equal, or the shorter line is the
   longer one without a word.
 
@@ -12,8 +12,9 @@ Every line carries a fingerprint of 256 bits, bit c telling whether words with t
 at most two of its bits (of a majority fingerprint it may move any number), so pairs at more than 2d differing bits are no candidates, and no other pair is lost.
 
 No bucket is expanded into all its pairs: members are first compared with one of them, the bucket's centre, and what this links is one
-group from then on. Only members of different groups meet in a second round, in buckets of at most CROWD lines; larger buckets are
-first divided by a second pair of words in common.
+group from then on. Only members of different groups meet in a second round: with each other in buckets of at most CROWD lines, with CENTRES others in larger ones. So no
+work grows with the square of a bucket; the price is that two similar lines which meet in crowded buckets only, and which neither a centre nor any
+other similar line connects, stay in two groups.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ CHUNK = 8  # words whose bits are gathered in one expression
 HOT_LINES = 50_000
 #: Buckets meet in a second round in so many parts, one after the other.
 PASSES = 6
-#: Largest bucket whose groups meet pair by pair.
-CROWD = 200
+#: Largest bucket whose groups meet pair by pair; in larger ones every member meets so many others.
+CROWD, CENTRES = 200, 6
 #: Lines from LONG words on are looked up by pairs of words, lines of up to SHORT words by single words left out.
 LONG, SHORT = 8, 9
 
@@ -112,6 +113,16 @@ def across(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def with_centres(rows: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket and each of CENTRES other members, drawn by hash, where these are in another group and may be similar."""
+    own = ["x", "root_x", *[f"{c}_x" for c in TRAITS]]
+    drawn = [F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("draw"), *own)).alias(f"c{k}") for k in range(CENTRES)]
+    centres = rows.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+    centres = centres.select("key", *[F.col(f"c.{c}").alias(c.removesuffix("x") + "y") for c in own])
+    met = rows.select("key", *own).join(centres, "key").filter((F.col("root_x") != F.col("root_y")) & near("x", "y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def second_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of a bucket that the first round left in different groups. Buckets are taken in PASSES parts, so that little is on disk at a time."""
     by_pairs = found.filter("key & 1 = 0")  # odd keys are done: all their members are similar to the centre or to none
@@ -121,11 +132,7 @@ def second_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFr
         rooted = mixed(some.join(groups, "x", "left").withColumn("root_x", F.coalesce("root_x", "x")))
         rooted = common.settle(rooted.join(traits(lines, "x"), "x"), "rooted")
         pairs = across(rooted.filter(F.col("size") <= CROWD))
-        crowded = rooted.filter(F.col("size") > CROWD)
-        if not crowded.isEmpty():
-            divided = crowded.join(by_pairs.select("x", F.col("key").alias("other")), "x").filter("key <> other")
-            divided = divided.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("other").dropDuplicates(["key", "x"])
-            pairs = pairs.unionByName(across(mixed(divided)))
+        pairs = pairs.unionByName(with_centres(rooted.filter(F.col("size") > CROWD)))
         parts.append(common.settle(pairs.distinct(), "pairs"))
         common.discard(rooted)
     return reduce(DataFrame.unionByName, parts).distinct()

@@ -1,4 +1,4 @@
-"""Candidate pairs of similar lines, complete at an edit similarity of 0.8 over words, in DataFrame operations only.
+"""Candidate pairs of similar lines at an edit similarity of 0.8 over words, in DataFrame operations only.
 
 Lines of n and m <= n words that are similar differ by at most d = n // 5 edits. By the pigeonhole principle they meet in a bucket:
 

@@ -119,8 +119,9 @@ def add_visual(flags: DataFrame, hidden: DataFrame) -> DataFrame:
     return marked.unionByName(fresh_flags(hidden, matched))
 
 
-def ocr_status(pages: DataFrame, enabled: bool = True, error: str | None = None) -> DataFrame:
-    """doc_id, status, error and pages_ocrd: off, unavailable with the reason, or ok with the number of pages read."""
-    counted = pages.groupBy("doc_id").agg(F.count("*").alias("pages_ocrd"))
+def ocr_status(pages: DataFrame, documents: DataFrame, enabled: bool = True, error: str | None = None) -> DataFrame:
+    """doc_id, status, error and pages_ocrd of every document: off, unavailable with the reason, or ok with the number of pages read, which may be none."""
+    counted = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
     status = "off" if not enabled else "unavailable" if error else "ok"
-    return counted.select("doc_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.when(F.lit(status == "ok"), F.col("pages_ocrd")).alias("pages_ocrd"))
+    n = F.when(F.lit(status == "ok"), F.coalesce("n", F.lit(0)))
+    return documents.select("doc_id").distinct().join(counted, "doc_id", "left").select("doc_id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), n.alias("pages_ocrd"))

@@ -297,9 +297,9 @@ def page_gate(spark, d):
     return visual.pages_to_read(spans(spark, d))
 
 
-@add("ocr_status", "SELECT doc_id, 'ok' AS status, CAST(NULL AS VARCHAR) AS error, count(DISTINCT page) AS pages_ocrd FROM judged GROUP BY doc_id", "judged")
+@add("ocr_status", "SELECT doc_id, 'ok' AS status, CAST(NULL AS VARCHAR) AS error, coalesce(n, 0) AS pages_ocrd FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN (SELECT doc_id, count(DISTINCT page) AS n FROM judged GROUP BY doc_id) USING (doc_id)", "judged")
 def ocr_status(spark, d):
-    return visual.ocr_status(visual.pages_to_read(spans(spark, d)))
+    return visual.ocr_status(visual.pages_to_read(spans(spark, d)), P.documents(spark, d))
 
 
 @add("ocr_line_join", f"SELECT j.doc_id, j.page, j.block_no, j.line_no, j.span_no, coalesce(s.seen, '') AS seen FROM judged j LEFT JOIN seen s USING (doc_id, page, block_no, line_no, span_no)", "judged", "seen")

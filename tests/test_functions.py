@@ -164,3 +164,10 @@ def test_sql_names(spark):
     udfs.register(spark)
     row = spark.sql(f"SELECT invisible_count('a{Z}b'), rule_label('you are', 'x'), contrast_ratio(0, 16777215), decode_tags('{T.tag_encode('ok')}'), normalize_text('A b!'), partial_ratio('abcd', 'xxabcdxx')").first()
     assert (row[0], row[1], round(row[2], 3), row[3], row[4], row[5]) == (1, "manipulation", 21.0, "ok", "ab", 100.0)
+
+
+def test_overlay_of_a_fractional_page_is_rounded(spark):
+    row = spark.range(1).select(*[F.lit(v).alias(c) for c, v in (("x0", 590.04), ("y0", -3.0), ("x1", 700.0), ("y1", 20.06))])
+    box, off = G.overlay_box([F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit("white_text"), F.lit(595.276), F.lit(841.89))
+    got = row.select(box.alias("b"), off.alias("o")).first()
+    assert tuple(got["b"]) == (590.0, 0.0, 595.3, 20.1) and got["o"]

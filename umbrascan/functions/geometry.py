@@ -78,10 +78,10 @@ def clamped(a0: Column, a1: Column, size: Column) -> tuple[Column, Column]:
 
 
 def overlay_box(r, technique: Column, width: Column, height: Column) -> tuple[Column, Column]:
-    """(the box to draw inside the page, whether the text leaves the page)."""
+    """(the box to draw inside the page, to a tenth of a point, whether the text leaves the page)."""
     x, y = clamped(r[0], r[2], width), clamped(r[1], r[3], height)
     off = (technique == "off_page") | (r[0] < 0) | (r[1] < 0) | (r[2] > width) | (r[3] > height)
-    return F.struct(x[0].alias("x0"), y[0].alias("y0"), x[1].alias("x1"), y[1].alias("y1")), off
+    return F.struct(*[F.bround(c, 1).alias(n) for c, n in ((x[0], "x0"), (y[0], "y0"), (x[1], "x1"), (y[1], "y1"))]), off
 
 
 def display_box(box: Column, scale: Column, width: Column, height: Column) -> Column:

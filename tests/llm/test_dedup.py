@@ -295,11 +295,13 @@ def test_every_similar_pair_of_lines_is_found_by_length(spark):
     assert all(v == 1 for v in found.values()), found
 
 
-@pytest.mark.parametrize("setting", ["no broadcast", "crowded buckets"])
+@pytest.mark.parametrize("setting", ["no broadcast", "crowded buckets", "many crowded buckets"])
 def test_lines_beyond_the_size_switches(spark, monkeypatch, setting):
     rng = random.Random(4)
     base = [f"word{i}" for i in range(20)]
     lines = [" ".join(base)] + [" ".join(rng.choice(["other", "further", "last"]) if rng.random() < p else w for w in base) for p in (0.1, 0.2, 0.3, 0.4) for _ in range(12)]
+    # Groups of two that share a long passage with all the others: they meet in crowded buckets only, and no centre links them.
+    lines += [" ".join([f"passage{i}" for i in range(14)] + [f"end{g}" for _ in range(3)] + [f"own{g}{k}" for _ in range(3)]) for g in range(20) for k in (0, 1)]
     lines += ["click here to read more"] * 30 + [f"click here to read {w}" for w in ("it", "them", "on", "all")]
     rows = [(i, line) for i, line in enumerate(lines)]
     if setting == "no broadcast":
@@ -307,6 +309,8 @@ def test_lines_beyond_the_size_switches(spark, monkeypatch, setting):
         monkeypatch.setattr(common, "HOT_KEYS", 1)
     else:
         monkeypatch.setattr(line_pairs, "CROWD", 2)
+        monkeypatch.setattr(line_pairs, "CENTRES", 1)
+        monkeypatch.setattr(line_pairs, "MANY", 0 if setting.startswith("many") else line_pairs.MANY)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows), complete=True).collect()}
     assert got == deduped_by_words(rows)
 

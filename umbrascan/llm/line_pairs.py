@@ -12,9 +12,11 @@ Every line carries a fingerprint of 256 bits, bit c telling whether words with t
 at most two of its bits (of a majority fingerprint it may move any number), so pairs at more than 2d differing bits are no candidates, and no other pair is lost.
 
 No bucket is expanded into all its pairs: members are first compared with one of them, the bucket's centre, and what this links is one
-group from then on. Only members of different groups meet in a second round: with each other in buckets of at most CROWD lines, with CENTRES others in larger ones. So no
-work grows with the square of a bucket; the price is that two similar lines which meet in crowded buckets only, and which neither a centre nor any
-other similar line connects, stay in two groups.
+group from then on. Only members of different groups meet after that. In a second round they meet each other in buckets of at most CROWD rows, and
+CENTRES others in larger ones, which links most of what these hold. A third round is for the crowded buckets that still hold several groups: two
+similar lines have at least two keys in common, so that lines which meet in crowded buckets only meet in two of them, and are looked up by pairs of
+their crowded keys. Lines with over MANY crowded keys, long ones of frequent words, would have too many such pairs; they meet all members of
+their buckets instead. So every link between groups is found, whatever a bucket's size.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ CHUNK = 8  # words whose bits are gathered in one expression
 HOT_LINES = 50_000
 #: Buckets meet in a second round in so many parts, one after the other.
 PASSES = 6
-#: Largest bucket whose groups meet pair by pair; in larger ones every member meets so many others.
+#: Largest bucket whose groups meet pair by pair; in larger ones every member meets so many others, before the third round.
 CROWD, CENTRES = 200, 6
+#: Lines with more crowded keys are not looked up by pairs of them.
+MANY = 24
 #: Lines from LONG words on are looked up by pairs of words, lines of up to SHORT words by single words left out.
 LONG, SHORT = 8, 9
 
@@ -105,22 +109,28 @@ def mixed(rows: DataFrame) -> DataFrame:
     return rows.filter("least < most").drop("least", "most")
 
 
+OWN = ["x", "root_x", *[f"{c}_x" for c in TRAITS]]
+
+
+def meet(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """(a, b): a row's line and another of its bucket that belong to different groups and may be similar."""
+    others = others.select("key", *[F.col(c).alias(c.removesuffix("x") + "y") for c in OWN])
+    met = rows.select("key", *OWN).join(others, "key").filter((F.col("root_x") != F.col("root_y")) & near("x", "y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def across(rows: DataFrame) -> DataFrame:
     """(a, b): members of a bucket that belong to different groups and may be similar."""
-    own = ["x", "root_x", *[f"{c}_x" for c in TRAITS]]
-    others = rows.select("key", *[F.col(c).alias(c.removesuffix("x") + "y") for c in own])
-    met = rows.select("key", *own).join(others, "key").filter((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & near("x", "y"))
+    others = rows.select("key", *[F.col(c).alias(c.removesuffix("x") + "y") for c in OWN])
+    met = rows.select("key", *OWN).join(others, "key").filter((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")) & near("x", "y"))
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def with_centres(rows: DataFrame) -> DataFrame:
     """(a, b): members of a bucket and each of CENTRES other members, drawn by hash, where these are in another group and may be similar."""
-    own = ["x", "root_x", *[f"{c}_x" for c in TRAITS]]
-    drawn = [F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("draw"), *own)).alias(f"c{k}") for k in range(CENTRES)]
+    drawn = [F.min(F.struct(F.xxhash64("x", F.lit(k)).alias("draw"), *OWN)).alias(f"c{k}") for k in range(CENTRES)]
     centres = rows.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
-    centres = centres.select("key", *[F.col(f"c.{c}").alias(c.removesuffix("x") + "y") for c in own])
-    met = rows.select("key", *own).join(centres, "key").filter((F.col("root_x") != F.col("root_y")) & near("x", "y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return meet(rows, centres.select("key", *[F.col(f"c.{c}").alias(c) for c in OWN]))
 
 
 def second_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
@@ -136,3 +146,19 @@ def second_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFr
         parts.append(common.settle(pairs.distinct(), "pairs"))
         common.discard(rooted)
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def third_pairs(found: DataFrame, lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that meet in crowded buckets only and are still in different groups."""
+    groups = roots.select(F.col("node").alias("x"), F.col("root").alias("root_x"))
+    crowded = found.filter(f"key & 1 = 0 and size > {CROWD}").select("key", "x").join(groups, "x", "left")
+    crowded = mixed(crowded.withColumn("root_x", F.coalesce("root_x", "x")))
+    crowded = common.settle(crowded.distinct().join(traits(lines, "x"), "x"), "crowded")
+    of_line = crowded.groupBy(*OWN).agg(F.collect_list("key").alias("crowds")).withColumn("crowds", F.sort_array("crowds"))
+    of_line = common.settle(of_line, "of-line")
+    two = "flatten(transform(crowds, (k, i) -> transform(slice(crowds, i + 2, size(crowds)), o -> xxhash64(k, o))))"
+    twice = of_line.filter(F.size("crowds") <= MANY).select(*OWN, F.explode(F.expr(two)).alias("key"))
+    many = of_line.filter(F.size("crowds") > MANY).select(*OWN, F.explode("crowds").alias("key"))
+    pairs = common.settle(across(mixed(twice)).unionByName(meet(many, crowded)).distinct(), "pairs")
+    common.discard(crowded, of_line)
+    return pairs

@@ -71,10 +71,12 @@ def test_sequences_by_number(runs):
         out.put(np.array(r, "<u2").tobytes())
     out.close()
     flat = [x for r in runs for x in r]
-    file = token_files.Sequences(pa.BufferReader(sink.getvalue()))
+    held = sink.getvalue()
+    file = token_files.Sequences(pa.BufferReader(held))
     for i in range(-(-len(flat) // 8)):
         ids, mask = file.sequence(i)
-        assert ids[mask].tolist() == flat[8 * i : 8 * i + 8] and len(ids) == 8
+        assert ids[np.array(mask.to_pylist())].tolist() == flat[8 * i : 8 * i + 8] and len(ids) == len(mask) == 8
+        assert mask.buffers()[1].address in range(held.address, held.address + held.size)  # no copy
     at = 0
     for r in runs:
         assert np.concatenate(list(file.run(at, len(r)))).tolist() == r

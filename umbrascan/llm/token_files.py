@@ -118,7 +118,7 @@ class SequenceWriter:
 
     def __init__(self, sink, dtype: np.dtype, length: int, rows: int):
         self.length, self.rows, self.dtype, self.held, self.written = length, rows, dtype, bytearray(), 0
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"rows": str(rows)})
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"rows": str(rows)})
         self.out = pa.ipc.new_file(sink, self.schema)
 
     def put(self, ids: bytes) -> None:
@@ -133,7 +133,7 @@ class SequenceWriter:
 
     def _batch(self, data: bytes, real: int) -> None:
         flat = np.frombuffer(data, self.dtype)
-        mask = (np.arange(len(flat)) < real).astype(np.uint8)
+        mask = np.arange(len(flat)) < real
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -152,17 +152,17 @@ class Sequences:
         self.rows = int(self.reader.schema.metadata[b"rows"])
         self.at, self.held = -1, None
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if k != self.at:
             b = self.reader.get_batch(k)
-            self.at, self.held = k, (b.column("ids").flatten().to_numpy(), b.column("mask").flatten().to_numpy().view(bool))
+            self.at, self.held = k, (b.column("ids").flatten().to_numpy(), b.column("mask").flatten())
         return self.held
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and mask of sequence i; both are views of the file, masks of a byte each."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and mask of sequence i; both are views of the file, the mask an Arrow array of a bit each."""
         ids, mask = self.batch(i // self.rows)
         own = slice(i % self.rows * self.length, (i % self.rows + 1) * self.length)
-        return ids[own], mask[own]
+        return ids[own], mask.slice(own.start, self.length)
 
     def run(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The n ids from start on, in one piece per record batch."""
@@ -170,7 +170,7 @@ class Sequences:
             k, at = divmod(start, self.rows * self.length)
             ids, mask = self.batch(k)
             part = ids[at : at + n]
-            if not len(part) or not mask[at : at + n].all():
+            if not len(part) or mask.slice(at, n).false_count:
                 raise ValueError("the run reaches into padding")
             yield part
             start, n = start + len(part), n - len(part)

@@ -1,8 +1,8 @@
-"""The registered queries of the ten operators, with SQL where SQL can express them."""
+"""The registered queries of the thirteen operators, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, licenses, line_dedup, packing, simhash_dedup, token_files, toxicity, webp
+from . import chat, decontam, langid, licenses, line_dedup, packing, periodic, simhash_dedup, token_files, toxicity, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_token_files": token_files.op9_token_files,
     "op10_webp_media": webp.op10_webp_media,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 SQL = {"op6_chat_formatting": chat.SQL, "op8_benchmark_decontamination": decontam.SQL}

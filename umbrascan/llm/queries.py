@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, licenses, line_dedup, packing, periodic, simhash_dedup, token_files, toxicity, webp
+from . import bpe, chat, decontam, langid, licenses, line_dedup, packing, periodic, simhash_dedup, token_files, toxicity, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_webp_media": webp.op10_webp_media,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_bpe": bpe.op12_bpe,
 }
 
 SQL = {"op6_chat_formatting": chat.SQL, "op8_benchmark_decontamination": decontam.SQL}

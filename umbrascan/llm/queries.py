@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, licenses, line_dedup, packing, periodic, simhash_dedup, token_files, toxicity, webp
+from . import bpe, chat, decontam, langid, licenses, line_dedup, packing, periodic, simhash_dedup, spelling, token_files, toxicity, webp
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_webp_media": webp.op10_webp_media,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_bpe": bpe.op12_bpe,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
-SQL = {"op6_chat_formatting": chat.SQL, "op8_benchmark_decontamination": decontam.SQL}
+SQL = {"op6_chat_formatting": chat.SQL, "op8_benchmark_decontamination": decontam.SQL, "op13_spelling_variants": spelling.SQL}

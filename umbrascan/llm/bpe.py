@@ -39,7 +39,7 @@ from . import common
 #: Words of more bytes are merged rank by rank.
 LONG = 128
 #: Runs that a worker process keeps, and the longest of them in characters.
-MEMORY, KEPT = 1_000_000, 64
+MEMORY, KEPT = 1_250_000, 64
 #: Characters that are encoded at once.
 SPAN = 1 << 20
 NO_RANK = np.int64(1 << 40)
@@ -221,9 +221,24 @@ class Codec:
         return [bytes(map(self.bytes_of.__getitem__, w)) for w, _ in self.pre_tokenizer.pre_tokenize_str(run)]
 
     def words(self, run: str) -> list[bytes]:
-        if self.plain is not None and run.isascii():
-            return [w.encode() for w in self.plain.findall(run.lower() if self.lowers else run)]
-        return self._words(run)
+        if self.plain is None:
+            return self._words(run)
+        if found := LETTERS.fullmatch(run):
+            word, stop = found.groups()
+            word = (word.lower() if self.lowers else word).encode()
+            return [word, stop.encode()] if stop else [word]
+        return [w.encode() for w in self.plain.findall(run.lower() if self.lowers else run)] if run.isascii() else self._words(run)
+
+    def lowered(self, text: str) -> str:
+        """What the file lower-cases anyway, letter by letter, where no mark can come of it: fewer runs differ."""
+        if not self.lowers or any(m in text for m in self.marks):
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(m in low for m in self.marks) else low
 
     def _runs(self, text: str) -> list[str]:
         """A text in marks and runs, in order."""
@@ -245,7 +260,7 @@ class Codec:
         """The ids of each text as little-endian four-byte integers; about SPAN characters are in work at once."""
         held, size = [], 0
         for text in texts:
-            held.append(self._runs(text or ""))
+            held.append(self._runs(self.lowered(text or "")))
             size += len(text or "")
             if size >= SPAN:
                 yield from self._encoded(held)
@@ -256,7 +271,7 @@ class Codec:
         runs = set().union(*held)
         if len(self.known) + len(runs) > MEMORY:
             self.known.clear()
-        self.known |= self.marks
+        self.known.update(self.marks)
         fresh = self._learn(runs.difference(self.known))
         long = {r: ids for r, ids in fresh.items() if len(r) > KEPT}
         self.known.update((r, ids) for r, ids in fresh.items() if len(r) <= KEPT)
@@ -283,6 +298,8 @@ class Codec:
         return b"".join(p.encode() if k % 2 else bytes(map(self.bytes_of.__getitem__, p)) for k, p in enumerate(parts)).decode("utf-8", "replace")
 
 
+#: Letters below U+0100, which no composition changes, and perhaps a stop.
+LETTERS = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,])?")
 # Fixed value: the pattern of the tokenizer whose words of one-byte characters have a pattern of their own.
 PLAIN_OF = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

@@ -75,20 +75,10 @@ def background(pixel: Callable[[int, int], tuple[int, int, int]], box: tuple[flo
 
 
 def read_pdf(content: bytes) -> Iterator[tuple]:
-    """Spans of a PDF file, those off the page too, with the colour behind each one."""
-    import pymupdf
-
-    with pymupdf.open(stream=content, filetype="pdf") as doc:
-        for number, page in enumerate(doc, 1):
-            layer = page.get_text("dict", flags=pymupdf.TEXTFLAGS_DICT & ~pymupdf.TEXT_MEDIABOX_CLIP, clip=pymupdf.INFINITE_RECT())
-            picture = page.get_pixmap(alpha=False)
-            for b, block in enumerate(layer["blocks"]):
-                for n, line in enumerate(block.get("lines", ())):
-                    for s, span in enumerate(line["spans"]):
-                        box = tuple(map(float, span["bbox"]))
-                        behind = background(lambda x, y: tuple(picture.pixel(x, y)[:3]), box, picture.width, picture.height)
-                        rgb = None if behind is None else dict(zip("rgb", behind, strict=True))
-                        yield (number, b, n, s, span["text"], *box, float(span["size"]), span["color"], span.get("alpha", 255), rgb, page.rect.width, page.rect.height)
+    """The spans alone of what the document source reads from a PDF file."""
+    from .documents import pdf_rows
+
+    return (row[1:] for row in pdf_rows(content) if row[0] == "span")
 
 
 ITEMS = "array<struct<polygon: array<array<double>>, text: string, score: double>>"

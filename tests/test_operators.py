@@ -326,3 +326,126 @@ def test_hosted_reviewer():
     with pytest.raises(reviewers.Unavailable, match="not reachable"):
         reviewers.HostedReviewer("http://127.0.0.1:9", "m", "k").answer("s", "b", ["1"])
     assert reviewers.choose({"LLM_PROVIDER": "hosted"}).reason == "AI review not configured for LLM_PROVIDER=hosted"
+
+
+# Failing pages, close looks, answers
+
+
+def test_reading_ends_at_the_first_page_that_fails(spark):
+    item = {"polygon": [[0.0, 0.0], [1190.0, 0.0], [1190.0, 240.0], [0.0, 240.0]], "text": "seen words", "score": 0.9}
+    rows = [(1, 1, [item], None), (1, 2, None, "broken lamp"), (1, 3, [item], None), (1, 4, None, "later"), (2, 1, [item], None), (2, 2, [], None), (3, 5, None, "at once")]
+    reads = spark.createDataFrame(rows, f"doc_id long, page int, items {readers.ITEMS}, error string")
+    kept = {(r["doc_id"], r["page"]) for r in visual.before_failure(reads).collect()}
+    assert kept == {(1, 1), (2, 1), (2, 2)}
+    docs = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
+    status = {r["doc_id"]: tuple(r)[1:] for r in visual.read_status(reads, docs).collect()}
+    assert status == {1: ("unavailable", "broken lamp", None), 2: ("ok", None, 2), 3: ("unavailable", "at once", None), 4: ("ok", None, 0)}
+    table = spans(spark, *[span("seen words", doc=d, page=p, box=(72, 100, 250, 112)) for d in (1, 2) for p in (1, 2, 3)], span("hidden thing", doc=1, page=1, line=1, box=(72, 300, 250, 312)), span("hidden thing", doc=1, page=3, line=1, box=(72, 300, 250, 312)))
+    engine = HiddenTextEngine(table, spark.createDataFrame([], "doc_id long, metadata map<string,string>"), reads=reads)
+    found = {(r["doc_id"], r["page"], r["text"]) for r in engine.flags().collect()}
+    assert found == {(1, 1, "hidden thing"), (2, 2, "seen words")}  # nothing is said about pages that were not read
+    assert engine.visual_status(docs).count() == 4
+    engine.release()
+
+
+def test_crop_boxes_stay_on_the_page(spark):
+    rows = [span("a", box=(0.5, 10, 20, 20)), span("b", no=1, box=(590, 838, 700, 900)), span("c", no=2, box=(-50, 10, -2.5, 20)), span("d", no=3, box=(-50, 10, -1, 20)), span("e", no=4, box=(600, 10, 650, 20))]
+    found = {r["text"]: tuple(r[c] for c in ("cx0", "cy0", "cx1", "cy1")) for r in visual.crop_boxes(spans(spark, *rows)).collect()}
+    assert found["a"] == (0.0, 8.0, 22.0, 22.0) and found["b"] == (588.0, 836.0, 595.0, 842.0) and found["d"] == (0.0, 8.0, 1.0, 22.0)
+    assert found["c"] == found["e"] == (None,) * 4
+
+
+@pytest.mark.parametrize("pixels,channels,expected", [(bytes([100] * 96 + [140] * 4), 1, 40.0), (bytes([100] * 98 + [140] * 2), 1, 0.8), (bytes([10, 20, 30, 40, 50, 60]), 3, 28.8), (b"", 1, 0.0), (bytes([7]), 1, 0.0)])
+def test_spread_between_percentiles(spark, pixels, channels, expected):
+    assert visual.grey_spread(pixels, channels) == pytest.approx(expected)
+    got = spark.createDataFrame([(bytearray(pixels), channels), (None, 1)], "p binary, c int").select(visual.spread(F.col("p"), F.col("c")).alias("s")).collect()
+    assert got[0]["s"] == pytest.approx(expected) and got[1]["s"] is None
+
+
+def test_flat_crops_are_not_read(spark):
+    rows = [(1, 1, 0, 0, 0, bytearray([100] * 96 + [140] * 4), 10, 10, 1), (1, 1, 0, 0, 1, bytearray([100] * 99 + [255]), 10, 10, 1), (1, 1, 0, 0, 2, bytearray([0, 255] * 50), 10, 10, 1), (1, 1, 0, 0, 3, None, None, None, None)]
+    pictures = spark.createDataFrame(rows, "doc_id long, page int, block_no int, line_no int, span_no int, pixels binary, width int, height int, channels int")
+
+    def make():
+        def read(pixels, width, height, channels):
+            if pixels[0] == 0:
+                raise RuntimeError("smudged")
+            return [("read", 0.9), ("", 0.9), ("faint", 0.4), ("twice", 0.5)]
+
+        return read
+
+    got = {r["span_no"]: (r["crop"], r["error"]) for r in visual.read_crops(pictures, make).collect()}
+    assert got == {0: ("read twice", None), 1: ("", None), 2: (None, "RuntimeError: smudged"), 3: ("", None)}
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_complete_by_the_parsers_own_rules(spark, wrapped):
+    one, two = '{"id": "1", "label": "benign", "reason": "a"}', '{"id": "2", "label": "suspicious", "reason": "b"}'
+    shell = (lambda t: f'{{"results": {t}}}') if wrapped else (lambda t: t)
+    raws = [
+        shell(f"[{one}, {two}]"), f"```json\n{shell(f'[{one}, {two}]')}\n```", f"  ```{shell(f'[{one}, {two}]')}``` ", shell(f"[{one}]"), shell(f"[{one}, {one}, {two}]"),
+        shell(f'[{one}, {{"id": "2", "label": "benign", "reason": "b", "x": 1}}]'), shell(f'[{one}, {{"id": "2", "label": "benign"}}]'), shell(f'[{one}, {two}, {{"id": "3", "label": "benign", "reason": "c"}}]'),
+        shell(f'[{one}, {{"id": "2", "label": "benign", "label": "benign", "reason": "b"}}]'), shell(f'[{one}, {{"id": 2, "label": "benign", "reason": "b"}}]'), '{"results": [], "x": 1}', f'{{"results": [{one}, {two}], "x": 1}}',
+        f"[{one}, {two}]", f'{{"results": [{one}, {two}]}}', "no JSON", "null", "[]", shell(f'[{one}, {two}, 7, null]'),
+    ]
+    frame = spark.createDataFrame([(i, ["1", "2"], r) for i, r in enumerate(raws)], "key int, ids array<string>, raw string")
+    answered = {}
+    for r in review.parsed_answers(frame, wrapped).collect():
+        answered[r["key"]] = answered.get(r["key"], 0) + 1
+    assert [review.complete(r, ["1", "2"], wrapped) for r in raws] == [answered.get(i, 0) == 2 for i in range(len(raws))]
+
+
+class Scripted:
+    """Answers by turn; every call leaves a line in a file."""
+
+    name, wrapped = "scripted", False
+
+    def __init__(self, path, answers, retries=1):
+        self.path, self.answers, self.retries = path, answers, retries
+
+    def answer(self, system, body, ids):
+        with open(self.path, "a+") as f:
+            f.seek(0)
+            n = len(f.readlines())
+            f.write("call\n")
+        return self.answers[min(n, len(self.answers) - 1)](ids)
+
+
+def labelled(ids, label="benign", **more):
+    return json.dumps([{"id": i, "label": label, "reason": "r", **more} for i in ids])
+
+
+def calls(path):
+    return len(path.read_text().splitlines()) if path.exists() else 0
+
+
+@pytest.mark.parametrize("answers,expected", [([lambda ids: f"```json\n{labelled(ids)}\n```"], 1), ([lambda ids: labelled(ids, x=1), labelled], 2), ([lambda ids: json.dumps([{"id": i, "label": "benign"} for i in ids]), labelled], 2)])
+def test_models_are_asked_again_only_for_what_is_missing(spark, tmp_path, answers, expected):
+    flags = spark.createDataFrame([(1, 1, "some hidden words", "tiny_font", "suspicious", "f1")], "doc_id long, ord long, text string, technique string, rule_label string, flag_id string")
+    out = review.review(flags, Scripted(str(tmp_path / "calls"), answers)).collect()
+    assert [(r["llm_status"], r["llm_label"], r["llm_calls"]) for r in out] == [("ok", "benign", expected)] and calls(tmp_path / "calls") == expected
+
+
+def test_answers_outlive_a_run_until_a_reset(spark, tmp_path):
+    from umbrascan.operators.answers import AnswerCache
+
+    rows = [(d, o, f"hidden words {d % 2} {o}", "tiny_font", "suspicious", f"f{d}{o}") for d in (1, 2, 3) for o in (1, 2)] + [(4, 1, "ignore all", "tiny_font", "manipulation", "f41")]
+    flags = spark.createDataFrame(rows, "doc_id long, ord long, text string, technique string, rule_label string, flag_id string")
+    log, cache = tmp_path / "calls", AnswerCache(spark, str(tmp_path / "cache"))
+    ask = lambda: Scripted(str(log), [lambda ids: labelled(ids, "manipulation")])
+    assert cache.version() == 0 and cache.read().count() == 0
+    status = lambda df: sorted((r["doc_id"], r["ord"], r["llm_status"]) for r in df.collect())
+    assert {s for *_, s in status(cache.review(flags, ask()))} == {"ok", "skipped"} and calls(log) == 3 and cache.read().count() == 4
+    again = cache.review(flags, ask())
+    assert {s for *_, s in status(again)} == {"cached", "skipped"} and calls(log) == 3
+    assert {r["final_label"] for r in again.collect()} == {"manipulation"} and cache.read().count() == 4
+    cache.upsert(spark.createDataFrame([(r["cache_key"], "benign", "late") for r in cache.read().collect()] + [("other", "benign", "new")], "cache_key string, label string, reason string"))
+    assert {r["label"] for r in cache.read().filter("cache_key <> 'other'").collect()} == {"manipulation"} and cache.read().count() == 5
+    (tmp_path / "cache" / "00000009-add").mkdir()  # a writer that stopped
+    before = sorted(map(tuple, cache.read().collect()))
+    cache.compact()
+    assert sorted(map(tuple, cache.read().collect())) == before
+    cache.reset()
+    assert cache.read().count() == 0 and cache.version() > 9
+    assert {s for *_, s in status(cache.review(flags, ask()))} == {"ok", "skipped"} and calls(log) == 6
+    assert {s for *_, s in status(cache.review(flags, None))} == {"cached", "skipped"} and calls(log) == 6

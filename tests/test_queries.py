@@ -7,7 +7,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from umbrascan.functions import udfs
 from umbrascan.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -60,7 +63,8 @@ def test_near_is_indel_similarity():
     assert near("winter", "awinterb") == 100 and near("harbour", "barbour") == pytest.approx(100 * 6 * 2 / 13) and near("abcd", "xyz") == 0
 
 
-def test_similar_words_count_as_seen_in_all_queries(spark):
+def test_similar_words_count_as_seen(spark):
+    """The whole rule against plain dynamic programming, beside the SQL's own windows."""
     key = ["doc_id", "page", "block_no", "line_no", "span_no"]
     docs = catalog.P.documents(spark, DATA)
     rows = catalog.visual.seen_text(catalog.visual.judged(catalog.P.spans(docs)), catalog.P.ocr_lines(docs)).collect()
@@ -75,15 +79,17 @@ def test_similar_words_count_as_seen_in_all_queries(spark):
             assert got[tuple(r[k] for k in key)] == pytest.approx(both / total, abs=1e-8)
             saved += exact / total < 0.5 <= both / total
     assert saved
-    run = lambda name: catalog.QUERIES[name](spark, DATA).collect()
-    assert sum(r["n"] for r in run("hidden_runs_fuzzy")) == sum(v < 0.5 for v in got.values()) < sum(r["n"] for r in run("hidden_runs"))
-    flags = Counter(r["doc_id"] for r in run("labelled_flags_fuzzy"))
-    risks = {r["doc_id"]: r["total_flags"] for r in run("report_risk_fuzzy")}
-    assert {i: n for i, n in risks.items() if n} == flags and sum(risks.values()) < sum(r["total_flags"] for r in run("report_risk"))
-    import __spark_entry__
 
-    assert {r["doc_id"]: r["total_flags"] for r in __spark_entry__.entry(spark).collect()} == risks
 
+@given(st.text("abcdn", max_size=9), st.text("abcdnm", max_size=26), st.sampled_from([50, 60, 75, 90, 100]))
+@settings(max_examples=400, deadline=None)
+def test_windows_that_are_passed_over_can_not_reach_the_limit(word, text, least):
+    assert udfs.reaches(word, text, least) == (udfs.partial_ratio(word, text) >= least)
+    if word and text:
+        assert udfs.partial_ratio(word, text) == pytest.approx(near(word, text))
+
+
+def test_entry_is_the_risk_under_the_whole_rule(spark):
+    import __spark_entry__
 
-def test_every_query_with_words_to_match_has_a_version_by_similarity():
-    assert all(f"{n}_fuzzy" in catalog.QUERIES and f"{n}_fuzzy" not in catalog.SQL for n in catalog.WHOLE_WORDS)
+    assert Counter(map(tuple, __spark_entry__.entry(spark).collect())) == Counter(map(tuple, catalog.QUERIES["report_risk"](spark, DATA).collect()))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from . import geometry, rules
 from . import text as T
@@ -29,7 +29,9 @@ def unicode_escape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def cache_key(text: Column) -> Column:
-    return T.cache_key(nfkc(text))
+    """The key of a text. ASCII texts are in NFKC as they are: Python sees a null in their place."""
+    other = F.when(F.octet_length(text) > F.char_length(text), text)
+    return T.cache_key(F.coalesce(nfkc(other), text))
 
 
 def common_subsequence(a: str, masks: dict[str, int], size: int) -> int:
@@ -57,12 +59,53 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def reaches(word: str, text: str, least: float) -> bool:
+    """Whether partial_ratio(word, text) is `least` or more, without looking into windows that can't be.
+
+    A window has no longer subsequence in common than it has letters in common, order aside, which is counted while the window slides.
+    """
+    short, long = sorted((word, text), key=len)
+    if not short:
+        return not long or least <= 0
+    masks: dict[str, int] = {}
+    free: dict[str, int] = {}  # letters of the short string that the window does not use up; below zero: it has more of them
+    for i, c in enumerate(short):
+        masks[c] = masks.get(c, 0) | 1 << i
+        free[c] = free.get(c, 0) + 1
+    size, shared = len(short), 0
+    for end in range(1, len(long) + size):
+        if end <= len(long) and (c := long[end - 1]) in free:
+            free[c] -= 1
+            shared += free[c] >= 0
+        if end > size and (c := long[end - size - 1]) in free:
+            shared -= free[c] >= 0
+            free[c] += 1
+        start = max(0, end - size)
+        total = size + min(end, len(long)) - start
+        if 200.0 * shared / total >= least and 200.0 * common_subsequence(long[start:end], masks, size) / total >= least:
+            return True
+    return False
+
+
 @pandas_udf(DoubleType())
 def partial_ratio_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def similar(word: Column, text: Column, least: float) -> Column:
+    """Whether the best-window similarity of a word with a text is at least so much; a pair that comes again in a batch is judged once."""
+
+    @pandas_udf(BooleanType())
+    def judged(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            both = list(zip(a, b, strict=True))
+            known = {p: None if None in p else reaches(*p, least) for p in set(both)}
+            yield pd.Series([known[p] for p in both], dtype="object")
+
+    return judged(word, text)
+
+
 def register(spark: SparkSession) -> None:
     """The functions under their SQL names."""
     spark.udf.register("nfkc", nfkc)

@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from typing import Any, Protocol
 
 #: Settings, words that switch the review off, the messages of a missing reviewer, and how much of an error is kept.
-PROVIDER, URL, MODEL, KEY = "LLM_PROVIDER", "LLM_URL", "LLM_MODEL", "LLM_KEY"
+PROVIDER, URL, MODEL, KEY, VERSION = "LLM_PROVIDER", "LLM_URL", "LLM_MODEL", "LLM_KEY", "LLM_VERSION"
+#: Fixed value: the header by which the public messages interface is told its version.
+VERSION_HEADER = "anthropic-version"
 SWITCHED_OFF = frozenset({"none", "off", "disabled", "false", "0"})
 DISABLED, UNCONFIGURED = "AI review disabled (LLM_PROVIDER=none)", "AI review not configured for LLM_PROVIDER={}"
 ERROR_LENGTH = 200
@@ -112,6 +114,7 @@ class HostedReviewer:
     url: str
     model: str
     key: str
+    version: str = "2023-06-01"
     seconds: float = 5.0
     retries: int = 0
     wrapped: bool = False
@@ -123,7 +126,7 @@ class HostedReviewer:
     def call(self, system: str, body: str, ids: list[str]) -> Call:
         # The interface's names.
         payload = {"model": self.model, "system": system, "messages": [{"role": "user", "content": body}], "temperature": 0, "max_tokens": min(4096, 100 + 120 * len(ids))}
-        return Call(f"{self.url.rstrip('/')}/v1/messages", payload, (("x-api-key", self.key),))
+        return Call(f"{self.url.rstrip('/')}/v1/messages", payload, (("x-api-key", self.key), (VERSION_HEADER, self.version)))
 
     def answer(self, system: str, body: str, ids: list[str]) -> str:
         found = self.call(system, body, ids).result(self.seconds)
@@ -152,7 +155,8 @@ def local(settings: Settings) -> Reviewer:
 def hosted(settings: Settings) -> Reviewer | None:
     """None unless it is known where, whom and with what key to ask."""
     found = [(settings.get(k) or "").strip() for k in (URL, MODEL, KEY)]
-    return HostedReviewer(*found) if all(found) else None
+    version = (settings.get(VERSION) or "").strip()
+    return HostedReviewer(*found, **({"version": version} if version else {})) if all(found) else None
 
 
 MAKERS: dict[str, Callable[[Settings], Reviewer | None]] = {"http": local, "hosted": hosted, "mock": lambda settings: FixedReviewer()}

@@ -6,17 +6,25 @@ Spans meet lines of their own page only. A word is seen if it stands in the join
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..functions.udfs import partial_ratio_udf
+from ..functions.udfs import similar
 from .detect import PAGE_KEY, SPAN_KEY, place, reason
 from .islands import islands
 
 MIN_CHARS, MIN_FUZZY, WORD_MATCH, VISIBLE, MIN_OVERLAP = 3, 4, 75.0, 0.5, 0.5
 CROP_SCORE = 0.5
+#: A close look takes PAD points more on each side, at CROP_ZOOM; smaller sides than LEAST_SIDE points and grey values closer than MIN_SPREAD show nothing.
+PAD, CROP_ZOOM, LEAST_SIDE, MIN_SPREAD = 2.0, 3.0, 1.0, 40.0
 
 
 def judged(spans: DataFrame) -> DataFrame:
@@ -35,6 +43,76 @@ def decoded_lines(raw: DataFrame, zoom: float = 2.0) -> DataFrame:
     return items.select(*PAGE_KEY, "ord", F.col("item.text").alias("text"), G.polygon_box(F.col("item.polygon"), zoom).alias("box")).select(*PAGE_KEY, "ord", "text", "box.*")
 
 
+def before_failure(reads: DataFrame) -> DataFrame:
+    """The reads of each document up to its first page with an error: pages are read in order, and a failure ends the reading of its document.
+
+    reads: doc_id, page, error and what was read. A document's pages are counted, not gathered, so a long document is no task of its own.
+    """
+    failed = reads.filter("error is not null").groupBy("doc_id").agg(F.min("page").alias("_failed"))
+    return reads.join(failed, "doc_id", "left").filter("_failed is null or page < _failed").drop("_failed", "error")
+
+
+def read_status(reads: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, status, error and pages_ocrd of every document: unavailable with the error of the first page that failed, else ok with the number of pages read."""
+    seen = reads.groupBy("doc_id").agg(F.count("*").alias("n"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page"))).alias("error"))
+    own = documents.select("doc_id").distinct().join(seen, "doc_id", "left")
+    failed = F.col("error").isNotNull()
+    return own.select("doc_id", F.when(failed, "unavailable").otherwise("ok").alias("status"), "error", F.when(~failed, F.coalesce("n", F.lit(0))).alias("pages_ocrd"))
+
+
+def crop_boxes(spans: DataFrame) -> DataFrame:
+    """spans with cx0..cy1, their box and PAD points around it inside the page; null where less than a point of it is on the page."""
+    x0, y0 = F.greatest(F.col("x0") - PAD, F.lit(0.0)), F.greatest(F.col("y0") - PAD, F.lit(0.0))
+    x1, y1 = F.least(F.col("x1") + PAD, F.col("page_w")), F.least(F.col("y1") + PAD, F.col("page_h"))
+    there = (x1 - x0 >= LEAST_SIDE) & (y1 - y0 >= LEAST_SIDE)
+    return spans.withColumns({name: F.when(there, c) for name, c in zip(("cx0", "cy0", "cx1", "cy1"), (x0, y0, x1, y1), strict=True)})
+
+
+def grey_spread(pixels: bytes, channels: int) -> float:
+    """Between the 2nd and the 98th percentile, the distance of the grey values (means of the channels) of a picture; 0 without a pixel."""
+    values = np.frombuffer(pixels, np.uint8)
+    if not len(values):
+        return 0.0
+    low, high = np.percentile(values.reshape(-1, channels).mean(axis=1), [2, 98])
+    return float(high - low)
+
+
+def spread(pixels: Column, channels: Column) -> Column:
+    """grey_spread of a column of raw pixels, in Arrow batches; pictures are views of the batch, not copied."""
+
+    @F.arrow_udf(ST.DoubleType())
+    def measured(pictures: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([None if p is None or c is None else grey_spread(memoryview(p), c) for p, c in zip((x.as_buffer() for x in pictures), n.to_pylist(), strict=True)], pa.float64())
+
+    return measured(pixels, channels)
+
+
+def read_crops(pictures: DataFrame, make_reader: Callable[[], Callable[[bytes, int, int, int], list[tuple[str, float]]]]) -> DataFrame:
+    """SPAN_KEY, crop and error of close looks: pictures (SPAN_KEY, pixels, width, height, channels) of crop boxes, rendered at CROP_ZOOM.
+
+    Flat pictures show nothing and are not read. make_reader() is called once a task; its reader takes pixels and sizes and gives texts with scores.
+    """
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pictures.select(*SPAN_KEY).schema)
+    sized = pictures.withColumn("_flat", F.coalesce(spread(F.col("pixels"), F.col("channels")) < MIN_SPREAD, F.lit(True)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = None
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                try:
+                    reader = reader or make_reader()
+                    items = reader(bytes(r.pixels), int(r.width), int(r.height), int(r.channels)) or ()
+                    rows.append((*r[: len(SPAN_KEY)], " ".join(t for t, score in items if t and score >= CROP_SCORE), None))
+                except Exception as e:
+                    rows.append((*r[: len(SPAN_KEY)], None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*SPAN_KEY, "crop", "error"])
+
+    looked = sized.filter(~F.col("_flat")).select(*SPAN_KEY, "pixels", "width", "height", "channels").mapInPandas(run, f"{key}, crop string, error string")
+    flat = sized.filter("_flat").select(*SPAN_KEY, F.lit("").alias("crop"), F.lit(None).cast("string").alias("error"))
+    return looked.unionByName(flat)
+
+
 def crop_text(items: Column) -> Column:
     """What a close look at one span read: the texts with enough score, one space between."""
     good = F.filter(items, lambda i: (i["text"] != "") & (i["score"] >= CROP_SCORE))
@@ -60,9 +138,12 @@ def with_fraction(spans: DataFrame, fuzzy: bool = False, name: str = "visible")
     found = spans.withColumn("_found", F.filter("words", lambda w: F.contains(F.col("seen"), w)))
     hit = letters(F.col("_found"))
     if fuzzy:
-        missing = F.filter(F.array_except("words", "_found"), lambda w: F.char_length(w) >= MIN_FUZZY)
+        # With a share of m of 100 at least m / (200 - m) of a word's letters are in the window: most words that are not there at all end here.
+        most = lambda w: F.size(F.filter(F.split(w, ""), lambda c: F.contains(F.col("seen"), c)))
+        enough = lambda w: most(w) * (200 - WORD_MATCH) >= F.char_length(w) * WORD_MATCH
+        missing = F.filter(F.array_except("words", "_found"), lambda w: (F.char_length(w) >= MIN_FUZZY) & ((F.char_length("seen") < F.char_length(w)) | enough(w)))
         rest = found.filter((F.col("seen") != "") & (F.size(missing) > 0)).select(*SPAN_KEY, "seen", F.explode(missing).alias("word"))
-        scored = rest.filter(partial_ratio_udf("word", "seen") >= WORD_MATCH).groupBy(*SPAN_KEY).agg(F.collect_set("word").alias("_near"))
+        scored = rest.filter(similar(F.col("word"), F.col("seen"), WORD_MATCH)).groupBy(*SPAN_KEY).agg(F.collect_set("word").alias("_near"))
         found = found.join(scored, SPAN_KEY, "left")
         hit = hit + F.coalesce(letters(F.filter("words", lambda w: F.array_contains("_near", w))), F.lit(0))
     total = letters(F.col("words"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,6 @@ from . import sql as S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TAG = "snippet_8f3a2c1d"
-#: Whether `seen` matches words by similarity too, which is the whole rule; SQL can't say it, so queries with SQL match whole words only.
-SIMILAR: ContextVar[bool] = ContextVar("SIMILAR", default=False)
 
 
 def add(name: str, select: str | None = None, *views: str):
@@ -35,19 +32,6 @@ def add(name: str, select: str | None = None, *views: str):
     return keep
 
 
-def by_similarity(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """f under the whole rule of the visual difference."""
-
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        before = SIMILAR.set(True)
-        try:
-            return f(spark, d)
-        finally:
-            SIMILAR.reset(before)
-
-    return query
-
-
 def by_document(spark: SparkSession, d: str) -> DataFrame:
     """Documents dealt by doc_id: the one exchange that the windows and groups inside a document, block or line share."""
     return P.documents(spark, d).repartition("doc_id")
@@ -67,9 +51,9 @@ def style(spark: SparkSession, d: str) -> DataFrame:
     return detect.numbered(detect.style_flags(P.spans(docs), P.metadata(docs), P.trace_rects(docs))).persist()
 
 
-def seen(spark: SparkSession, d: str) -> DataFrame:
+def seen(spark: SparkSession, d: str, fuzzy: bool = True) -> DataFrame:
     docs = by_document(spark, d)
-    return visual.visible_fraction(P.spans(docs), P.ocr_lines(docs), None, SIMILAR.get())
+    return visual.visible_fraction(P.spans(docs), P.ocr_lines(docs), None, fuzzy)
 
 
 def hidden(spark: SparkSession, d: str) -> DataFrame:
@@ -302,19 +286,67 @@ def ocr_status(spark, d):
     return visual.ocr_status(visual.pages_to_read(spans(spark, d)), P.documents(spark, d))
 
 
+def page_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Raw reads of every page worth reading; one page in eleven fails, by arithmetic."""
+    docs = P.documents(spark, d)
+    items = P.ocr_lines(docs).groupBy(*detect.PAGE_KEY).agg(F.sort_array(F.collect_list(F.struct("ord", "text", "x0", "y0", "x1", "y1"))).alias("l"))
+    corner = lambda x, y: F.array(x * 2.0, y * 2.0)
+    polygon = lambda i: F.array(corner(i["x0"], i["y0"]), corner(i["x1"], i["y0"]), corner(i["x1"], i["y1"]), corner(i["x0"], i["y1"]))
+    read = F.transform("l", lambda i: F.struct(polygon(i).alias("polygon"), i["text"].alias("text"), F.lit(0.9).alias("score")))
+    pages = visual.pages_to_read(P.spans(docs)).join(items, detect.PAGE_KEY, "left")
+    fails = (F.col("doc_id") * 13 + F.col("page") * 7) % 11 == 0
+    error = F.when(fails, F.concat(F.lit("engine stopped on page "), F.col("page").cast("string")))
+    return pages.select(*detect.PAGE_KEY, F.when(~fails, F.coalesce(read, F.array().cast(read_type()))).alias("items"), error.alias("error"))
+
+
+def read_type() -> str:
+    from ..sources.readers import ITEMS
+
+    return ITEMS
+
+
+@add("ocr_part_way", "SELECT doc_id, CASE WHEN failed IS NULL THEN 'ok' ELSE 'unavailable' END AS status, 'engine stopped on page ' || failed AS error, CASE WHEN failed IS NULL THEN coalesce(n, 0) END AS pages_ocrd FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, page FROM judged) GROUP BY doc_id) USING (doc_id) LEFT JOIN failing USING (doc_id)", "judged", "failing")
+def ocr_part_way(spark, d):
+    """Status where some pages fail: the first failure ends the reading of its document."""
+    return visual.read_status(page_reads(spark, d), P.documents(spark, d))
+
+
+@add("flags_part_way", "SELECT doc_id, page, technique, text, reason, array_to_string(detected_by, ',') AS detected_by FROM (SELECT doc_id, page, technique, text, reason, CASE WHEN m.ord IS NULL THEN ['style'] ELSE ['style', 'visual'] END AS detected_by FROM style_flags s LEFT JOIN (SELECT DISTINCT doc_id, ord FROM matched ANTI JOIN (SELECT doc_id, page FROM matched JOIN failing USING (doc_id) WHERE page >= failed) USING (doc_id, page)) m USING (doc_id, ord) UNION ALL SELECT doc_id, page, technique, text, reason, ['visual'] FROM visual_flags LEFT JOIN failing USING (doc_id) WHERE failed IS NULL OR page < failed)", "style_flags", "matched", "visual_flags", "failing")
+def flags_part_way(spark, d):
+    """Flags where some pages fail: what the visual difference found before the failure stays, and later pages have the style detectors' flags alone."""
+    read = visual.before_failure(page_reads(spark, d))
+    docs = by_document(spark, d)
+    spans_read = P.spans(docs).join(read.select(*detect.PAGE_KEY), detect.PAGE_KEY, "left_semi")
+    own = visual.hidden_runs(visual.visible_fraction(spans_read, visual.decoded_lines(read), None, True))
+    both = visual.add_visual(style(spark, d), own)
+    return both.select("doc_id", "page", "technique", "text", "reason", F.array_join("detected_by", ",").alias("detected_by"))
+
+
+@add("crop_boxes", f"SELECT {SPAN}, CASE WHEN t THEN a END AS cx0, CASE WHEN t THEN b END AS cy0, CASE WHEN t THEN c END AS cx1, CASE WHEN t THEN e END AS cy1 FROM (SELECT *, c - a >= 1 AND e - b >= 1 AS t FROM (SELECT *, greatest(x0 - 2, 0.0::DOUBLE) AS a, greatest(y0 - 2, 0.0::DOUBLE) AS b, least(x1 + 2, page_w) AS c, least(y1 + 2, page_h) AS e FROM spans))", "spans")
+def crop_boxes(spark, d):
+    return visual.crop_boxes(spans(spark, d)).select(*detect.SPAN_KEY, "cx0", "cy0", "cx1", "cy1")
+
+
+@add("crop_spread", "SELECT doc_id, line_no, CASE WHEN len(v) = 0 THEN 0.0::DOUBLE ELSE round(list_aggregate(v, 'quantile_cont', 0.98) - list_aggregate(v, 'quantile_cont', 0.02), 6) END AS spread, coalesce(len(v) > 0 AND list_aggregate(v, 'quantile_cont', 0.98) - list_aggregate(v, 'quantile_cont', 0.02) >= 40, FALSE) AS readable FROM (SELECT doc_id, line_no, list_transform(range(octet_length(encode(t))), lambda k: ('0x' || substr(hex(encode(t)), 2 * k::INT + 1, 2))::BIGINT::DOUBLE) AS v FROM lines)", "lines")
+def crop_spread(spark, d):
+    """The gate of close looks, on lines whose bytes stand for the grey values of a picture."""
+    gap = visual.spread(F.col("t").cast("binary"), F.lit(1))
+    own = P.lines(P.documents(spark, d)).select("doc_id", "line_no", gap.alias("gap"))
+    return own.select("doc_id", "line_no", F.round("gap", 6).alias("spread"), (F.col("gap") >= visual.MIN_SPREAD).alias("readable"))
+
+
 @add("ocr_line_join", f"SELECT j.doc_id, j.page, j.block_no, j.line_no, j.span_no, coalesce(s.seen, '') AS seen FROM judged j LEFT JOIN seen s USING (doc_id, page, block_no, line_no, span_no)", "judged", "seen")
 def ocr_line_join(spark, d):
     docs = P.documents(spark, d)
     return visual.seen_text(visual.judged(P.spans(docs)), P.ocr_lines(docs)).select(*detect.SPAN_KEY, "seen")
 
 
-@add("visible_fraction_exact", f"SELECT {SPAN}, round(visible, 9) AS visible FROM visible", "visible")
+@add("visible_fraction_exact", f"SELECT {SPAN}, round(visible, 9) AS visible FROM visible_exact", "visible_exact")
 def visible_fraction_exact(spark, d):
-    return seen(spark, d).select(*detect.SPAN_KEY, F.round("visible", 9).alias("visible"))
+    return seen(spark, d, False).select(*detect.SPAN_KEY, F.round("visible", 9).alias("visible"))
 
 
-@add("visible_fraction_fuzzy")
-@by_similarity
+@add("visible_fraction_fuzzy", f"SELECT {SPAN}, round(visible, 9) AS visible FROM visible", "visible")
 def visible_fraction_fuzzy(spark, d):
     return seen(spark, d).select(*detect.SPAN_KEY, F.round("visible", 9).alias("visible"))
 
@@ -389,6 +421,21 @@ def review_cache_join(spark, d):
     return own.join(cache, "k", "left").select("doc_id", "line_no", F.col("item_id").isNotNull().alias("hit"))
 
 
+KEY = f"sha256(regexp_replace({S.strip('lower(' + SHOWN + ')')}, {S.q(f'[{S.SPACE}]+')}, ' ', 'g'))"
+CACHED = "CASE length(text) % 3 WHEN 0 THEN 'benign' WHEN 1 THEN 'suspicious' ELSE 'manipulation' END"
+
+
+@add("review_cached", f"WITH k AS MATERIALIZED (SELECT *, {KEY} AS k FROM flags), c AS (SELECT k, any_value({CACHED}) AS label FROM k WHERE rule_label <> 'manipulation' AND doc_id % 2 = 0 GROUP BY k) SELECT doc_id, ord, k AS cache_key, CASE WHEN rule_label <> 'manipulation' THEN label END AS llm_label, CASE WHEN rule_label = 'manipulation' THEN 'skipped' WHEN label IS NULL THEN 'unavailable' ELSE 'cached' END AS llm_status, {S.more_severe('rule_label', 'CASE WHEN rule_label <> ' + S.q('manipulation') + ' THEN label END')} AS final_label FROM k LEFT JOIN c USING (k)", "flags")
+def review_cached(spark, d):
+    """A run without a model, behind a cache of answers to the texts of every second document."""
+    own = flags(spark, d)
+    n = F.char_length("text") % 3
+    label = F.when(n == 0, "benign").when(n == 1, "suspicious").otherwise("manipulation")
+    known = review.keyed(own.filter("rule_label <> 'manipulation' and doc_id % 2 = 0")).select("cache_key", label.alias("label"), F.lit("known").alias("reason"))
+    out = review.review(own, None, known.dropDuplicates(["cache_key"]))
+    return out.select("doc_id", "ord", "cache_key", "llm_label", "llm_status", "final_label")
+
+
 @add("review_status", "SELECT doc_id, ord, rule_label, llm_label, llm_status, final_label FROM reviewed", "reviewed")
 def review_status(spark, d):
     return reviewed(spark, d).select("doc_id", "ord", "rule_label", "llm_label", "llm_status", "final_label")
@@ -561,7 +608,6 @@ def box_offsets(spark, d):
 
 
 @add("flag_table")
-@by_similarity
 def flag_table(spark, d):
     return evaluate.flag_table(reviewed(spark, d), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
 
@@ -571,11 +617,3 @@ def scan_lookup(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("scan_id"), F.col("user_id").alias("session"), F.col("ts").alias("seq"))
     return events.select("scan_id", "session").join(report.kept_scans(events).select("scan_id"), "scan_id")
 
-
-#: Queries behind the visual difference whose SQL holds them to whole words; NAME_fuzzy is the same query under the whole rule.
-WHOLE_WORDS = (
-    "labelled_flags", "hidden_runs", "style_visual_dedup", "fresh_anti", "prompt_body", "review_status", "review_stats", "request_body", "report_risk",
-    "by_technique", "by_technique_map", "label_counts", "page_preview_list", "report_json", "detector_counts", "detector_kinds", "detector_headline",
-    "client_merge", "caught_by", "ai_label_text", "ai_unavailable", "box_offsets",
-)
-QUERIES |= {f"{name}_fuzzy": by_similarity(QUERIES[name]) for name in WHOLE_WORDS}

@@ -13,6 +13,8 @@ from ..operators import detect, report, review, visual
 class HiddenTextEngine:
     """Scans over span, metadata, trace and line tables; every method gives a DataFrame and runs nothing.
 
+    Instead of ocr_lines there may be `reads`, the raw reads of pages with their errors: a document's pages count up to the first one that failed.
+
     What is small beside the spans and read more than once, style flags and hidden spans, is persisted until `release`.
     """
 
@@ -21,6 +23,7 @@ class HiddenTextEngine:
     traces: DataFrame | None = None
     ocr_lines: DataFrame | None = None
     crops: DataFrame | None = None
+    reads: DataFrame | None = None
     fuzzy: bool = True
     kept: list[DataFrame] = field(default_factory=list)
 
@@ -36,11 +39,21 @@ class HiddenTextEngine:
     def flags(self) -> DataFrame:
         """Labelled flags of all detectors; without read lines the visual difference is left out of the plan."""
         style = detect.style_flags(self.spans, self.metadata, self.traces)
-        if self.ocr_lines is None:
+        spans, lines = self.spans, self.ocr_lines
+        if self.reads is not None:
+            read = self.keep(visual.before_failure(self.reads))
+            spans, lines = spans.join(read.select(*detect.PAGE_KEY), detect.PAGE_KEY, "left_semi"), visual.decoded_lines(read)
+        if lines is None:
             return detect.label(style)
-        seen = visual.visible_fraction(self.spans, self.ocr_lines, self.crops, self.fuzzy)
+        seen = visual.visible_fraction(spans, lines, self.crops, self.fuzzy)
         return detect.label(visual.add_visual(self.keep(detect.numbered(style)), self.keep(visual.hidden_runs(seen))))
 
+    def visual_status(self, docs: DataFrame) -> DataFrame:
+        """doc_id, status, error and pages_ocrd of the visual difference."""
+        if self.reads is not None:
+            return visual.read_status(self.reads, docs)
+        return visual.ocr_status(visual.pages_to_read(self.spans), docs, self.ocr_lines is not None)
+
     def review(self, reviewer: review.Reviewer | None, cache: DataFrame | None = None) -> DataFrame:
         return review.review(self.flags(), reviewer, cache)
 

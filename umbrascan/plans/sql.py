@@ -184,7 +184,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "style_flags": (("run_flags", "line_flags", "meta_flags"), "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY phase, page, block_no, line_no, kind, span_no) AS ord FROM (SELECT * FROM run_flags WHERE text <> '' UNION ALL SELECT * FROM line_flags UNION ALL SELECT * FROM meta_flags)"),
     "judged": (("spans",), f"SELECT *, {words('text')} AS words FROM spans WHERE length({normalize('text')}) >= 3"),
     "seen": (("judged", "ocr"), f"SELECT j.doc_id, j.page, j.block_no, j.line_no, j.span_no, {normalize('string_agg(o.text, ' + q('') + ' ORDER BY o.ord, o.text)')} AS seen FROM judged j JOIN ocr o ON j.doc_id = o.doc_id AND j.page = o.page AND least(j.x1, o.x1) > greatest(j.x0, o.x0) AND least(j.y1, o.y1) > greatest(j.y0, o.y0) AND least(j.y1, o.y1) - greatest(j.y0, o.y0) >= 0.5 * least(j.y1 - j.y0, o.y1 - o.y0) GROUP BY ALL"),
-    "visible": (("judged", "seen"), "SELECT j.*, coalesce(s.seen, '') AS seen, CASE WHEN len(words) = 0 THEN 1.0::DOUBLE WHEN coalesce(s.seen, '') = '' THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_transform(list_filter(words, lambda w: strpos(s.seen, w) > 0), lambda w: length(w))), 0)::DOUBLE / list_sum(list_transform(words, lambda w: length(w))) END AS visible FROM judged j LEFT JOIN seen s USING (doc_id, page, block_no, line_no, span_no)"),
+    "visible_exact": (("judged", "seen"), "SELECT j.*, coalesce(s.seen, '') AS seen, CASE WHEN len(words) = 0 THEN 1.0::DOUBLE WHEN coalesce(s.seen, '') = '' THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_transform(list_filter(words, lambda w: strpos(s.seen, w) > 0), lambda w: length(w))), 0)::DOUBLE / list_sum(list_transform(words, lambda w: length(w))) END AS visible FROM judged j LEFT JOIN seen s USING (doc_id, page, block_no, line_no, span_no)"),
+    "seen_spans": (("judged", "seen"), "SELECT j.*, coalesce(s.seen, '') AS seen FROM judged j LEFT JOIN seen s USING (doc_id, page, block_no, line_no, span_no)"),
+    "missing": (("seen_spans",), "SELECT DISTINCT w, seen, CASE WHEN length(w) <= length(seen) THEN w ELSE seen END AS short, CASE WHEN length(w) <= length(seen) THEN seen ELSE w END AS long FROM (SELECT seen, unnest(words) AS w FROM seen_spans WHERE seen <> '') WHERE strpos(seen, w) = 0 AND length(w) >= 4"),
+    "masked": (("missing",), "SELECT w, seen, length(short) AS m, length(long) AS n, list_transform(string_split(long, ''), lambda c: list_reduce([0::HUGEINT] || list_transform(range(length(short)), lambda i: CASE WHEN substr(short, i::INT + 1, 1) = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END), lambda x, y: x + y)) AS masks FROM missing"),
+    "windows": (("masked",), "SELECT w, seen, m, masks[greatest(1, e - m + 1):least(e, n)] AS part FROM (SELECT *, unnest(range(1, n + m)) AS e FROM masked)"),
+    "near": (("windows",), "SELECT w, seen FROM (SELECT w, seen, m, len(part) AS k, m - bit_count(list_reduce([(1::HUGEINT << m::INT) - 1] || part, lambda s, x: ((s + (s & x)) | (s - (s & x))) & ((1::HUGEINT << m::INT) - 1))) AS lcs FROM windows) GROUP BY w, seen HAVING max(CASE WHEN 200 * lcs >= 75 * (m + k) THEN 1 ELSE 0 END) = 1"),
+    "near_letters": (("seen_spans", "near"), "SELECT doc_id, page, block_no, line_no, span_no, sum(length(w)) AS letters FROM (SELECT doc_id, page, block_no, line_no, span_no, seen, unnest(words) AS w FROM seen_spans) JOIN near USING (w, seen) GROUP BY ALL"),
+    "visible": (("seen_spans", "near_letters"), "SELECT j.*, CASE WHEN len(words) = 0 THEN 1.0::DOUBLE WHEN seen = '' THEN 0.0::DOUBLE ELSE (coalesce(list_sum(list_transform(list_filter(words, lambda w: strpos(seen, w) > 0), lambda w: length(w))), 0) + coalesce(n.letters, 0))::DOUBLE / list_sum(list_transform(words, lambda w: length(w))) END AS visible FROM seen_spans j LEFT JOIN near_letters n USING (doc_id, page, block_no, line_no, span_no)"),
+    "failing": (("judged",), "SELECT doc_id, min(page) AS failed FROM judged WHERE (doc_id * 13 + page * 7) % 11 = 0 GROUP BY doc_id"),
     "hidden_steps": (("visible",), "SELECT *, visible < 0.5 AS hidden, lag(visible < 0.5) OVER (PARTITION BY doc_id, page, block_no ORDER BY line_no, span_no) AS before FROM visible"),
     "hidden": (("hidden_steps",), "SELECT * FROM (SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM hidden THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, block_no ORDER BY line_no, span_no) AS run FROM hidden_steps) WHERE hidden"),
     "matched": (("hidden", "style_flags"), f"SELECT h.doc_id, h.page, h.block_no, h.line_no, h.span_no, min(f.ord) AS ord FROM hidden h JOIN style_flags f ON h.doc_id = f.doc_id AND h.page = f.page AND f.x0 IS NOT NULL AND {overlap('h.', 'f.')} > 0.5 GROUP BY ALL"),
@@ -213,4 +221,7 @@ def query(select: str, *views: str) -> str:
 
     for v in views:
         need(v)
-    return "WITH " + ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v][1]})" for v in order) + "\n" + select if order else select
+    head = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v][1]})" for v in order)
+    if select.startswith("WITH ") and order:
+        return f"WITH {head},\n{select.removeprefix('WITH ')}"
+    return f"WITH {head}\n{select}" if order else select

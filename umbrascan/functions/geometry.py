@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,19 +82,6 @@ def overlay_box(r, technique: Column, width: Column, height: Column) -> tuple[Co
     return F.struct(*[F.bround(c, 1).alias(n) for c, n in ((x[0], "x0"), (y[0], "y0"), (x[1], "x1"), (y[1], "y1"))]), off
 
 
-def display_box(box: Column, scale: Column, width: Column, height: Column) -> Column:
-    """The box in display pixels: grown around its middle to MIN_BOX, then moved inside the picture."""
-
-    def axis(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
-        length = F.greatest((high - low) * scale, F.lit(MIN_BOX))
-        start = low * scale - (length - (high - low) * scale) / 2
-        return F.least(F.greatest(start, F.lit(0.0)), size - length), length
-
-    left, w = axis(box["x0"], box["x1"], width)
-    top, h = axis(box["y0"], box["y1"], height)
-    return F.struct(left.alias("left"), top.alias("top"), w.alias("width"), h.alias("height"))
-
-
 def upper_median(samples: Column) -> Column:
     """Of an array of r, g, b structs the middle one by brightness sum, the later of two; order of sampling on ties; null if empty."""
     keyed = F.transform(samples, lambda s, i: F.struct((s["r"] + s["g"] + s["b"]).alias("sum"), i.alias("at"), s.alias("rgb")))
@@ -111,6 +96,3 @@ def token_cap(n: Column, base: int = 100, each: int = 120, most: int | None = 40
 def too_large(size: Column) -> Column:
     return size > MAX_UPLOAD
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import rules as R
@@ -83,16 +82,59 @@ def data_url(image: Column, kept: Column) -> Column:
     return F.when(kept, F.concat(F.lit("data:"), F.when(png, "image/png").otherwise("image/jpeg"), F.lit(";base64,"), F.base64(image)))
 
 
-def reports(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    """doc_id and the scan report as JSON: risk, summary and the flags in order."""
-    box = F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1"))
-    one = F.struct("ord", F.struct(F.col("flag_id").alias("id"), "page", "text", "technique", "reason", box.alias("bbox"), "detected_by", "rule_label").alias("flag"))
-    listed = flags.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("f"))
-    whole = risks(docs, flags).join(by_technique(flags), "doc_id", "left").join(listed, "doc_id", "left")
-    none = F.array().cast(listed.select(F.transform("f", lambda f: f["flag"]).alias("f")).schema["f"].dataType)
-    summary = F.struct("total_flags", "by_technique")
-    body = F.struct("doc_id", "risk", summary.alias("summary"), F.coalesce(F.transform("f", lambda f: f["flag"]), none).alias("flags"))
-    return whole.select("doc_id", F.to_json(body).alias("report"))
+BOX = "array<double>"
+FLAG = f"id: string, page: int, text: string, technique: string, reason: string, bbox: {BOX}, overlay: {BOX}, off_page: boolean, detected_by: array<string>, rule_label: string, llm_label: string, llm_reason: string, llm_status: string, final_label: string"
+PAGE = "page: int, width: double, height: double, n_boxes: bigint"
+#: The type of a report, for from_json.
+REPORT = (
+    f"doc_id string, filename string, page_count bigint, risk string, summary struct<total_flags: bigint, by_technique: map<string, bigint>>, flags array<struct<{FLAG}>>, "
+    f"pages array<struct<{PAGE}>>, visual_diff struct<status: string, error: string, pages_ocrd: bigint>"
+)
+
+
+def counted(values: Column) -> Column:
+    """The map value -> how often, in first-seen order."""
+    kinds = F.array_distinct(values)
+    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")))
+
+
+def corners(name: str) -> Column:
+    box = [F.col(f"{name}{c}") for c in ("x0", "y0", "x1", "y1")]
+    return F.when(box[0].isNotNull(), F.array(*box))
+
+
+def reports(docs: DataFrame, flags: DataFrame, pages: DataFrame | None = None, visual: DataFrame | None = None) -> DataFrame:
+    """doc_id and the scan report as JSON, of every document: risk, summary, the flags in order, flagged pages and the state of the visual difference.
+
+    docs: doc_id and, if there is one, filename. pages: doc_id, page, page_w, page_h of all pages; without them no boxes to draw, page count and page list. visual: doc_id, status,
+    error, pages_ocrd; off where it is missing. Flags that were reviewed have their answers, others nulls in their place. Flags are read once.
+    """
+    own = with_overlay(flags, pages) if pages is not None else flags.withColumns({"overlay": F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>"), "off_page": F.lit(None).cast("boolean")})
+    text = lambda c: (F.col(c) if c in flags.columns else F.lit(None).cast("string")).alias(c)
+    final = F.col("final_label") if "final_label" in flags.columns else F.col("rule_label")
+    flag = F.struct(
+        F.col("flag_id").alias("id"), "page", "text", "technique", "reason", corners("").alias("bbox"), corners("overlay.").alias("overlay"), "off_page", "detected_by", "rule_label",
+        text("llm_label"), text("llm_reason"), text("llm_status"), final.alias("final_label"),
+    )
+    listed = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", flag.alias("flag")))).alias("f"))
+    whole = docs.select("doc_id", text("filename") if "filename" not in docs.columns else F.col("filename")).join(listed, "doc_id", "left")
+    found = F.coalesce(F.transform("f", lambda f: f["flag"]), F.array().cast(f"array<struct<{FLAG}>>"))
+    whole = whole.select("doc_id", "filename", found.alias("flags"))
+    if pages is None:
+        whole = whole.withColumns({"page_count": F.lit(None).cast("long"), "sizes": F.lit(None).cast("array<struct<page: int, page_w: double, page_h: double>>")})
+    else:
+        counts = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("page_count"), F.sort_array(F.collect_set(F.struct(F.col("page").cast("int").alias("page"), F.col("page_w").cast("double").alias("page_w"), F.col("page_h").cast("double").alias("page_h")))).alias("sizes"))
+        whole = whole.join(counts, "doc_id", "left").withColumn("page_count", F.coalesce("page_count", F.lit(0).cast("long")))
+    whole = whole.join(visual.select("doc_id", "status", "error", F.col("pages_ocrd").cast("long").alias("pages_ocrd")), "doc_id", "left") if visual is not None else whole.withColumns({"status": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "pages_ocrd": F.lit(None).cast("long")})
+    worst = F.array_max(F.transform("flags", lambda f: R.rank(f["final_label"])))
+    boxed = lambda p: F.size(F.filter("flags", lambda f: (f["page"] == p["page"]) & f["bbox"].isNotNull())).cast("long")
+    drawn = F.transform("sizes", lambda p: F.struct(p["page"].alias("page"), F.bround(p["page_w"], 1).alias("width"), F.bround(p["page_h"], 1).alias("height"), boxed(p).alias("n_boxes")))
+    body = F.struct(
+        "doc_id", "filename", "page_count", R.risk(worst).alias("risk"),
+        F.struct(F.size("flags").cast("long").alias("total_flags"), counted(F.transform("flags", lambda f: f["technique"])).alias("by_technique")).alias("summary"),
+        "flags", F.filter(drawn, lambda p: p["n_boxes"] > 0).alias("pages"), F.struct(F.coalesce("status", F.lit("off")).alias("status"), "error", "pages_ocrd").alias("visual_diff"),
+    )
+    return whole.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def kept_scans(scans: DataFrame, keep: int = KEPT_SCANS) -> DataFrame:
@@ -132,10 +174,6 @@ def ai_label(label: Column, status: Column, state: Column, fallback: Column) ->
     return F.coalesce(label, other.when(status == "unavailable", in_brackets("unavailable")).otherwise("—"))
 
 
-def ai_state(enabled: Column, n_flags: Column, answered: Column, failed: Column) -> Column:
-    return F.when(~enabled, "off").when(n_flags == 0, "done").when(failed, "error").when(answered, "done").otherwise("pending")
-
-
 def ai_unavailable(flags: DataFrame, state: Column) -> DataFrame:
     """doc_id and whether the second opinion is missing for the document."""
     any_missing = F.bool_or(F.col("llm_status") == "unavailable")
@@ -147,7 +185,3 @@ def box_offsets(flags: DataFrame, pages: DataFrame) -> DataFrame:
     joined = flags.filter("overlay is not null").join(pages.select("doc_id", "page", "top", "scale"), ["doc_id", "page"])
     return joined.select("doc_id", "flag_id", (F.col("top") + F.col("overlay.y0") * F.col("scale")).alias("y"))
 
-
-def newest_first(scans: DataFrame) -> DataFrame:
-    """scans with their rank by arrival within a session."""
-    return scans.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq"), F.desc("scan_id"))))

@@ -462,10 +462,11 @@ def request_validation(spark, d):
     return review.parsed_requests(P.documents(spark, d).select(F.col("doc_id").alias("request_id"), body.alias("body"))).select("request_id", "error")
 
 
-@add("request_body", "SELECT doc_id, count(*) AS n FROM flags GROUP BY doc_id", "flags")
+@add("request_body", "SELECT doc_id, ord, flag_id AS id, text, technique, rule_label FROM flags", "flags")
 def request_body(spark, d):
-    bodies = review.request_body(flags(spark, d))
-    return bodies.select("doc_id", F.size(F.from_json("body", f"flags {review.REQUEST}")["flags"]).cast("long").alias("n"))
+    """Every field of the requests, out of the JSON."""
+    each = review.request_body(flags(spark, d)).select("doc_id", F.posexplode(F.from_json("body", f"flags {review.REQUEST}")["flags"]).alias("at", "f"))
+    return each.select("doc_id", (F.col("at") + 1).cast("long").alias("ord"), "f.*")
 
 
 @add("report_risk", f"SELECT doc_id, coalesce(n, 0) AS total_flags, {S.risk('worst')} AS risk FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, max({S.rank('rule_label')}) AS worst FROM flags GROUP BY doc_id) USING (doc_id)", "flags")
@@ -507,10 +508,34 @@ def data_urls(spark, d):
     return items.select("item_id", F.regexp_replace(report.data_url(F.col("text").cast("binary"), F.lit(True)), "[\r\n]", "").alias("url"))
 
 
-@add("report_json", "SELECT doc_id, coalesce(n, 0) AS n_flags FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM flags GROUP BY doc_id) USING (doc_id)", "flags")
+REPORT_FLAGS = "doc_id, ord, flag_id AS id, page, text, technique, full_reason AS reason, x0, y0, x1, y1, array_to_string(detected_by, ',') AS detected_by, rule_label, llm_label, llm_status, final_label"
+DRAWN = ", ".join(f"CASE WHEN x0 IS NOT NULL THEN round_even({o}, 1) END AS o{c}" for o, c in zip((OX[0], OY[0], OX[1], OY[1]), ("x0", "y0", "x1", "y1")))
+
+
+def parsed_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The reports of all documents, read back from their JSON."""
+    docs = P.documents(spark, d).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
+    own = spans(spark, d)
+    made = report.reports(docs, reviewed(spark, d), report.page_sizes(own), visual.read_status(page_reads(spark, d), docs))
+    return made.select("doc_id", F.from_json("report", report.REPORT).alias("r"))
+
+
+@add("report_json", f"SELECT doc_id, 'doc' || doc_id || '.pdf' AS filename, coalesce(p.pages, 0) AS page_count, {S.risk('worst')} AS risk, coalesce(n, 0) AS total_flags, coalesce(c.counts, '') AS by_technique, coalesce(b.boxed, '') AS pages, CASE WHEN failed IS NULL THEN 'ok' ELSE 'unavailable' END AS status, 'engine stopped on page ' || failed AS error, CASE WHEN failed IS NULL THEN coalesce(j.n_read, 0) END AS pages_ocrd FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, max({S.rank('final_label')}) AS worst FROM reviewed GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT page) AS pages FROM spans GROUP BY doc_id) p USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(technique || '=' || n, ',' ORDER BY first) AS counts FROM (SELECT doc_id, technique, count(*) AS n, min(ord) AS first FROM reviewed GROUP BY doc_id, technique) GROUP BY doc_id) c USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(page || ':595.0x842.0:' || n, ',' ORDER BY page) AS boxed FROM (SELECT doc_id, page, count(*) AS n FROM reviewed WHERE x0 IS NOT NULL GROUP BY doc_id, page) GROUP BY doc_id) b USING (doc_id) LEFT JOIN failing USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT page) AS n_read FROM judged GROUP BY doc_id) j USING (doc_id)", "reviewed", "spans", "judged", "failing")
 def report_json(spark, d):
-    docs = P.documents(spark, d)
-    return report.reports(docs, flags(spark, d)).select("doc_id", F.size(F.from_json("report", "flags array<struct<id: string>>")["flags"]).cast("long").alias("n_flags"))
+    """Everything of a report but its flags, out of the JSON."""
+    joined = lambda parts: F.array_join(parts, ",")
+    counts = F.transform(F.map_entries("r.summary.by_technique"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    listed = F.transform("r.pages", lambda p: F.concat(p["page"].cast("string"), F.lit(":"), p["width"].cast("string"), F.lit("x"), p["height"].cast("string"), F.lit(":"), p["n_boxes"].cast("string")))
+    return parsed_reports(spark, d).select("doc_id", "r.filename", "r.page_count", "r.risk", "r.summary.total_flags", joined(counts).alias("by_technique"), joined(listed).alias("pages"), "r.visual_diff.status", "r.visual_diff.error", "r.visual_diff.pages_ocrd")
+
+
+@add("report_json_flags", f"SELECT {REPORT_FLAGS}, {DRAWN}, CASE WHEN x0 IS NOT NULL THEN {OFF} ELSE FALSE END AS off_page FROM reviewed", "reviewed")
+def report_json_flags(spark, d):
+    """Every field of every flag of the reports, out of the JSON."""
+    each = parsed_reports(spark, d).select("doc_id", F.posexplode("r.flags").alias("at", "f"))
+    box = lambda field, prefix: [F.get(F.col(f"f.{field}"), F.lit(i)).alias(f"{prefix}{c}") for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    plain = [f"f.{c}" for c in ("id", "page", "text", "technique", "reason", "rule_label", "llm_label", "llm_status", "final_label", "off_page")]
+    return each.select("doc_id", (F.col("at") + 1).cast("long").alias("ord"), *plain, F.array_join("f.detected_by", ",").alias("detected_by"), *box("bbox", ""), *box("overlay", "o"))
 
 
 @add("scan_store_topn", "SELECT event_id AS scan_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")

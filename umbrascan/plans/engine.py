@@ -57,5 +57,8 @@ class HiddenTextEngine:
     def review(self, reviewer: review.Reviewer | None, cache: DataFrame | None = None) -> DataFrame:
         return review.review(self.flags(), reviewer, cache)
 
-    def reports(self, docs: DataFrame) -> DataFrame:
-        return report.reports(docs, self.flags())
+    def reports(self, docs: DataFrame, pages: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
+        """doc_id and report of every document. pages: sizes of all pages, those of the spans if not given; flags: reviewed ones, if there are any."""
+        sizes = report.page_sizes(self.spans) if pages is None else pages
+        visual_ = self.visual_status(docs) if self.reads is not None or self.ocr_lines is not None else None
+        return report.reports(docs, self.flags() if flags is None else flags, sizes, visual_)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import re
 
 import pytest
 from hypothesis import given
@@ -171,3 +173,18 @@ def test_overlay_of_a_fractional_page_is_rounded(spark):
     box, off = G.overlay_box([F.col(c) for c in ("x0", "y0", "x1", "y1")], F.lit("white_text"), F.lit(595.276), F.lit(841.89))
     got = row.select(box.alias("b"), off.alias("o")).first()
     assert tuple(got["b"]) == (590.0, 0.0, 595.3, 20.1) and got["o"]
+
+
+def test_every_match_has_a_needle(spark):
+    """Texts made of the patterns' own words, in and out of order: what is searched first never hides a match."""
+    rng = random.Random(2)
+    parts = sorted({w for p in R.ADDRESSING + R.INSTRUCTION for w in re.findall("[a-z']+", p.replace("\\b", " ").replace("\\s", " ")) if len(w) > 1} | {"</", "<", ":", "s", "any", "all", "the"})
+    texts = [rng.choice(["", "x"]).join([" ".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))), ""]) for _ in range(9000)]
+    texts += [" ".join(w for w in re.sub(r"[\\()?|:/*<]", " ", p).split()) for p in R.ADDRESSING + R.INSTRUCTION] + ["<snippet", "</ snippet>", "system :", "note to ai"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (R.ADDRESSING, R.INSTRUCTION):
+        plain, gated = R.first_match(F.col("t"), patterns), R.first_phrase(F.col("t"), patterns)
+        rows = frame.select(plain.alias("p"), gated.alias("g")).collect()
+        assert all(r["p"] == r["g"] for r in rows) and sum(r["p"] is not None for r in rows) > 100
+    both = frame.select(R.is_manipulation(F.col("t")).alias("m"), F.coalesce(R.first_match(F.col("t"), R.ADDRESSING), R.first_match(F.col("t"), R.INSTRUCTION)).isNotNull().alias("w")).collect()
+    assert all(r["m"] == r["w"] for r in both)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,14 @@ INSTRUCTION = (
     r"system prompt",
     r"new instructions",
 )
+#: Every match of a list's patterns has one of these in it, so that the patterns are searched in few texts.
+NEEDLES = {
+    ADDRESSING: ("classifier", "scanner", "detector", "classify ", "label", "mark ", "is benign", "is safe", "is harmless", "is not malicious", "prompt injection", "ignore ", "snippet", "system"),
+    INSTRUCTION: (
+        "ignore ", "disregard ", "you are", "as an ai", "language model", "llm", "ai screener", "ai reviewer", "ai assistant", "ai model", "note to ai", "reviewer", "positive review", "recommend", "rate this",
+        "rank ", "hire this", "best candidate", "qualified", "mention", "system prompt", "new instructions",
+    ),
+}
 HINTS = ("alt text", "image of", "figure", "logo", "decorative", "page ", "header", "footer")
 MAX_BENIGN_INVISIBLE, MAX_HINT_WORDS, MAX_SHORT_WORDS, MAX_DECODED = 5, 8, 2, 80
 WHY_BENIGN_HINT = "Looks like an accessibility label or layout artifact."
@@ -74,8 +84,17 @@ def risk(worst: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, RISKS)), worst + 1)
 
 
+def may_match(lowered: Column, *lists: tuple[str, ...]) -> Column:
+    """False for texts that no pattern of the lists matches, by plain search; null for null."""
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n)) for p in lists for n in NEEDLES[p]])
+
+
 def first_phrase(lowered: Column, patterns: tuple[str, ...]) -> Column:
     """What the first pattern of the list that is found matches; null if none is."""
+    return F.when(may_match(lowered, patterns), first_match(lowered, patterns))
+
+
+def first_match(lowered: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(lowered.rlike(f"(?U){p}"), F.regexp_extract(lowered, f"(?U){p}", 0)) for p in patterns])
 
 
@@ -123,7 +142,7 @@ def text_label(text: Column, technique: Column) -> Column:
 def is_manipulation(text: Column) -> Column:
     """Whether either list of patterns finds something, without resolving which."""
     lowered = F.lower(text)
-    return lowered.rlike("(?U)" + "|".join(f"(?:{p})" for p in ADDRESSING + INSTRUCTION))
+    return F.when(may_match(lowered, ADDRESSING, INSTRUCTION), lowered.rlike("(?U)" + "|".join(f"(?:{p})" for p in ADDRESSING + INSTRUCTION))).otherwise(F.when(text.isNotNull(), False))
 
 
 def invisible_cases(decoded: Column, n: Column) -> list[tuple[Column, Column]]:

@@ -30,6 +30,13 @@ def caught(rows: DataFrame) -> DataFrame:
     return rows.withColumn("caught_by", F.when((F.col("kind") != "attack") & (by == "none"), "-").otherwise(by))
 
 
+def kinds(rows: DataFrame, clean: DataFrame, benign: DataFrame) -> DataFrame:
+    """rows (filename) with kind: clean, benign (hidden text that attacks nobody) or attack, for names in neither list. The lists are frames of names."""
+    listed = clean.select("filename", F.lit("clean").alias("kind")).unionByName(benign.select("filename", F.lit("benign").alias("kind")))
+    own = listed.groupBy("filename").agg(F.max("kind").alias("kind"))  # a name in both is clean
+    return rows.join(own, "filename", "left").withColumn("kind", F.coalesce("kind", F.lit("attack")))
+
+
 def headline(rows: DataFrame) -> DataFrame:
     """One row: attacks only one detector caught or none did, and false positives on clean documents."""
     of = lambda kind, by: F.count_if((F.col("kind") == kind) & (F.col("caught_by") == by))

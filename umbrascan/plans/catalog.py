@@ -46,9 +46,21 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return detect.techniques(P.spans(docs), P.trace_rects(docs))
 
 
+#: What the last query persisted, by what it is.
+KEPT: dict[str, DataFrame] = {}
+
+
+def kept(name: str, df: DataFrame) -> DataFrame:
+    """df persisted in the place of what an earlier query persisted under this name, which would be computed again if it were still read."""
+    if name in KEPT:
+        KEPT.pop(name).unpersist()
+    KEPT[name] = df.persist()
+    return df
+
+
 def style(spark: SparkSession, d: str) -> DataFrame:
     docs = by_document(spark, d)
-    return detect.numbered(detect.style_flags(P.spans(docs), P.metadata(docs), P.trace_rects(docs))).persist()
+    return kept("style", detect.numbered(detect.style_flags(P.spans(docs), P.metadata(docs), P.trace_rects(docs))))
 
 
 def seen(spark: SparkSession, d: str, fuzzy: bool = True) -> DataFrame:
@@ -57,7 +69,7 @@ def seen(spark: SparkSession, d: str, fuzzy: bool = True) -> DataFrame:
 
 
 def hidden(spark: SparkSession, d: str) -> DataFrame:
-    return visual.hidden_runs(seen(spark, d)).persist()
+    return kept("hidden", visual.hidden_runs(seen(spark, d)))
 
 
 def flags(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +92,10 @@ def reviewed(spark: SparkSession, d: str) -> DataFrame:
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
     docs = P.documents(spark, d)
-    kind = F.when(F.col("doc_id") % 3 == 0, "attack").when(F.col("doc_id") % 3 == 1, "benign").otherwise("clean")
-    return evaluate.detector_counts(docs, flags(spark, d)).withColumn("kind", kind)
+    name = F.col("doc_id").cast("string").alias("filename")
+    listed = lambda rest: docs.filter(F.col("doc_id") % 3 == rest).select(name)
+    counts = evaluate.detector_counts(docs, flags(spark, d)).withColumn("filename", F.col("doc_id").cast("string"))
+    return evaluate.kinds(counts, listed(2), listed(1)).drop("filename")
 
 
 SPAN = "doc_id, page, block_no, line_no, span_no"
@@ -446,10 +460,14 @@ def review_stats(spark, d):
     return review.review_stats(reviewed(spark, d))
 
 
-@add("severity_merge", "SELECT a.l AS a, b.l AS b, CASE WHEN b.r > a.r THEN b.l ELSE a.l END AS merged FROM (VALUES ('benign', 0), ('suspicious', 1), ('manipulation', 2)) a(l, r), (VALUES ('benign', 0), ('suspicious', 1), ('manipulation', 2), ('other', -1)) b(l, r)")
+@add("severity_merge", f"SELECT doc_id, a, b, {S.more_severe('a', 'b')} AS merged FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'manipulation' WHEN doc_id % 3 = 0 THEN 'suspicious' ELSE 'benign' END AS a, CASE WHEN quality = 0 THEN 'suspicious' WHEN doc_id % 5 = 0 THEN 'other' WHEN doc_id % 7 = 0 THEN 'manipulation' WHEN doc_id % 11 <> 0 THEN 'benign' END AS b FROM labels)")
 def severity_merge(spark, d):
-    pairs = spark.createDataFrame([(a, b) for a in R.SEVERITY for b in (*R.SEVERITY, "other")], "a string, b string")
-    return pairs.withColumn("merged", R.more_severe(F.col("a"), F.col("b")))
+    """The more severe of two labels of a document, the second one of which may be unknown or missing."""
+    i = F.col("doc_id")
+    a = F.when(F.col("toxic") == 1, "manipulation").when(i % 3 == 0, "suspicious").otherwise("benign")
+    b = F.when(F.col("quality") == 0, "suspicious").when(i % 5 == 0, "other").when(i % 7 == 0, "manipulation").when(i % 11 != 0, "benign")
+    own = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", a.alias("a"), b.alias("b"))
+    return own.withColumn("merged", R.more_severe(F.col("a"), F.col("b")))
 
 
 @add("request_validation", "SELECT doc_id AS request_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'a flag is out of bounds' WHEN 2 THEN 'Duplicate flag ids' WHEN 3 THEN 'a flag is out of bounds' WHEN 4 THEN 'too many flags' ELSE 'no flags' END AS error FROM documents")
@@ -564,19 +582,19 @@ def detector_headline(spark, d):
     return evaluate.headline(evaluated(spark, d))
 
 
-TIMES = "SELECT 'doc' || doc_id AS filename, CAST(doc_id % 97 AS DOUBLE) AS parse_ms, CAST(doc_id % 89 AS DOUBLE) AS visual_diff_ms, CAST(doc_id % 101 AS DOUBLE) AS llm_ms, doc_id % 2 AS llm_calls, doc_id % 3 AS retries, CASE WHEN doc_id % 50 = 7 THEN 'timeout' WHEN doc_id % 50 = 9 THEN 'refused' ELSE '' END AS llm_error FROM documents"
+TIMES = "SELECT 'doc' || doc_id AS filename, CAST(doc_id % 97 AS DOUBLE) AS parse_ms, CAST(doc_id % 89 AS DOUBLE) AS visual_diff_ms, CAST(doc_id % 101 AS DOUBLE) AS llm_ms, doc_id % 2 AS llm_calls, doc_id % 3 AS retries, doc_id % 6 AS num_flags, doc_id % 4 AS cache_hits, CASE WHEN doc_id % 50 = 7 THEN 'timeout' WHEN doc_id % 50 = 9 THEN 'refused' ELSE '' END AS llm_error FROM documents"
 
 
 def timings(spark: SparkSession, d: str) -> DataFrame:
     part = lambda m: (F.col("doc_id") % m).cast("double")
     error = F.when(F.col("doc_id") % 50 == 7, "timeout").when(F.col("doc_id") % 50 == 9, "refused").otherwise("")
-    return P.documents(spark, d).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), part(97).alias("parse_ms"), part(89).alias("visual_diff_ms"), part(101).alias("llm_ms"), (F.col("doc_id") % 2).alias("llm_calls"), (F.col("doc_id") % 3).alias("retries"), error.alias("llm_error"))
+    return P.documents(spark, d).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), part(97).alias("parse_ms"), part(89).alias("visual_diff_ms"), part(101).alias("llm_ms"), (F.col("doc_id") % 2).alias("llm_calls"), (F.col("doc_id") % 3).alias("retries"), (F.col("doc_id") % 6).alias("num_flags"), (F.col("doc_id") % 4).alias("cache_hits"), error.alias("llm_error"))
 
 
-@add("benchmark_rollup", f"SELECT CASE WHEN grouping(filename) = 1 THEN 'AVERAGE' ELSE filename END AS filename, round(avg(parse_ms), 6) AS parse_ms, round(avg(llm_ms), 6) AS llm_ms FROM ({TIMES}) GROUP BY GROUPING SETS ((filename), ())")
+@add("benchmark_rollup", f"SELECT CASE WHEN grouping(filename) = 1 THEN 'AVERAGE' ELSE filename END AS filename, round(avg(parse_ms), 6) AS parse_ms, round(avg(llm_ms), 6) AS llm_ms, round(avg(num_flags), 6) AS num_flags, round(avg(cache_hits), 6) AS cache_hits FROM ({TIMES}) GROUP BY GROUPING SETS ((filename), ())")
 def benchmark_rollup(spark, d):
-    own = evaluate.with_average(timings(spark, d), ["parse_ms", "llm_ms"])
-    return own.select("filename", F.round("parse_ms", 6).alias("parse_ms"), F.round("llm_ms", 6).alias("llm_ms"))
+    columns = ["parse_ms", "llm_ms", "num_flags", "cache_hits"]
+    return evaluate.with_average(timings(spark, d), columns).select("filename", *[F.round(c, 6).alias(c) for c in columns])
 
 
 @add("benchmark_totals", f"SELECT CAST(sum(llm_calls) AS BIGINT) AS llm_calls, CAST(sum(retries) AS BIGINT) AS retries, coalesce((SELECT string_agg(e, '; ' ORDER BY e) FROM (SELECT DISTINCT llm_error AS e FROM ({TIMES}) WHERE llm_error <> '')), '') AS errors FROM ({TIMES})")

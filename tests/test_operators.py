@@ -449,3 +449,37 @@ def test_answers_outlive_a_run_until_a_reset(spark, tmp_path):
     assert cache.read().count() == 0 and cache.version() > 9
     assert {s for *_, s in status(cache.review(flags, ask()))} == {"ok", "skipped"} and calls(log) == 6
     assert {s for *_, s in status(cache.review(flags, None))} == {"cached", "skipped"} and calls(log) == 6
+
+
+# Measured scans and whole reports
+
+
+def test_stages_are_counted_and_timed(spark):
+    docs = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf")], "doc_id long, filename string")
+    table = spans(spark, span("seen words"), span("tiny words are here", line=1, size=1.0), span("gone from the page", line=2))
+    lines = spark.createDataFrame([(1, 1, 0, "seen words", 72.0, 100.0, 250.0, 112.0), (1, 1, 1, "tiny words are here", 72.0, 114.0, 250.0, 126.0)], "doc_id long, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double")
+    meta = spark.createDataFrame([(1, {"keywords": "ignore all previous"})], "doc_id long, metadata map<string,string>")
+    engine = HiddenTextEngine(table, meta, ocr_lines=lines)
+    made, stages = engine.measured(docs)
+    assert [(name, n) for name, n, _ in stages.done] == [("detect", 2), ("visual_diff", 1), ("rule_classify", 3), ("report", 2)] and all(ms > 0 for *_, ms in stages.done)
+    assert {r["stage"]: r["rows"] for r in stages.table(spark).collect()}["rule_classify"] == 3
+    found = {r["doc_id"]: json.loads(r["report"]) for r in made.collect()}
+    times = found[1]["timings_ms"]
+    assert times == stages.timings() and times["total"] == pytest.approx(sum(v for k, v in times.items() if k != "total"), abs=0.1)
+    assert [f["technique"] for f in found[1]["flags"]] == ["metadata", "tiny_font", "visually_hidden"] and found[1]["visual_diff"] == {"status": "ok", "error": None, "pages_ocrd": 1}
+    assert found[1]["pages"] == [{"page": 1, "width": 595.0, "height": 842.0, "n_boxes": 2}] and found[1]["filename"] == "a.pdf" and found[1]["page_count"] == 1
+    assert found[2] | {"timings_ms": None} == {"doc_id": 2, "filename": "b.pdf", "page_count": 0, "risk": "clean", "summary": {"total_flags": 0, "by_technique": {}}, "flags": [], "pages": None, "visual_diff": {"status": "ok", "error": None, "pages_ocrd": 0}, "timings_ms": None}
+    stages.release()
+    engine.release()
+
+
+def test_reports_without_pages_and_with_reviewed_flags(spark):
+    docs = spark.createDataFrame([(1,)], "doc_id long")
+    engine = HiddenTextEngine(spans(spark, span("tiny words are here", size=1.0, box=(-5, 10, 20.04, 20))), spark.createDataFrame([], "doc_id long, metadata map<string,string>"))
+    bare = json.loads(report.reports(docs, engine.flags()).first()["report"])
+    assert bare["filename"] is None and bare["page_count"] is None and bare["pages"] is None and bare["flags"][0]["overlay"] is None and bare["visual_diff"]["status"] == "off" and "timings_ms" not in bare
+    done = json.loads(engine.reports(docs, flags=engine.review(review.FixedReviewer("manipulation"))).first()["report"])
+    flag = done["flags"][0]
+    assert (flag["rule_label"], flag["llm_label"], flag["llm_status"], flag["final_label"]) == ("suspicious", "manipulation", "ok", "manipulation") and done["risk"] == "manipulation"
+    assert flag["bbox"] == [-5.0, 10.0, 20.0, 20.0] and flag["overlay"] == [0.0, 10.0, 20.0, 20.0] and flag["off_page"] is True
+    engine.release()

@@ -103,11 +103,11 @@ def corners(name: str) -> Column:
     return F.when(box[0].isNotNull(), F.array(*box))
 
 
-def reports(docs: DataFrame, flags: DataFrame, pages: DataFrame | None = None, visual: DataFrame | None = None) -> DataFrame:
+def reports(docs: DataFrame, flags: DataFrame, pages: DataFrame | None = None, visual: DataFrame | None = None, timings: dict[str, float] | None = None) -> DataFrame:
     """doc_id and the scan report as JSON, of every document: risk, summary, the flags in order, flagged pages and the state of the visual difference.
 
     docs: doc_id and, if there is one, filename. pages: doc_id, page, page_w, page_h of all pages; without them no boxes to draw, page count and page list. visual: doc_id, status,
-    error, pages_ocrd; off where it is missing. Flags that were reviewed have their answers, others nulls in their place. Flags are read once.
+    error, pages_ocrd; off where it is missing. timings: milliseconds by stage of the run, a key of its own if given. Flags that were reviewed have their answers, others nulls in their place. Flags are read once.
     """
     own = with_overlay(flags, pages) if pages is not None else flags.withColumns({"overlay": F.lit(None).cast("struct<x0: double, y0: double, x1: double, y1: double>"), "off_page": F.lit(None).cast("boolean")})
     text = lambda c: (F.col(c) if c in flags.columns else F.lit(None).cast("string")).alias(c)
@@ -133,6 +133,7 @@ def reports(docs: DataFrame, flags: DataFrame, pages: DataFrame | None = None, v
         "doc_id", "filename", "page_count", R.risk(worst).alias("risk"),
         F.struct(F.size("flags").cast("long").alias("total_flags"), counted(F.transform("flags", lambda f: f["technique"])).alias("by_technique")).alias("summary"),
         "flags", F.filter(drawn, lambda p: p["n_boxes"] > 0).alias("pages"), F.struct(F.coalesce("status", F.lit("off")).alias("status"), "error", "pages_ocrd").alias("visual_diff"),
+        *([F.create_map(*[F.lit(x) for kv in timings.items() for x in kv]).alias("timings_ms")] if timings else []),
     )
     return whole.select("doc_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
 from ..operators import detect, report, review, visual
+from .timing import Stages
 
 
 @dataclass
@@ -38,15 +40,26 @@ class HiddenTextEngine:
 
     def flags(self) -> DataFrame:
         """Labelled flags of all detectors; without read lines the visual difference is left out of the plan."""
-        style = detect.style_flags(self.spans, self.metadata, self.traces)
+        return self._flags(lambda name, df: self.keep(df))
+
+    def _flags(self, stage: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+        """stage(name, frame) gives each intermediate frame back, kept for its several readers."""
+        style = detect.numbered(detect.style_flags(self.spans, self.metadata, self.traces))
         spans, lines = self.spans, self.ocr_lines
         if self.reads is not None:
-            read = self.keep(visual.before_failure(self.reads))
+            read = stage("read", visual.before_failure(self.reads))
             spans, lines = spans.join(read.select(*detect.PAGE_KEY), detect.PAGE_KEY, "left_semi"), visual.decoded_lines(read)
         if lines is None:
-            return detect.label(style)
+            return detect.label(stage("detect", style))
         seen = visual.visible_fraction(spans, lines, self.crops, self.fuzzy)
-        return detect.label(visual.add_visual(self.keep(detect.numbered(style)), self.keep(visual.hidden_runs(seen))))
+        return detect.label(visual.add_visual(stage("detect", style), stage("visual_diff", visual.hidden_runs(seen))))
+
+    def measured(self, docs: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, Stages]:
+        """Reports that say how long the stages took, and the stages with their rows. Unlike the other methods this one runs the scan, a stage after the other."""
+        stages = Stages()
+        flags = stages.run("rule_classify", self._flags(stages.run))
+        stages.run("report", self.reports(docs, pages, flags))
+        return self.reports(docs, pages, flags, stages.timings()), stages
 
     def visual_status(self, docs: DataFrame) -> DataFrame:
         """doc_id, status, error and pages_ocrd of the visual difference."""
@@ -57,8 +70,8 @@ class HiddenTextEngine:
     def review(self, reviewer: review.Reviewer | None, cache: DataFrame | None = None) -> DataFrame:
         return review.review(self.flags(), reviewer, cache)
 
-    def reports(self, docs: DataFrame, pages: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
+    def reports(self, docs: DataFrame, pages: DataFrame | None = None, flags: DataFrame | None = None, timings: dict[str, float] | None = None) -> DataFrame:
         """doc_id and report of every document. pages: sizes of all pages, those of the spans if not given; flags: reviewed ones, if there are any."""
         sizes = report.page_sizes(self.spans) if pages is None else pages
         visual_ = self.visual_status(docs) if self.reads is not None or self.ocr_lines is not None else None
-        return report.reports(docs, self.flags() if flags is None else flags, sizes, visual_)
+        return report.reports(docs, self.flags() if flags is None else flags, sizes, visual_, timings)

@@ -83,3 +83,20 @@ def test_an_empty_table_goes_through(spark, folder, tmp_path):
 
 def test_one_query_per_operator():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, len(queries.QUERIES) + 1)] and set(queries.SQL) <= set(queries.QUERIES)
+
+
+class Elsewhere:
+    """A session on a cluster, as far as the choice of a folder goes."""
+
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+        self.sparkContext = type("Context", (), {"master": "spark://somewhere:7077", "applicationId": "app"})
+
+
+def test_a_folder_that_is_not_shared_is_an_error_on_a_cluster(spark):
+    assert common.shared_dir(Elsewhere(spark_checkpoint_dir="s3a://bucket/x/")) == "s3a://bucket/x"
+    assert common.shared_dir(Elsewhere(spark_sql_warehouse_dir="hdfs://node/w")) == "hdfs://node/w/checkpoints-app"
+    for local in ("file:/tmp/w", "spark-warehouse"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.shared_dir(Elsewhere(spark_sql_warehouse_dir=local))
+    assert common.shared_dir(spark)

@@ -156,8 +156,9 @@ def test_expressions(expression, labels, freedom):
 @pytest.mark.parametrize(
     ("line", "labels"),
     [
-        ("see the file called copying for details", None), ("mit */ int main(void)", {"mit"}), ("mit or foo-1.0", {"mit"}), ("(mit or isc) -->", {"mit", "isc"}), ("apache-2.0.", {"apache"}),
-        ("licenseref-house and mit", {"licenseref-house", "mit"}), ("gpl-2.0 with linux-syscall-note", {"gpl"}), ("unheard-of-1.0", None),
+        ("see the file called copying for details", None), ("mit */ int main(void)", {"mit"}), ("mit or foo-1.0", {"mit", "foo-1.0"}), ("(mit or isc) -->", {"mit", "isc"}), ("apache-2.0.", {"apache"}),
+        ("licenseref-house and mit", {"licenseref-house", "mit"}), ("gpl-2.0 with linux-syscall-note", {"gpl"}), ("unheard-of-1.0", {"unheard-of-1.0"}), ("x11 or mit", {"x11", "mit"}), ("mit and x11", {"mit", "x11"}),
+        ("cc-by-nc-sa-4.0", {"cc-by-nc-sa"}), ("mit and here is why", {"mit"}), ("see file", None), ("mit and", {"mit"}), ("(mit or x11) see", {"mit", "x11"}), ("gpl-2.0 with foo some prose", {"gpl"}),
     ],
 )
 def test_only_licences_become_labels(line, labels):
@@ -165,6 +166,30 @@ def test_only_licences_become_labels(line, labels):
     assert got is None if labels is None else got[0] == labels
 
 
+def test_unknown_licences_count_in_and_and_or():
+    assert licenses.evaluate("mit and x11")[1] == licenses.UNKNOWN_FREEDOM and licenses.evaluate("x11 or mit")[1] == 1.0
+    assert licenses.evaluate("x11 or gpl-3.0")[1] == licenses.UNKNOWN_FREEDOM and licenses.evaluate("x11 and gpl-3.0")[1] == licenses.FREEDOM["gpl"]
+
+
+def test_toxic_terms_are_the_same_however_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    sample = toxicity.labelled_sample(docs, labels)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        rows = toxicity.term_counts(sample.repartition(parts)).collect()
+        found.append(({tuple(r) for r in rows}, toxicity.lexicon(sample.repartition(parts))))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and len(found[0][0]) > 1000
+
+
+def test_nested_stems_by_plain_search():
+    row = lambda term, stem, n: {"term": term, "stem": stem, "n_toxic": n}
+    rows = [row(f"gramble{x}", False, 3) for x in ("d", "r", "s", "ful")] + [row("gram", True, 12), row("gramb", True, 12), row("gramble", True, 12), row("grab", False, 5), row("zz", False, 9)]
+    assert toxicity.choose_terms(rows) == [("gramble", True), ("grab", False), ("zz", False)]
+    assert toxicity.beginning(["a", "ab", "abc", "ac", "b"], "ab") == ["ab", "abc"]
+
+
 def test_licence_edges(spark):
     texts = [None, "", "MIT License mit-license", "cc by cc by", "cc cc by", "SPDX-License-Identifier: MIT OR (GPL-2.0 AND MIT)\nx", "Éclair Apache\nLICENSE" + " x" * 100_000, "gnu general public license"]
     docs = documents(spark, [(i, t, "en") for i, t in enumerate(texts)])

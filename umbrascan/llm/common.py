@@ -24,9 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (as in tests) one in the warehouse, which they share too."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{spark.sparkContext.applicationId}"
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one in the warehouse. A local warehouse is shared
+    in local mode only, as in tests; on a cluster it is an error, as each executor would write to its own disk."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if is_local(warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/checkpoints-{spark.sparkContext.applicationId}"
+
+
+def is_local(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path and not path.startswith("hdfs:")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

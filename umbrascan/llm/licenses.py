@@ -7,7 +7,8 @@ freely the text may be used (and: the strictest part, or: the freest, with: the
 A document's score is that of its strictest notice, 0 without any.
 
 Cases: null and empty texts have no words, no places and empty labels; an expression that does not parse gives the
-identifiers it names, joined by and; repeated rows are each returned; other columns are not looked at.
+identifiers it names, joined by and; an identifier without a known name is a label of its own at UNKNOWN_FREEDOM; repeated rows and null doc_ids are rows like
+others; other columns stay, but a column `license` is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 MORE = {
     "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "mozilla public license": "mpl",
     "bsd license": "bsd", "3 clause bsd": "bsd", "2 clause bsd": "bsd", "isc license": "isc", "creative commons attribution": "cc-by",
-    "cc by nc": "cc-by-nc", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc0": "cc0", "public domain": "public-domain",
+    "cc by nc": "cc-by-nc", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc0": "cc0", "public domain": "public-domain",
     "all rights reserved": "proprietary", "unlicense": "unlicense", "eclipse public license": "epl",
 }
 TAG = "spdx license identifier"
@@ -38,11 +39,11 @@ TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)")
 #: How freely a text under the licence may be used.
 FREEDOM = {
     "mit": 1.0, "isc": 1.0, "bsd": 1.0, "unlicense": 1.0, "cc0": 1.0, "public-domain": 1.0, "apache": 0.95, "cc-by": 0.9, "mpl": 0.7,
-    "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.3, "cc-by-nc": 0.2, "proprietary": 0.05,
+    "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.3, "cc-by-nc": 0.2, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.15, "proprietary": 0.05,
 }
 UNKNOWN_FREEDOM = 0.5
 EASED = 0.1
-FAMILY = re.compile(r"(cc-by-nc|cc-by-sa|cc-by-nd|cc-by|cc0|apache|agpl|lgpl|gpl|mpl|epl|bsd|mit|isc|unlicense|zlib|wtfpl|bsl|0bsd|artistic|cddl|ofl|eupl|postgresql|ncsa)(?:-|\+|$)")
+FAMILY = re.compile(r"(cc-by-nc-sa|cc-by-nc-nd|cc-by-nc|cc-by-sa|cc-by-nd|cc-by|cc0|apache|agpl|lgpl|gpl|mpl|epl|bsd|mit|isc|unlicense|zlib|wtfpl|bsl|0bsd|artistic|cddl|ofl|eupl|postgresql|ncsa)(?:-|\+|$)")
 #: An identifier of a licence that has no public name.
 OWN = "licenseref-"
 BINDS = {"or": 1, "and": 2, "with": 3}
@@ -57,14 +58,36 @@ def family(identifier: str) -> str:
     return m[1] if m else identifier
 
 
+def is_known(token: str) -> bool:
+    return token.startswith(OWN) or FAMILY.match(token) is not None
+
+
 def named(tokens: list[str]) -> list[str]:
-    """The tokens up to the first one that is no licence, operator or bracket, such as a comment's end or prose after the expression. What follows
-    `with` is an exception, whatever its name."""
+    """The expression that the tokens begin with: operands and operators in turn, whatever the operands are called, so a licence without a known name stays.
+
+    It ends where a token is out of turn. A word out of turn is prose, and so is an unknown last operand right before it, with its operator: "MIT and here is why" is MIT.
+    An operator without an operand at the end is no part of it; what follows `with` is an exception, whatever its name.
+    """
+    end, depth, operand_next = len(tokens), 0, True
     for k, t in enumerate(tokens):
-        known = t in BINDS or t in "()" or t.startswith(OWN) or FAMILY.match(t) or (k and tokens[k - 1] == "with")
-        if not known:
-            return tokens[:k]
-    return tokens
+        if t == "(" and operand_next:
+            depth += 1
+        elif t == ")" and not operand_next and depth:
+            depth -= 1
+        elif operand_next and t not in BINDS and t not in "()":
+            operand_next = False
+        elif not operand_next and t in BINDS:
+            operand_next = True
+        else:
+            end = k
+            break
+    cut = tokens[:end]
+    prose = end < len(tokens) and tokens[end] not in BINDS and tokens[end] not in "()"
+    if prose and cut and not operand_next and not is_known(cut[-1]) and cut[-1] != ")" and cut[-2:-1] != ["with"]:
+        cut = cut[:-1]
+    while cut and (cut[-1] in BINDS or cut[-1] == "("):
+        cut = cut[:-1]
+    return cut
 
 
 def postfix(tokens: list[str]) -> list[str]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -203,7 +204,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
-    """For every word and every stem: texts with it by label, and how many different words come before it in toxic ones."""
+    """For every word and every stem: texts with it by label, and how many different words come before it in toxic ones, the first in order of each text.
+
+    Exact, and the same however rows are dealt; the sample is bounded.
+    """
     words = sample.select("doc_id", "toxic", F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}@$!]+"), "").alias("words"))
     words = words.select("doc_id", "toxic", "words", F.posexplode("words").alias("at", "word"))
     words = words.select("doc_id", "toxic", "word", F.when(F.col("at") > 0, F.get("words", F.col("at") - 1)).otherwise(F.lit("")).alias("before"))
@@ -212,31 +216,37 @@ def term_counts(sample: DataFrame) -> DataFrame:
     stems = F.when(F.char_length("word") > LEAST_LETTERS, F.transform(lengths, lambda n: F.struct(F.substring("word", F.lit(1), n).alias("term"), F.lit(True).alias("stem")))).otherwise(F.array().cast("array<struct<term:string,stem:boolean>>"))
     whole = F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem")))
     terms = words.select("doc_id", "toxic", "before", F.explode(F.concat(whole, stems)).alias("t"))
-    per_doc = terms.groupBy("t.term", "t.stem", "doc_id").agg(F.max("toxic").alias("toxic"), F.first("before").alias("before"))
+    per_doc = terms.groupBy("t.term", "t.stem", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("before").alias("before"))
     toxic = F.col("toxic") == 1
-    return per_doc.groupBy("term", "stem").agg(F.count_if(toxic).alias("n_toxic"), F.count_if(~toxic).alias("n_clean"), F.approx_count_distinct(F.when(toxic, F.col("before"))).alias("support"))
+    return per_doc.groupBy("term", "stem").agg(F.count_if(toxic).alias("n_toxic"), F.count_if(~toxic).alias("n_clean"), F.count_distinct(F.when(toxic, F.col("before"))).alias("support"))
+
+
+def beginning(ordered: list[str], start: str) -> list[str]:
+    """Those of the ordered words that begin with start."""
+    return ordered[bisect_left(ordered, start) : bisect_left(ordered, start + "\U0010ffff")]
 
 
 def choose_terms(rows: list) -> list[tuple[str, bool]]:
     """Whole words, and the longest of nested stems with about the same texts; stems go when one word makes them up."""
     whole = {r["term"]: r for r in rows if not r["stem"]}
     stem = {r["term"]: r for r in rows if r["stem"]}
+    words, stems = sorted(whole), sorted(stem)
     chosen: list[tuple[str, bool]] = []
     done: set[str] = set()
     for term in sorted(stem, key=lambda t: (len(t), t)):
         if any(term[:n] in done for n in range(LEAST_LETTERS, len(term) + 1)):
             continue
         texts = stem[term]["n_toxic"]
-        own = [w for w in whole if w.startswith(term)]
+        own = beginning(words, term)
         if len(own) >= 4 and max(whole[w]["n_toxic"] for w in own) < 0.7 * texts:
             best = term
-            for longer in sorted(stem, key=len):
+            for longer in sorted(beginning(stems, term), key=lambda t: (len(t), t)):
                 if longer.startswith(best) and stem[longer]["n_toxic"] >= 0.97 * texts:
                     best = longer
             chosen.append((best, True))
             done.add(term)
-    kept = [s for s, _ in chosen]
-    chosen += [(w, False) for w in sorted(whole) if not any(w.startswith(s) for s in kept)]
+    kept = {s for s, _ in chosen}
+    chosen += [(w, False) for w in words if not any(w[:n] in kept for n in range(1, len(w) + 1))]
     return chosen
 
 

@@ -106,44 +106,53 @@ def similar(word: Column, text: Column, least: float) -> Column:
     return judged(word, text)
 
 
+def raw(pattern: str) -> str:
+    """A SQL literal of a pattern, in which a backslash is a backslash."""
+    quote = '"' if "'" in pattern else "'"
+    return f"r{quote}{pattern}{quote}"
+
+
+def bodies() -> dict[str, tuple[str, str, str]]:
+    """name -> (parameters, type, body) of the SQL functions: the expressions of `text`, `rules` and `geometry`, written as SQL."""
+    invisible, tags = f"[{T.IN_INVISIBLE}{T.IN_TAGS}]", f"[{T.IN_TAGS}]"
+    count = lambda text, pattern: f"regexp_count({text}, {raw(pattern)})"
+    plain = "".join(map(chr, range(0x20, 0x7F))).replace("\\", "\\\\").replace("'", "\\'")
+    hidden = "".join(chr(T.TAG_BASE + b) for b in range(0x20, 0x7F))
+    decoded = lambda text: f"translate(regexp_replace({text}, {raw('[^' + chr(92) + 'x{E0020}-' + chr(92) + 'x{E007E}]')}, ''), '{hidden}', '{plain}')"
+    shown, revealed = f"transform(regexp_extract_all(t, {raw(f'(?s){tags}+|[^{T.IN_TAGS}]+')}, 0), p -> CASE WHEN {count('p', tags)} > 0 THEN concat('⟦', char_length(p), ' TAG CHARS⟧') ELSE p END)", "t"
+    shown = f"array_join({shown}, '')"
+    for char, (_, mark) in T.INVISIBLE.items():
+        shown = f"replace({shown}, '{char}', '⟦{T.code_point(char)}⟧')"
+        revealed = f"replace({revealed}, '{char}', '⟦{mark}⟧')"
+    kinds = [f"CASE WHEN contains(t, '{c}') THEN concat('{T.code_point(c)} x', {count('t', c)}) END" for c in sorted(T.INVISIBLE, key=T.code_point)]
+    listed = f"array_compact(array({', '.join(kinds)}, CASE WHEN {count('t', tags)} > 0 THEN concat('tag chars x', {count('t', tags)}) END))"
+    listed = f"CASE WHEN size({listed}) > 0 THEN array_join({listed}, ', ') ELSE 'none' END"
+    message = f"CASE WHEN {decoded('t')} <> '' THEN concat('; decoded hidden tag-character text: \"', {decoded('t')}, '\"') ELSE '' END"
+    found = lambda patterns: "(" + " OR ".join(f"lower(t) RLIKE {raw('(?U)' + p)}" for p in patterns) + ")"
+    hint = "(" + " OR ".join(f"contains(lower(t), '{h}')" for h in rules.HINTS) + ")"
+    words = count("t", "[a-zA-Z]{2,}")
+    label = (
+        f"CASE WHEN {found(rules.ADDRESSING)} OR {found(rules.INSTRUCTION)} THEN 'manipulation' WHEN {hint} AND {words} <= {rules.MAX_HINT_WORDS} THEN 'benign' "
+        f"WHEN {words} <= {rules.MAX_SHORT_WORDS} AND technique <> 'invisible_unicode' THEN 'benign' ELSE 'suspicious' END"
+    )
+    channel = lambda c, k: f"((shiftright({c}, {k}) & 255) / 255D)"
+    linear = lambda x: f"(CASE WHEN {x} <= {geometry.KNEE}D THEN {x} / 12.92D ELSE power(({x} + 0.055D) / 1.055D, {geometry.GAMMA}D) END)"
+    luminance = lambda c: "(" + " + ".join(f"{w}D * {linear(channel(c, k))}" for w, k in ((0.2126, 16), (0.7152, 8), (0.0722, 0))) + ")"
+    return {
+        "invisible_count": ("t STRING", "INT", count("t", invisible)),
+        "decode_tags": ("t STRING", "STRING", decoded("t")),
+        "annotate_invisible": ("t STRING", "STRING", f"concat('[scanner note: ', {count('t', invisible)}, ' invisible characters (', {listed}, ')', {message}, ']\\n', {shown})"),
+        "reveal_invisible": ("t STRING", "STRING", revealed),
+        "normalize_text": ("t STRING", "STRING", f"regexp_replace(lower(t), {raw('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')}, '')"),
+        "rule_label": ("t STRING, technique STRING", "STRING", label),
+        "contrast_ratio": ("a INT, b INT", "DOUBLE", f"(greatest({luminance('a')}, {luminance('b')}) + 0.05D) / (least({luminance('a')}, {luminance('b')}) + 0.05D)"),
+    }
+
+
 def register(spark: SparkSession) -> None:
-    """The functions under their SQL names."""
+    """The functions under their SQL names; those without Python are temporary SQL functions, so calls stay built-in expressions."""
     spark.udf.register("nfkc", nfkc)
     spark.udf.register("partial_ratio", partial_ratio_udf)
     spark.udf.register("unicode_escape", unicode_escape)
-    for name, kind, function in (
-        ("invisible_count", "int", T.count_invisible),
-        ("decode_tags", "string", T.decode_tags),
-        ("annotate_invisible", "string", T.annotate),
-        ("reveal_invisible", "string", T.reveal),
-        ("normalize_text", "string", T.normalize),
-    ):
-        sql_function(spark, name, "t STRING", kind, function(F.col("t")))
-    sql_function(spark, "rule_label", "t STRING, technique STRING", "string", rules.text_label(F.col("t"), F.col("technique")))
-    rgb = lambda c: geometry.channels(F.col(c))
-    sql_function(spark, "contrast_ratio", "a INT, b INT", "double", geometry.contrast(rgb("a"), rgb("b")))
-
-
-def sql_function(spark: SparkSession, name: str, parameters: str, kind: str, body: Column) -> None:
-    """A temporary SQL function with the body of a column expression, so calls stay built-in expressions."""
-    names = [p.split()[0] for p in parameters.split(", ")]
-    frame = spark.createDataFrame([], parameters)
-    text = frame.select(body.alias("r"))._jdf.queryExecution().analyzed().expressions().head().child().sql()
-    for n in names:
-        text = text.replace(f"`{n}`", n)
-    text = with_arrows(text)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {text}")
-
-
-def with_arrows(text: str) -> str:
-    """The text of an expression with its lambda functions, of one variable each, written as SQL reads them."""
-    mark = "lambdafunction("
-    while mark in text:
-        start = text.rindex(mark)
-        at, depth = start + len(mark), 1
-        while depth:
-            depth += {"(": 1, ")": -1}.get(text[at], 0)
-            at += 1
-        body, variable = text[start + len(mark) : at - 1].rsplit(", ", 1)
-        text = f"{text[:start]}p -> {body.replace(variable, 'p')}{text[at:]}"
-    return text
+    for name, (parameters, kind, body) in bodies().items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")

@@ -455,6 +455,14 @@ def review_status(spark, d):
     return reviewed(spark, d).select("doc_id", "ord", "rule_label", "llm_label", "llm_status", "final_label")
 
 
+@add("review_response", f"SELECT doc_id, risk, ord, flag_id AS id, rule_label, llm_label, 'as ' || llm_label AS llm_reason, llm_status, final_label, final_label AS classification FROM reviewed JOIN (SELECT doc_id, {S.risk('max(' + S.rank('final_label') + ')')} AS risk FROM reviewed GROUP BY doc_id) USING (doc_id)", "reviewed")
+def review_response(spark, d):
+    """Every field of the answers to review requests, out of the JSON."""
+    read = review.responses(reviewed(spark, d)).select("doc_id", F.from_json("body", review.RESPONSE).alias("r"))
+    each = read.select("doc_id", "r.risk", F.posexplode("r.flags").alias("at", "f"))
+    return each.select("doc_id", "risk", (F.col("at") + 1).cast("long").alias("ord"), "f.*")
+
+
 @add("review_stats", f"SELECT doc_id, count(*) FILTER (llm_status = 'cached') AS cache_hits, count(*) FILTER (llm_status = 'skipped') AS skipped, count(*) FILTER (llm_status = 'ok') AS answered, count(*) FILTER (llm_status = 'invalid') AS invalid, count(*) FILTER (llm_status = 'unavailable') AS unavailable, {S.risk('max(' + S.rank('final_label') + ')')} AS risk FROM reviewed GROUP BY doc_id", "reviewed")
 def review_stats(spark, d):
     return review.review_stats(reviewed(spark, d))

@@ -658,7 +658,11 @@ def box_offsets(spark, d):
     return report.box_offsets(own, sizes.select("doc_id", "page", ((F.col("page") - 1) * 900.0).alias("top"), F.lit(0.5).alias("scale")))
 
 
-@add("flag_table")
+BACK = chr(92)
+ESCAPED = f"array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '{BACK}' THEN '{BACK * 2}' WHEN c = chr(10) THEN '{BACK}n' WHEN c = chr(13) THEN '{BACK}r' WHEN c = chr(9) THEN '{BACK}t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 256 THEN '{BACK}x' || printf('%02x', unicode(c)) WHEN unicode(c) < 65536 THEN '{BACK}u' || printf('%04x', unicode(c)) ELSE '{BACK}U' || printf('%08x', unicode(c)) END), '')"
+
+
+@add("flag_table", f"SELECT 'doc' || doc_id AS file, technique, array_to_string(detected_by, '+') AS by, substr({ESCAPED}, 1, 44) AS text, rule_label AS rule, coalesce(llm_label, '-') AS ai, final_label AS final, llm_status AS status, coalesce('as ' || llm_label, '') AS ai_reason FROM reviewed", "reviewed")
 def flag_table(spark, d):
     return evaluate.flag_table(reviewed(spark, d), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
 

@@ -483,3 +483,22 @@ def test_reports_without_pages_and_with_reviewed_flags(spark):
     assert (flag["rule_label"], flag["llm_label"], flag["llm_status"], flag["final_label"]) == ("suspicious", "manipulation", "ok", "manipulation") and done["risk"] == "manipulation"
     assert flag["bbox"] == [-5.0, 10.0, 20.0, 20.0] and flag["overlay"] == [0.0, 10.0, 20.0, 20.0] and flag["off_page"] is True
     engine.release()
+
+
+def test_pages_are_rendered_and_shown_within_the_budget(spark):
+    pages = spark.createDataFrame([(1, 1, bytearray(b"doc")), (1, 2, bytearray(b"doc")), (1, 3, bytearray(b"bad")), (2, 1, bytearray(b"doc"))], "doc_id long, page int, content binary")
+
+    def make():
+        def render(content, page, zoom):
+            if content == b"bad":
+                raise RuntimeError("no page")
+            return b"\x89PNG" + bytes([page]) * int(50 * zoom)
+
+        return render
+
+    images = readers.render_pages(pages, make)
+    assert {(r["doc_id"], r["page"], r["error"]) for r in images.collect()} == {(1, 1, None), (1, 2, None), (1, 3, "RuntimeError: no page"), (2, 1, None)}
+    flagged = spark.createDataFrame([(1, 1, 10.0, 20.0, 1), (1, 2, 10.0, 20.0, 2), (1, 3, 10.0, 20.0, 1), (2, 1, 10.0, 20.0, 1), (2, 9, 10.0, 20.0, 1)], "doc_id long, page int, width double, height double, n_boxes long")
+    shown = {(r["doc_id"], r["page"]): r["image"] for r in report.previews(flagged, images, 200).collect()}
+    assert shown[1, 1].startswith("data:image/png;base64,") and shown[2, 1] and shown[1, 2] is None and shown[1, 3] is None and shown[2, 9] is None and len(shown) == 5
+    assert len(shown[1, 1].split(",")[1]) == 140

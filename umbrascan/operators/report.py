@@ -82,6 +82,16 @@ def data_url(image: Column, kept: Column) -> Column:
     return F.when(kept, F.concat(F.lit("data:"), F.when(png, "image/png").otherwise("image/jpeg"), F.lit(";base64,"), F.base64(image)))
 
 
+def previews(flagged: DataFrame, images: DataFrame, budget: int = IMAGE_BUDGET) -> DataFrame:
+    """flagged pages (of `flagged_pages`) with `image`, a data URL while a document's budget of characters lasts, else null. images: doc_id, page, image (bytes)."""
+    own = flagged.join(images.select("doc_id", "page", F.col("image").alias("_image")), ["doc_id", "page"], "left")
+    chars = F.ceil(F.octet_length("_image") / 3) * 4
+    sizes = own.filter("_image is not null").select("doc_id", "page", chars.alias("chars"))
+    kept = within_budget(sizes, budget).select("doc_id", "page", F.col("kept").alias("_kept"))
+    url = F.regexp_replace(data_url(F.col("_image"), F.coalesce("_kept", F.lit(False))), "[\\r\\n]", "")
+    return own.join(kept, ["doc_id", "page"], "left").withColumn("image", url).drop("_image", "_kept")
+
+
 BOX = "array<double>"
 FLAG = f"id: string, page: int, text: string, technique: string, reason: string, bbox: {BOX}, overlay: {BOX}, off_page: boolean, detected_by: array<string>, rule_label: string, llm_label: string, llm_reason: string, llm_status: string, final_label: string"
 PAGE = "page: int, width: double, height: double, n_boxes: bigint"

@@ -528,6 +528,18 @@ def image_budget(spark, d):
     return report.within_budget(images)
 
 
+PICTURES = "SELECT doc_id, page, encode(string_agg(text, chr(10) ORDER BY line_no, span_no)) AS image FROM spans GROUP BY doc_id, page"
+
+
+@add("page_previews", f"WITH RECURSIVE boxed_pages AS MATERIALIZED (SELECT doc_id, page, count(*) AS n_boxes FROM flags WHERE x0 IS NOT NULL AND page >= 1 GROUP BY doc_id, page), shots AS MATERIALIZED (SELECT *, CAST(ceil(octet_length(image) / 3) * 4 AS BIGINT) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM boxed_pages JOIN ({PICTURES}) USING (doc_id, page)), spent AS (SELECT doc_id, i, chars <= 3000 AS kept, 3000 - CASE WHEN chars <= 3000 THEN chars ELSE 0 END AS rest FROM shots WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, s.chars <= p.rest, p.rest - CASE WHEN s.chars <= p.rest THEN s.chars ELSE 0 END FROM spent p JOIN shots s ON s.doc_id = p.doc_id AND s.i = p.i + 1) SELECT doc_id, page, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height, n_boxes, CASE WHEN kept THEN 'data:image/jpeg;base64,' || base64(image) END AS image FROM shots JOIN spent USING (doc_id, i)", "flags", "spans")
+def page_previews(spark, d):
+    """Flagged pages with their pictures as data URLs while the budget lasts; a page's text stands for its picture."""
+    own = spans(spark, d)
+    line = F.sort_array(F.collect_list(F.struct("line_no", "span_no", "text")))
+    images = own.groupBy("doc_id", "page").agg(F.array_join(F.transform(line, lambda s: s["text"]), "\n").cast("binary").alias("image"))
+    return report.previews(report.flagged_pages(flags(spark, d), report.page_sizes(own)), images, 3000)
+
+
 @add("data_urls", "SELECT item_id, 'data:image/jpeg;base64,' || base64(encode(text)) AS url FROM benchmark")
 def data_urls(spark, d):
     items = spark.read.parquet(f"{d}/benchmark.parquet")

@@ -222,6 +222,7 @@ def query(select: str, *views: str) -> str:
     for v in views:
         need(v)
     head = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v][1]})" for v in order)
-    if select.startswith("WITH ") and order:
-        return f"WITH {head},\n{select.removeprefix('WITH ')}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if select.startswith(start) and order:
+            return f"{start}{head},\n{select.removeprefix(start)}"
     return f"WITH {head}\n{select}" if order else select

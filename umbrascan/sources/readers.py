@@ -107,6 +107,28 @@ def read_pages(pages: DataFrame, make_reader: Callable[[], Callable[[bytes], lis
     return pages.select("doc_id", "page", "image").mapInPandas(run, f"{key}, items {ITEMS}, error string")
 
 
+def render_pages(pages: DataFrame, make_renderer: Callable[[], Callable[[bytes, int, float], bytes]], zoom: float = 2.0) -> DataFrame:
+    """doc_id, page, image and error of pages (doc_id, page, content): pictures by a renderer plug-in, which takes a document's bytes, a page and a zoom.
+
+    make_renderer() is called once per task; a page it fails on has no image and an error. Pages of a document side by side (sorted by doc_id) let a renderer keep it open.
+    """
+    key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select("doc_id", "page").schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        renderer = None
+        for batch in batches:
+            rows = []
+            for doc_id, page, content in zip(batch["doc_id"], batch["page"], batch["content"], strict=True):
+                try:
+                    renderer = renderer or make_renderer()
+                    rows.append((doc_id, page, bytes(renderer(bytes(content), int(page), zoom)), None))
+                except Exception as e:
+                    rows.append((doc_id, page, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "image", "error"])
+
+    return pages.select("doc_id", "page", "content").mapInPandas(run, f"{key}, image binary, error string")
+
+
 def flag(settings: Mapping[str, str], name: str, default: bool) -> bool:
     """A setting's truth: unset or blank is the default, four words are false."""
     value = (settings.get(name) or "").strip().lower()

@@ -38,6 +38,14 @@ def test_same_rows(spark, duck, name):
     assert Counter(tuple(r) for r in df.select(*columns).collect()) == Counter(tuple(r[i] for i in order) for r in found.fetchall())
 
 
+def test_known_answers_take_the_first_text_of_a_key(spark):
+    """Texts of one key with other lengths: the answer is the same however rows are dealt."""
+    rows = [(2 * i, 1, "Two" + " " * (1 + (i + 1) % 3) + "words") for i in range(40)]
+    for dealt in (rows, rows[::-1], rows[20:] + rows[:20]):
+        got = catalog.known_answers(spark.createDataFrame(dealt, "doc_id long, ord long, text string").coalesce(1)).collect()
+        assert [r["label"] for r in got] == [("benign", "suspicious", "manipulation")[len(rows[0][2]) % 3]]
+
+
 def test_fuzzy_sees_at_least_as_much(spark):
     exact = catalog.QUERIES["visible_fraction_exact"](spark, DATA).withColumnRenamed("visible", "exact")
     both = catalog.QUERIES["visible_fraction_fuzzy"](spark, DATA).join(exact, ["doc_id", "page", "block_no", "line_no", "span_no"])

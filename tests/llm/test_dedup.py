@@ -340,6 +340,21 @@ def test_lines_beyond_the_size_switches(spark, monkeypatch, setting):
         assert not any(wanted[i] and not got[i] for i in got) and len(left) <= 30
 
 
+@pytest.mark.parametrize("crowd", [2, 10])
+def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, crowd):
+    """Pairs that meet in crowded buckets only, none of them a centre, and lines changed as far as the limit allows in ways that leave no common pair of words."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "CENTRES", 1)
+    rng = random.Random(6)
+    lines = [" ".join([f"passage{i}" for i in range(14)] + [f"end{g}" for _ in range(3)] + [f"own{g}{k}" for _ in range(3)]) for g in range(20) for k in (0, 1)]
+    lines += [" ".join([*rng.sample(["red", "green", "blue", "black"], 4), *["same"] * 8, *(f"t{i}" for i in range(g % 4))]) for g in range(30)]
+    for g in range(20):
+        words_ = [f"w{g}x{i}" for i in range(20)]
+        lines += [" ".join(words_), " ".join(f"new{i}" if i % 5 == 2 else w for i, w in enumerate(words_))]
+    rows = list(enumerate(lines))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()} == deduped(rows)
+
+
 def test_line_edges(spark):
     words_ = [f"q{i}" for i in range(line_dedup.PART + 50)]
     long = " ".join(words_)

@@ -355,6 +355,33 @@ def test_no_link_is_lost_in_crowded_buckets(spark, monkeypatch, crowd):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()} == deduped(rows)
 
 
+def test_lines_of_common_words_do_not_meet(spark):
+    """Lines of the same few words, none rare, in other orders: single words would bring all of them together."""
+    rng = random.Random(12)
+    docs = documents(spark, [(i, " ".join(rng.choices([f"word{k}" for k in range(300)], k=30))) for i in range(400)])
+    lines = line_dedup.distinct_lines(line_dedup.occurrences(docs), "sim")
+    met = line_dedup.buckets(lines, docs).filter("key < 0").count()
+    assert met <= 4 * 400, met
+
+
+def test_lines_at_the_limit_are_found_at_every_length(spark):
+    """As many edits as the limit allows, spread so that they take away the most pairs of words; among them a word more that brings one more edit."""
+    rng, pairs = random.Random(13), []
+    for n in [*range(4, 31), 64, 99]:
+        for kind in range(4):
+            a = [f"n{n}k{kind}w{i}" for i in range(n)]
+            fresh = [f"fresh{rng.randrange(50)}" for _ in range(n)]
+            edits, b = (n + (kind == 1)) // 5, list(a)
+            for e in range(edits):
+                at = 1 + e * (n - 2) // max(1, edits)
+                b[at : at + 1] = [[fresh[at]], [a[at], fresh[at]], [], [fresh[at]]][kind] if e or kind != 3 else [a[at], fresh[at]]
+            b = [w for x in b for w in ([x] if isinstance(x, str) else x)]
+            if a != b and similar_words(tuple(a), tuple(b)):
+                pairs.append((a, b))
+    assert len(pairs) > 80
+    assert found_of(spark, pairs) == 1
+
+
 def test_line_edges(spark):
     words_ = [f"q{i}" for i in range(line_dedup.PART + 50)]
     long = " ".join(words_)

@@ -364,6 +364,15 @@ def test_lines_of_common_words_do_not_meet(spark):
     assert met <= 4 * 400, met
 
 
+def test_pairs_of_rare_words_that_are_frequent_pairs_do_not_crowd(spark):
+    """Four passages of words less frequent than the others, in fifty lines each: their pairs are the most frequent ones, so no line needs them as keys. Copies of a line add no members."""
+    rng = random.Random(14)
+    lines = [" ".join(rng.choices([f"word{k}" for k in range(60)], k=40) + [f"passage{i % 4}{c}" for c in "abcdef"]) for i in range(200)]
+    docs = documents(spark, list(enumerate(lines + lines[:40] * 5)))
+    found = line_dedup.buckets(line_dedup.distinct_lines(line_dedup.occurrences(docs), "sim"), docs).filter("key < 0")
+    assert found.filter("size > 20").count() == 0 and found.count() <= 25 * 200
+
+
 def test_lines_at_the_limit_are_found_at_every_length(spark):
     """As many edits as the limit allows, spread so that they take away the most pairs of words; among them a word more that brings one more edit."""
     rng, pairs = random.Random(13), []

@@ -59,6 +59,12 @@ def test_sql_of_cached_answers_takes_the_first_text_of_a_key(spark, tmp_path):
     assert got == want and len({r[0] for r in got if r[4] == "cached"}) >= 20
 
 
+def test_sql_counts_no_character_in_empty_spans(spark, tmp_path):
+    """Null and empty texts, and a line of one letter that is cut in two: an empty text has no invisible character."""
+    got, want = both(spark, tmp_path, "uni_char_frequency", [(16, None), (56, ""), (40, "x"), (8, "seen")])
+    assert got == want == Counter({("\u200b", 8, 1): 1, ("\u200b", 40, 2): 1})
+
+
 def test_known_answers_take_the_first_text_of_a_key(spark):
     """Texts of one key with other lengths: the answer is the same however rows are dealt."""
     rows = [(2 * i, 1, "Two" + " " * (1 + (i + 1) % 3) + "words") for i in range(40)]

@@ -51,6 +51,23 @@ def test_techniques(spark):
     assert found == {"off": ["off_page"], "empty box": ["off_page"], "no pixels": ["white_text"], "grey": [], "gone": ["invisible_render", "tiny_font"], "fine": []}
 
 
+def test_pages_dealt_once_are_not_dealt_again_with_their_text(spark):
+    """Spans, traces and lines dealt by page: besides these exchanges there is one before the windows of the visual difference, and only hidden spans' texts are in it."""
+    page = ["doc_id", "page"]
+    rows = spans(spark, span("hidden words here"), span("seen words", 1)).repartition(*page)
+    traces = spark.createDataFrame([(1, 1, 72.0, 100.0, 250.0, 112.0, 3, None)], "doc_id LONG, page INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, type INT, opacity DOUBLE").repartition(*page)
+    lines = spark.createDataFrame([(1, 1, 0, "seenwards", 72.0, 114.0, 250.0, 126.0)], "doc_id LONG, page INT, ord INT, text STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE").repartition(*page)
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert dealt(detect.style_runs(detect.techniques(rows, traces))) == 2
+        hidden = visual.hidden_runs(visual.visible_fraction(rows, lines, None, True))
+        assert dealt(hidden) == 3
+        assert [(r["text"], r["run"], r["closes"]["line_no"]) for r in hidden.collect()] == [("hidden words here", 1, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_traces_hide_what_they_cover_by_more_than_half(spark):
     traces = spark.createDataFrame([(1, 1, 72.0, 100.0, 72 + 178 * s, 112.0, t, o) for s, t, o in ((0.6, 3, None), (0.4, 0, 0.0), (1.0, 0, 1.0))], "doc_id LONG, page INT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, type INT, opacity DOUBLE")
     one = spans(spark, span("covered"))

@@ -73,6 +73,13 @@ def test_known_answers_take_the_first_text_of_a_key(spark):
         assert [r["label"] for r in got] == [("benign", "suspicious", "manipulation")[len(rows[0][2]) % 3]]
 
 
+def test_hidden_spans_of_partial_reads_are_persisted(spark):
+    """They are read several times, and would be computed as often."""
+    catalog.KEPT.pop("hidden", None)
+    df = catalog.QUERIES["flags_part_way"](spark, DATA)
+    assert "hidden" in catalog.KEPT and df._jdf.queryExecution().executedPlan().toString().count("InMemoryRelation") >= 2
+
+
 def test_fuzzy_sees_at_least_as_much(spark):
     exact = catalog.QUERIES["visible_fraction_exact"](spark, DATA).withColumnRenamed("visible", "exact")
     both = catalog.QUERIES["visible_fraction_fuzzy"](spark, DATA).join(exact, ["doc_id", "page", "block_no", "line_no", "span_no"])

@@ -61,6 +61,8 @@ def test_pages_dealt_once_are_not_dealt_again_with_their_text(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert dealt(detect.style_runs(detect.techniques(rows, traces))) == 2
+        plan = visual.visible_fraction(rows, lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert "words#" in plan and "words#" not in plan[plan.index("Join LeftOuter") :]
         hidden = visual.hidden_runs(visual.visible_fraction(rows, lines, None, True))
         assert dealt(hidden) == 3
         assert [(r["text"], r["run"], r["closes"]["line_no"]) for r in hidden.collect()] == [("hidden words here", 1, 1)]
